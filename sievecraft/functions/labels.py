@@ -27,24 +27,62 @@ def response_positions(labels: Column) -> Column:
 
 
 def suffix_ids(labels: Column, pos: Column, k: int) -> Column:
-    """Response tokens among the ``k`` sequence positions after ``pos``."""
-    return response_ids(F.slice(labels, pos + 2, F.lit(k)))
+    """Response tokens among the ``k`` sequence positions after ``pos``.
 
+    Looked up one by one: ``slice`` would copy the whole sequence each time.
+    """
+    offsets = F.sequence(F.lit(1), F.lit(k))
+    return response_ids(F.transform(offsets, lambda o: F.get(labels, pos + o)))
 
-def suffix_usable(suffix: Column, min_len: int, blank_ids: Column) -> Column:
-    """Long enough, and at least one token decodes to visible text."""
-    visible = F.exists(suffix, lambda x: ~F.array_contains(blank_ids, x))
-    return (F.size(suffix) >= min_len) & visible
 
+def suffix_usable(
+    labels: Column, positions: Column, pos: Column, rank: Column, k: int, min_len: int, blank_ids: Column
+) -> Column:
+    """The window after ``pos`` is long enough and decodes to visible text.
 
-def anchor_suffixes(labels: Column, k: int, stride: int, min_len: int, blank_ids: Column) -> Column:
-    """Array of (pos, suffix): every ``stride``-th response token with a usable suffix."""
-    anchors = let(
+    ``pos`` is element ``rank`` of the response ``positions``, so the window holds
+    ``min_len`` tokens when the element that many places on still lies in it.
+    """
+
+    def visible(o: Column) -> Column:
+        token = F.get(labels, pos + o)
+        return (token != IGNORE_INDEX) & ~F.array_contains(blank_ids, token)
+
+    long_enough = F.coalesce(F.get(positions, rank + min_len) <= pos + k, F.lit(False))
+    # Stops at the first visible token.
+    return long_enough & F.coalesce(F.exists(F.sequence(F.lit(1), F.lit(k)), visible), F.lit(False))
+
+
+def _with_row_blanks(labels: Column, blank_ids: Column, body) -> Column:
+    """``body(response positions, blank ids that occur in the row)``.
+
+    The vocabulary's list may be long and is searched per token; the part of it a
+    row uses is short.
+    """
+    return let(
         response_positions(labels),
-        lambda ps: F.filter(ps, lambda _, rank: rank % stride == 0),
+        lambda ps: let(F.array_intersect(labels, blank_ids), lambda blanks: body(ps, blanks)),
+    )
+
+
+def anchor_positions(labels: Column, k: int, stride: int, min_len: int, blank_ids: Column) -> Column:
+    """Every ``stride``-th response position, if the window after it is usable."""
+
+    def chosen(ps: Column, blanks: Column) -> Column:
+        def keep(p: Column, rank: Column) -> Column:
+            return (rank % stride == 0) & suffix_usable(labels, ps, p, rank, k, min_len, blanks)
+
+        return F.filter(ps, keep)
+
+    return _with_row_blanks(labels, blank_ids, chosen)
+
+
+def anchor_suffixes(labels: Column, k: int, stride: int, min_len: int, blank_ids: Column) -> Column:
+    """Array of (pos, suffix) of the anchors."""
+    return F.transform(
+        anchor_positions(labels, k, stride, min_len, blank_ids),
+        lambda p: F.struct(p.alias("pos"), suffix_ids(labels, p, k).alias("suffix")),
     )
-    pairs = F.transform(anchors, lambda p: F.struct(p.alias("pos"), suffix_ids(labels, p, k).alias("suffix")))
-    return F.filter(pairs, lambda s: suffix_usable(s["suffix"], min_len, blank_ids))
 
 
 def nearest_anchors(labels: Column, anchors: Column) -> Column:
@@ -77,13 +115,15 @@ def nearest_anchors(labels: Column, anchors: Column) -> Column:
 
 def own_targets(labels: Column, k: int, min_len: int, blank_ids: Column) -> Column:
     """Array of (pos, src_pos) for stride 1: each position is its own source, or has none."""
-    return F.transform(
-        response_positions(labels),
-        lambda p: F.struct(
-            p.alias("pos"),
-            F.when(suffix_usable(suffix_ids(labels, p, k), min_len, blank_ids), p).alias("src_pos"),
-        ),
-    )
+
+    def source(ps: Column, blanks: Column) -> Column:
+        def own(p: Column, rank: Column) -> Column:
+            usable = suffix_usable(labels, ps, p, rank, k, min_len, blanks)
+            return F.struct(p.alias("pos"), F.when(usable, p).alias("src_pos"))
+
+        return F.transform(ps, own)
+
+    return _with_row_blanks(labels, blank_ids, source)
 
 
 def position_weights(labels: Column) -> Column:

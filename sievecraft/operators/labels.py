@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievecraft.functions.labels import (
     IGNORE_INDEX,
     MIN_SUFFIX_TOKENS,
+    anchor_positions,
     anchor_suffixes,
     nearest_anchors,
     own_targets,
@@ -89,8 +90,7 @@ def suffix_sources(
     if stride == 1:
         sources = own_targets(labels, k, min_len, blanks)
     else:
-        anchors = F.transform(anchor_suffixes(labels, k, stride, min_len, blanks), lambda s: s["pos"])
-        sources = nearest_anchors(labels, anchors)
+        sources = nearest_anchors(labels, anchor_positions(labels, k, stride, min_len, blanks))
     long = _with_blanks(df, blank_ids).select(*sample, F.inline(sources))
     return long.withColumn("has_target", F.col("src_pos").isNotNull())
 

@@ -13,6 +13,14 @@ HOT_SHARE = 1 / 256
 SALTS = 64
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """The planner's size estimate of ``df`` is within its broadcast limit."""
+    session = df.sparkSession._jsparkSession
+    limit = session.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """The keys that hold more than ``share`` of the rows: fewer than 1 / share."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -31,10 +39,13 @@ def join_unique(
 ) -> DataFrame:
     """``left`` joined with ``right``, which holds each ``key`` once.
 
-    Rows of hot keys are spread over ``salts`` partitions and only the few
+    A ``right`` within the broadcast limit is broadcast by the planner, where hot
+    keys do no harm. Beyond it both sides are shuffled and salted: rows of hot keys are spread over ``salts`` partitions and only the few
     matching rows of ``right`` are repeated. ``row_id`` identifies a left row; the
     salt is a hash of it, so a recomputed task salts its rows as before.
     """
+    if fits_broadcast(right):
+        return left.join(right, key, how)
     hot = F.broadcast(hot_keys(left, key, share).withColumn("_hot", F.lit(True)))
     some_salt = F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int")
     spread = F.col("_hot").isNotNull() | F.col(key).isNull()  # null keys match nothing, wherever they go

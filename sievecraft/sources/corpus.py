@@ -49,6 +49,17 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0].strip(WHITESPACE)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed over all cores, but only if the scan would leave cores idle.
+
+    A table of few, large row groups is read by few tasks, and heavy per-row work
+    then runs there alone. A table with splits enough for every core is left as
+    it is, so large inputs pay no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at ``path``, or None where there is none yet."""
     try:

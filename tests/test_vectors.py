@@ -19,7 +19,7 @@ from sievecraft.operators.embed import (
     sample_vector_positions,
     table_encode,
 )
-from sievecraft.operators.skew import hot_keys, join_unique
+from sievecraft.operators.skew import fits_broadcast, hot_keys, join_unique
 from sievecraft.session import shared_path
 
 
@@ -69,15 +69,29 @@ def test_content_key_depends_on_encoder_and_limit(spark):
     assert len(set(r)) == 3
 
 
-def test_hot_keys_are_bounded_and_join_is_exact(spark):
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_small_sides_are_broadcast(spark):
+    small, big = spark.range(10).select("id", "id"), spark.range(10_000_000)
+    assert fits_broadcast(small) and not fits_broadcast(big)
+
+
+def test_hot_keys_are_bounded_and_join_is_exact(spark, no_broadcast):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
     right = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
     right = right.union(spark.createDataFrame([("hot", -1)], "k string, v bigint"))
     assert [r.k for r in hot_keys(left, "k", 0.1).collect()] == ["hot"]
     for how in ("left", "inner"):
-        got = sorted((r.id, r.k, r.v) for r in join_unique(left, right, "k", ["id"], how, salts=8).collect())
-        want = sorted((r.id, r.k, r.v) for r in left.join(right, "k", how).collect())
-        assert got == want
+        salted = join_unique(left, right, "k", ["id"], how, salts=8)
+        assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(repr, salted.collect())) == sorted(map(repr, left.join(right, "k", how).select(*salted.columns).collect()))
 
 
 def test_distances(spark):

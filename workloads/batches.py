@@ -34,6 +34,7 @@ from workloads.curation import SEQ, SYSTEM_PROMPT, flat_chat
 from workloads.tables import (
     SQL_BEST,
     SQL_CHAT_COLUMNS,
+    documents,
     instruction_rows,
     reasoning_rows,
     sql_unique_verified,
@@ -124,7 +125,8 @@ def q_number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token arrays: the id of a word is its length, odd words are prompt."""
     w = F.col("w")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("w"))
+    docs = documents(spark, sf_dir, "source", "text")
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("w"))
     return rows.select(
         "doc_id",
         "source",

@@ -24,12 +24,12 @@ from workloads.tables import (
     SQL_INSTRUCTIONS,
     SQL_REASONING,
     SQL_WS,
+    documents,
     instruction_rows,
     reasoning_rows,
     sql_fingerprint,
     sql_unique_verified,
     sql_words,
-    table,
 )
 
 # Fixed value: the system prompt of the chat records.
@@ -114,7 +114,7 @@ def q_dedup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "text", "lang", "source", "n_chars")
     kept = keep_first(docs, ngram_fingerprint(F.col("text")), SEQ)
     return kept.select("doc_id", "lang", "source", "n_chars")
 

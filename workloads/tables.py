@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.functions.text import WHITESPACE, WHITESPACE_CODE_POINTS
+from sievecraft.sources.corpus import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
 # SQL spellings of the text rules
 SQL_WS = "'" + WHITESPACE + "'"
 SQL_WS_RUN = "'[" + "".join(f"\\x{{{p:X}}}" for p in WHITESPACE_CODE_POINTS) + "]+'"
@@ -39,7 +44,7 @@ def by_doc(modulus: int, cases: dict[int, Column], otherwise: Column) -> Column:
 
 def reasoning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with response, code, starter code and two nullable flags."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     doc_id, text = F.col("doc_id"), F.col("text")
     null = F.lit(None).cast("string")
@@ -165,7 +170,7 @@ STATUS_ELSE = '["pass", "pass"]'
 
 def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions with judge scores and test results as JSON text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir, "text", "lang", "source")
     doc_id, text = F.col("doc_id"), F.col("text")
     return docs.select(
         "doc_id",

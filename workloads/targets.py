@@ -16,6 +16,7 @@ from sievecraft.operators.labels import (
     weigh_positions,
     weighted_mean,
 )
+from sievecraft.sources.corpus import spread
 from workloads.tables import sql_words, table
 
 SAMPLE = ["conv_id", "turn"]
@@ -30,7 +31,7 @@ def token_id(word):
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample per turn: assistant words are labels, with prompt gaps inside."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"), *SAMPLE)
     role = F.col("role")
 
     def label(w, i):
@@ -42,7 +43,7 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token id -> piece; every 40th id plays a special token."""
-    pieces = table(spark, sf_dir, "conversations").select(F.explode(words(F.col("text"))).alias("piece"))
+    pieces = spread(table(spark, sf_dir, "conversations").select(*SAMPLE, "text"), *SAMPLE).select(F.explode(words(F.col("text"))).alias("piece"))
     by_id = pieces.groupBy(token_id(F.col("piece")).alias("token_id")).agg(F.min("piece").alias("piece"))
     return by_id.withColumn("is_special", F.col("token_id") % 40 == 0)
 

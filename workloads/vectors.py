@@ -29,6 +29,7 @@ from sievecraft.operators.labels import (
 )
 from sievecraft.operators.skew import join_unique
 from sievecraft.session import shared_path
+from sievecraft.sources.corpus import spread
 from workloads.tables import sql_words, table
 from workloads.targets import (
     K,
@@ -72,7 +73,7 @@ def as_ints(v: Column) -> Column:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(*SAMPLE, "role", "text")
+    return spread(table(spark, sf_dir, "conversations").select(*SAMPLE, "role", "text"), *SAMPLE)
 
 
 def q_embed_texts(spark, sf_dir) -> DataFrame:
