@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievecraft.functions.ordering import seeded_normal_vector, seeded_uniform
-from sievecraft.functions.text import is_blank
 from sievecraft.functions.vectors import doubles, interpolate, l2_normalize, velocity, zero_vector
 from sievecraft.operators.skew import join_unique
 from sievecraft.sources.corpus import read_if_exists
@@ -39,19 +38,22 @@ def encode_texts(
     """Unit vectors of texts; blank text gives the zero vector.
 
     ``make_encoder()`` runs once per Python worker and returns a callable
-    ``(list of texts, max_len) -> 2-d array``, which only sees non-blank texts.
+    ``(list of texts, max_len) -> 2-d array``. It only sees non-blank texts, at
+    most ``batch_size`` at a time.
     """
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for texts in batches:
-            vectors = []
-            for start in range(0, len(texts), batch_size):
-                vectors.extend(encoder(texts.iloc[start : start + batch_size].tolist(), max_len))
+            vectors = [[0.0] * dim] * len(texts)
+            visible = [i for i, t in enumerate(texts) if t and not t.isspace()]
+            for start in range(0, len(visible), batch_size):
+                part = visible[start : start + batch_size]
+                for i, vector in zip(part, encoder([texts.iloc[i] for i in part], max_len)):
+                    vectors[i] = vector
             yield pd.Series(vectors)
 
-    raw = F.pandas_udf(encode, "array<double>")(text)
-    return F.when(is_blank(text), zero_vector(dim)).otherwise(l2_normalize(raw))
+    return l2_normalize(F.pandas_udf(encode, "array<double>")(text))
 
 
 def encode_new(
@@ -75,10 +77,7 @@ def encode_new(
     todo = distinct if known is None else distinct.join(known.select(KEY), KEY, "left_anti")
     if partitions:
         todo = todo.repartition(partitions, KEY)
-    visible = todo.where(~is_blank(F.col("_text")))
-    blank = todo.where(is_blank(F.col("_text"))).select(KEY, zero_vector(dim).alias(VECTOR))
-    encoded = visible.select(KEY, encode_texts(F.col("_text"), make_encoder, dim, max_len).alias(VECTOR))
-    return encoded.unionByName(blank)
+    return todo.select(KEY, encode_texts(F.col("_text"), make_encoder, dim, max_len).alias(VECTOR))
 
 
 def embed_incremental(
@@ -100,7 +99,7 @@ def embed_incremental(
     known = read_if_exists(df.sparkSession, cache_path)
     new = encode_new(df, text_col, make_encoder, encoder_name, dim, known, max_len, partitions)
     new.write.mode("append").parquet(cache_path)
-    return df.sparkSession.read.parquet(cache_path)
+    return df.sparkSession.read.parquet(cache_path)  # known and new vectors together
 
 
 def attach_embeddings(

@@ -168,9 +168,10 @@ STATUSES = {
 STATUS_ELSE = '["pass", "pass"]'
 
 
-def instruction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def instruction_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Instructions with judge scores and test results as JSON text."""
-    docs = documents(spark, sf_dir, "text", "lang", "source")
+    if docs is None:
+        docs = documents(spark, sf_dir, "text", "lang", "source")
     doc_id, text = F.col("doc_id"), F.col("text")
     return docs.select(
         "doc_id",
