@@ -19,7 +19,6 @@ from sievecraft.functions.labels import (
     nearest_anchors,
     own_targets,
     position_weights,
-    response_ids,
 )
 from sievecraft.functions.text import is_blank
 from sievecraft.operators.skew import join_unique
@@ -45,18 +44,33 @@ def response_tokens(df: DataFrame, sample: Sequence[str]) -> DataFrame:
     return exploded.where(F.col("token_id") != IGNORE_INDEX)
 
 
-def decode_responses(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str], sep: str = "") -> DataFrame:
-    """(sample, text): the response pieces in order, special tokens skipped.
+def with_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str]) -> DataFrame:
+    """(sample, labels, pieces): each response token's text at its position, else null.
 
-    A sample without response gives the empty text. Frequent tokens are hot keys
-    of the vocabulary join and are salted there.
+    Special tokens have no text. Every token meets the vocabulary once, whatever
+    windows are laid over the sequence afterwards. Frequent tokens are hot keys of
+    that join and are salted there; prompt positions have no key at all.
     """
-    tokens = df.select(*sample, F.posexplode_outer(response_ids(F.col(LABELS))).alias("pos", "token_id"))
+    exploded = df.select(*sample, F.posexplode_outer(LABELS).alias("pos", "label"))
+    tokens = exploded.withColumn("token_id", F.when(F.col("label") != IGNORE_INDEX, F.col("label")))
     pieces = vocabulary.select("token_id", F.when(~F.col("is_special"), F.col("piece")).alias("piece"))
     joined = join_unique(tokens, pieces, "token_id", [*sample, "pos"])
-    shown = F.when(F.col("piece").isNotNull(), F.struct("pos", "piece"))
-    in_order = F.transform(F.sort_array(F.collect_list(shown)), lambda s: s["piece"])
-    return joined.groupBy(*sample).agg(F.array_join(in_order, sep).alias("text"))
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "label", "piece"))
+    rows = F.sort_array(F.collect_list(entry))
+    return (
+        joined.groupBy(*sample)
+        .agg(rows.alias("_rows"))
+        .select(
+            *sample,
+            F.transform("_rows", lambda r: r["label"]).alias(LABELS),
+            F.transform("_rows", lambda r: r["piece"]).alias("pieces"),
+        )
+    )
+
+
+def decode_responses(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str], sep: str = "") -> DataFrame:
+    """(sample, text): the response pieces in order; the empty text without response."""
+    return with_pieces(df, vocabulary, sample).select(*sample, F.array_join("pieces", sep).alias("text"))
 
 
 def suffix_windows(
@@ -72,6 +86,26 @@ def suffix_windows(
     return _with_blanks(df, blank_ids).select(*sample, F.inline(anchors))
 
 
+def suffix_texts(
+    df: DataFrame,
+    sample: Sequence[str],
+    k: int,
+    stride: int = 1,
+    min_len: int = MIN_SUFFIX_TOKENS,
+    blank_ids: Column | None = None,
+    sep: str = "",
+) -> DataFrame:
+    """(sample, pos, text): the decoded windows of rows that have ``pieces``."""
+    offsets = F.sequence(F.lit(1), F.lit(k))
+
+    def text(pos: Column) -> Column:
+        window = F.transform(offsets, lambda o: F.get(F.col("pieces"), pos + o))
+        return F.struct(pos.alias("pos"), F.array_join(window, sep).alias("text"))
+
+    anchors = anchor_positions(F.col(LABELS), k, stride, min_len, F.col("_blanks"))
+    return _with_blanks(df, blank_ids).select(*sample, F.inline(F.transform(anchors, text)))
+
+
 def suffix_sources(
     df: DataFrame,
     sample: Sequence[str],

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.text import strip_key
 from sievecraft.operators.dedup import keep_best
-from sievecraft.operators.quality import passing_instructions
+from sievecraft.operators.ordering import scan_order
+from sievecraft.operators.quality import INSTRUCTION_COLUMNS, passing_instructions
+from sievecraft.operators.records import to_messages
+from sievecraft.sources.corpus import read_jsonl
+from sievecraft.sources.sinks import write_jsonl
+
+MESSAGES_SCHEMA = "messages array<struct<role:string,content:string>>"
 
 
 def best_rank() -> list:
@@ -21,3 +27,17 @@ def curate_instructions(df: DataFrame, seq: Sequence[str]) -> DataFrame:
     """Passing rows, the best one per stripped input; ``seq`` kept for ordering."""
     passing = passing_instructions(df, *seq)
     return keep_best(passing, strip_key(F.col("input")), best_rank(), seq).drop("edge_score")
+
+
+def export_instructions(df: DataFrame, seq: Sequence[str], out_dir: str, system_prompt: str) -> DataFrame:
+    """Curated instructions as JSON lines in scan order, and their chat records.
+
+    Writes ``cleaned`` and ``messages`` below ``out_dir``; the second is made from
+    what was written first. Returns the chat records as written.
+    """
+    spark = df.sparkSession
+    write_jsonl(scan_order(curate_instructions(df, seq), seq).drop(*seq), f"{out_dir}/cleaned")
+    schema = ", ".join(f"{c} string" for c in INSTRUCTION_COLUMNS)
+    cleaned = read_jsonl(spark, f"{out_dir}/cleaned", schema, required=("input", "output"))
+    write_jsonl(to_messages(cleaned, system_prompt), f"{out_dir}/messages")
+    return read_jsonl(spark, f"{out_dir}/messages", MESSAGES_SCHEMA, required=("messages",))

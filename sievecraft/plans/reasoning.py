@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from sievecraft.functions.text import ngram_fingerprint
 from sievecraft.operators.dedup import keep_first
+from sievecraft.operators.ordering import sort_by_id
 from sievecraft.operators.profile import length_profile, token_totals
 from sievecraft.operators.quality import MAX_COT_TOKENS, keep_verified
 from sievecraft.operators.records import to_chat_records
+from sievecraft.sources.sinks import write_json_array, write_jsonl
 
 
 def unique_verified(df: DataFrame, seq: Sequence[str], max_tokens: int = MAX_COT_TOKENS, n: int = 5) -> DataFrame:
@@ -41,3 +43,19 @@ def profile_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         length_profile(records, reasoning_measures()),
         token_totals(records, meta["question_length"], meta["response_length"]),
     )
+
+
+def export_reasoning(
+    df: DataFrame, seq: Sequence[str], out_dir: str, max_tokens: int = MAX_COT_TOKENS, n: int = 5
+) -> DataFrame:
+    """Curates once into ``records``, and derives both exports and the profile from that table.
+
+    Writes ``records`` (Parquet), ``jsonl`` and ``json`` below ``out_dir``, all but
+    the first in id order. Returns the written records; see ``profile_records``.
+    """
+    spark = df.sparkSession
+    curate_reasoning(df, seq, max_tokens, n).write.parquet(f"{out_dir}/records")
+    records = spark.read.parquet(f"{out_dir}/records")
+    write_jsonl(sort_by_id(records, "id", seq).drop(*seq), f"{out_dir}/jsonl")
+    write_json_array(records, f"{out_dir}/json", ["id", *seq], drop=seq)
+    return records

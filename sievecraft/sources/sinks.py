@@ -15,10 +15,10 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).options(**_KEEP_NULLS).json(path)
 
 
-def json_array_text(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def json_array_text(df: DataFrame, order: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
     """``value``: the pieces of one pretty JSON array, in ``order``.
 
-    ``order`` must identify a row. The first and last row, found by an
+    ``order`` must identify a row; columns in ``drop`` only order. The first and last row, found by an
     aggregate, carry the brackets; every other row carries its own comma. So the
     pieces can be written by as many tasks as there are range partitions, and
     the part files, concatenated in name order, are the array.
@@ -26,7 +26,7 @@ def json_array_text(df: DataFrame, order: Sequence[str]) -> DataFrame:
     pos = F.struct(*order)
     first = df.select(F.min(pos)).scalar()
     last = df.select(F.max(pos)).scalar()
-    body = F.to_json(F.struct(*df.columns), {"pretty": "true", **_KEEP_NULLS})
+    body = F.to_json(F.struct(*[c for c in df.columns if c not in drop]), {"pretty": "true", **_KEEP_NULLS})
     pieces = df.orderBy(*order).select(
         F.concat(
             F.when(pos == first, F.lit("[\n")).otherwise(F.lit("")),
@@ -39,6 +39,8 @@ def json_array_text(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return pieces.unionAll(empty)
 
 
-def write_json_array(df: DataFrame, path: str, order: Sequence[str], mode: str = "errorifexists") -> None:
+def write_json_array(
+    df: DataFrame, path: str, order: Sequence[str], drop: Sequence[str] = (), mode: str = "errorifexists"
+) -> None:
     """Part files that, concatenated in name order, form one pretty JSON array."""
-    json_array_text(df, order).write.mode(mode).text(path)
+    json_array_text(df, order, drop).write.mode(mode).text(path)

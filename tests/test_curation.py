@@ -1,3 +1,4 @@
+import glob
 import itertools
 import json
 import random
@@ -20,7 +21,8 @@ from sievecraft.operators.quality import (
 )
 from sievecraft.operators.records import to_messages
 from sievecraft.plans.instructions import best_rank, curate_instructions
-from sievecraft.plans.reasoning import curate_reasoning
+from sievecraft.plans.reasoning import curate_reasoning, export_reasoning, profile_records
+from sievecraft.session import shared_path
 
 
 def judgement(req=5, logic=5, edge=4, **more):
@@ -276,3 +278,23 @@ def test_file_report(spark):
 def test_judge_pass_combines_both(spark):
     df = spark.createDataFrame([(GOOD, '["pass"]'), (GOOD, '["fail"]'), ("x", "[]")], "j string, t string")
     assert [r[0] for r in df.select(judge_pass(F.col("j"), F.col("t"))).collect()] == [True, False, False]
+
+
+def test_export_writes_the_same_records_twice(spark):
+    rows = [(i, f"id{i % 9}", True, i % 5 > 0, f"question {i % 20} {'w ' * (i % 3)}", "é" * i, "c", None) for i in range(60)]
+    out = shared_path(spark, "export")
+    records = export_reasoning(spark.createDataFrame(rows, REASONING), ["seq"], out)
+
+    def text(kind):
+        return "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{out}/{kind}/part-*")))
+
+    lines = [json.loads(x) for x in text("jsonl").splitlines()]
+    assert lines == json.loads(text("json"))
+    assert [x["id"] for x in lines] == sorted(x["id"] for x in lines)
+    assert len(lines) == records.count() and set(lines[0]) == {"id", "conversations", "metadata"}
+    profile, totals = profile_records(records)
+    lengths = sorted(x["metadata"]["response_length"] for x in lines)
+    got = profile.where("measure = 'response_length'").first()
+    assert (got.min_value, got.p50_value, got.max_value) == (lengths[0], lengths[len(lengths) // 2], lengths[-1])
+    chars = sum(x["metadata"]["response_length"] + x["metadata"]["question_length"] for x in lines)
+    assert tuple(totals.first()) == (len(lines), chars // 4, chars // 4 // len(lines))

@@ -8,9 +8,11 @@ from sievecraft.operators.labels import (
     decode_responses,
     response_tokens,
     suffix_sources,
+    suffix_texts,
     suffix_windows,
     weigh_positions,
     weighted_mean,
+    with_pieces,
 )
 
 IGNORE = -100
@@ -112,3 +114,28 @@ def test_windows_need_no_shuffle(spark):
     df = spark.createDataFrame([(0, [1, 2])], "id int, labels array<int>")
     for out in (suffix_windows(df, ["id"], 4, 2), suffix_sources(df, ["id"], 4, 2), weigh_positions(df, ["id"])):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_and_window_texts(spark):
+    rows = sequences()
+    pieces = {1: "one", 2: " two", 3: "x", 8: " \n"}
+    vocab = vocabulary(spark)
+    df = with_pieces(spark.createDataFrame(rows, "id int, labels array<int>"), vocab, ["id"])
+    got = {r.id: (r.labels, r.pieces) for r in df.collect()}
+    assert got == {i: (labels, [pieces.get(x) for x in labels]) for i, labels in rows}
+    texts = {}
+    for r in suffix_texts(df, ["id"], 20, 4, 16, blank_token_ids(vocab), sep="|").collect():
+        texts.setdefault(r.id, {})[r.pos] = r.text
+    for i, labels in rows:
+        anchors = model_anchors(labels, 20, 4, 16)[1]
+        assert texts.get(i, {}) == {p: "|".join(pieces[x] for x in s if x in pieces) for p, s in anchors.items()}
+
+
+def test_decode_is_exact_with_salted_hot_tokens(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        test_decode_and_response_tokens(spark)
+    finally:
+        spark.conf.set(key, before)

@@ -16,8 +16,7 @@ from sievecraft.operators.ordering import (
     scan_order,
     sort_by_id,
 )
-from sievecraft.operators.quality import INSTRUCTION_COLUMNS, fill_texts
-from sievecraft.operators.records import to_messages
+from sievecraft.operators.quality import fill_texts
 from sievecraft.operators.reshape import (
     assign_batches,
     flatten_assets,
@@ -25,11 +24,11 @@ from sievecraft.operators.reshape import (
     split_target_reference,
     unpivot_pairs,
 )
-from sievecraft.plans.instructions import curate_instructions
-from sievecraft.plans.reasoning import curate_reasoning
+from sievecraft.plans.instructions import curate_instructions, export_instructions
+from sievecraft.plans.reasoning import curate_reasoning, export_reasoning
 from sievecraft.session import shared_path
 from sievecraft.sources.corpus import read_corpus, read_jsonl
-from sievecraft.sources.sinks import json_array_text, write_jsonl
+from sievecraft.sources.sinks import json_array_text
 from workloads.curation import SEQ, SYSTEM_PROMPT, flat_chat
 from workloads.tables import (
     SQL_BEST,
@@ -65,19 +64,23 @@ def q_optional_column_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curated instructions to JSON lines, read back, to chat records, read back."""
-    cleaned, chats = shared_path(spark, "cleaned"), shared_path(spark, "chats")
-    write_jsonl(curate_instructions(instruction_rows(spark, sf_dir), SEQ).drop(*SEQ), cleaned)
-    schema = ", ".join(f"{c} string" for c in INSTRUCTION_COLUMNS)
-    rows = read_jsonl(spark, cleaned, schema, required=("input", "output"))
-    write_jsonl(to_messages(rows, SYSTEM_PROMPT), chats)
+    out = shared_path(spark, "instructions")
+    chats = export_instructions(instruction_rows(spark, sf_dir), SEQ, out, SYSTEM_PROMPT)
     m = F.col("messages")
-    return read_jsonl(spark, chats, "messages array<struct<role:string,content:string>>", ("messages",)).select(
+    return chats.select(
         F.concat_ws(",", m["role"]).alias("roles"),
         m[1]["content"].alias("user_content"),
         m[2]["content"].alias("assistant_content"),
     )
 
 
+def q_export_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON lines the whole reasoning job leaves behind."""
+    out = shared_path(spark, "reasoning")
+    records = export_reasoning(reasoning_rows(spark, sf_dir), SEQ, out)
+    return flat_chat(read_jsonl(spark, f"{out}/jsonl", records.drop(*SEQ).schema, ("id", "conversations", "metadata")))
+
+
 def q_json_array_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the exported array, each parsed back on its own."""
     records = curate_reasoning(reasoning_rows(spark, sf_dir), SEQ)
@@ -224,6 +227,7 @@ QUERIES = {
     "corpus_scan": q_corpus_scan,
     "optional_column_scan": q_optional_column_scan,
     "jsonl_round_trip": q_jsonl_round_trip,
+    "export_reasoning": q_export_reasoning,
     "json_array_export": q_json_array_export,
     "sort_by_id": q_sort_by_id,
     "scan_order": q_scan_order,
@@ -280,6 +284,7 @@ ORACLE = {
     "optional_column_scan": "SELECT doc_id, md5(text) AS question_key, '' AS starter_code FROM documents",
     "jsonl_round_trip": f"""WITH {SQL_BEST}
         SELECT 'system,user,assistant' AS roles, input AS user_content, output AS assistant_content FROM best""",
+    "export_reasoning": f"WITH {sql_unique_verified(16000)} SELECT {SQL_CHAT_COLUMNS} FROM firsts",
     "json_array_export": f"WITH {sql_unique_verified(16000)} SELECT {SQL_CHAT_COLUMNS} FROM firsts",
     "sort_by_id": "SELECT source, doc_id, n_chars FROM documents ORDER BY source, doc_id",
     "scan_order": f"WITH {SQL_BEST} SELECT doc_id, id, domain FROM best ORDER BY doc_id",

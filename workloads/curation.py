@@ -33,10 +33,7 @@ from workloads.tables import (
 )
 
 # Fixed value: the system prompt of the chat records.
-SYSTEM_PROMPT = (
-    "You are an expert Python programmer. Solve the given coding task by providing a complete and "
-    "correct Python solution enclosed in ```python``` code blocks."
-)
+SYSTEM_PROMPT = "You are an expert Python programmer. Solve the given coding task by providing a complete and correct Python solution enclosed in ```python``` code blocks."  # noqa: E501
 SEQ = ["doc_id"]
 TIGHT_BUDGET = 700  # tokens; low enough for the budget test to reject some rows
 

@@ -28,6 +28,7 @@ from sievecraft.operators.labels import (
     weigh_positions,
 )
 from sievecraft.operators.skew import join_unique
+from sievecraft.plans.targets import sample_targets, suffix_targets
 from sievecraft.session import shared_path
 from sievecraft.sources.corpus import spread
 from workloads.tables import sql_words, table
@@ -129,6 +130,27 @@ def q_mean_over_positions(spark, sf_dir) -> DataFrame:
     return pooled.select(*SAMPLE, as_ints(F.col("pooled")).alias("vector"))
 
 
+def q_sample_targets(spark, sf_dir) -> DataFrame:
+    """Whole responses: decoded, encoded through a stored table, attached."""
+    rows = sample_targets(
+        label_rows(spark, sf_dir), vocabulary(spark, sf_dir), SAMPLE, make_hash_encoder(), HASH_NAME, HASH_DIM,
+        shared_path(spark, "samples"), max_len=None, sep=" ",
+    )
+    return rows.select(*SAMPLE, "content_key", as_ints(F.col("embedding")).alias("vector"))
+
+
+def q_suffix_targets(spark, sf_dir) -> DataFrame:
+    """Anchor suffixes: decoded, encoded, and how many positions each serves."""
+    anchors, sources = suffix_targets(
+        label_rows(spark, sf_dir), vocabulary(spark, sf_dir), SAMPLE, make_hash_encoder(), HASH_NAME, HASH_DIM,
+        shared_path(spark, "suffixes"), K, STRIDE, MIN_LEN, max_len=None, sep=" ",
+    )
+    served = sources.where("has_target").groupBy(*SAMPLE, F.col("src_pos").alias("pos"))
+    return anchors.join(served.agg(F.count(F.lit(1)).alias("served")), [*SAMPLE, "pos"]).select(
+        *SAMPLE, F.col("pos").cast("long").alias("pos"), "served", as_ints(F.col("embedding")).alias("vector")
+    )
+
+
 def q_sample_vector_positions(spark, sf_dir) -> DataFrame:
     key = content_key(F.col("text"), HASH_NAME, None).alias("content_key")
     samples = turns(spark, sf_dir).select(*SAMPLE, key)
@@ -191,6 +213,8 @@ QUERIES = {
     "attach_embeddings": q_attach_embeddings,
     "table_encode": q_table_encode,
     "mean_over_positions": q_mean_over_positions,
+    "sample_targets": q_sample_targets,
+    "suffix_targets": q_suffix_targets,
     "sample_vector_positions": q_sample_vector_positions,
     "mean_pool": q_mean_pool,
     "vector_distances": q_vector_distances,
@@ -204,18 +228,21 @@ def _sql_ints(value: str, order: str) -> str:
     return f"string_agg(CAST(CAST(round(({value}) * 1e6) AS BIGINT) AS VARCHAR), ' ' ORDER BY {order})"
 
 
-# (conv_id, turn, text, j, x): unit mean of the word digests
-_SQL_HASH = f"""
-hw AS (SELECT conv_id, turn, text, md5(unnest({sql_words('text')})) AS h FROM conversations),
+# (keys, text, j, x): unit mean of the word digests
+def _sql_hash(source: str, keys: str) -> str:
+    return f"""
+hw AS (SELECT {keys}, text, md5(unnest({sql_words('text')})) AS h FROM {source}),
 hd AS (
-  SELECT conv_id, turn, text, j, avg(CAST('0x' || substr(h, CAST(2 * j + 1 AS INTEGER), 2) AS INTEGER) / 127.5::DOUBLE - 1) AS m
+  SELECT {keys}, text, j, avg(CAST('0x' || substr(h, CAST(2 * j + 1 AS INTEGER), 2) AS INTEGER) / 127.5::DOUBLE - 1) AS m
   FROM hw, range({HASH_DIM}) AS r(j) GROUP BY ALL
 ),
 unit AS (
-  SELECT conv_id, turn, text, j,
-         m / greatest(sqrt(sum(m * m) OVER (PARTITION BY conv_id, turn)), 1e-12) AS x
+  SELECT {keys}, text, j, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY {keys})), 1e-12) AS x
   FROM hd
 )"""
+
+
+_SQL_HASH = _sql_hash("conversations", "conv_id, turn")
 _SQL_KEY = f"md5('{HASH_NAME}|None|' || text)"
 
 # token vectors pooled per (conv_id, turn, pos): ``toks`` gives (conv_id, turn, pos, tid)
@@ -305,6 +332,33 @@ ORACLE = {
         )
         SELECT l.conv_id, l.turn, coalesce(v.vector, '{_ZERO}') AS vector
         FROM label_rows l LEFT JOIN vec v ON v.conv_id = l.conv_id AND v.turn = l.turn""",
+    "sample_targets": f"""WITH {SQL_LABELS},
+        decoded AS (
+          SELECT l.conv_id, l.turn, coalesce(string_agg(v.piece, ' ' ORDER BY r.pos), '') AS text
+          FROM label_rows l
+          LEFT JOIN resp r ON r.conv_id = l.conv_id AND r.turn = l.turn
+          LEFT JOIN (SELECT * FROM vocab WHERE token_id % 40 <> 0) v ON v.token_id = r.tid
+          GROUP BY l.conv_id, l.turn),
+        {_sql_hash("(SELECT * FROM decoded WHERE text <> '')", "conv_id, turn")},
+        vec AS (SELECT conv_id, turn, {_sql_ints('x', 'j')} AS vector FROM unit GROUP BY conv_id, turn)
+        SELECT d.conv_id, d.turn, {_SQL_KEY} AS content_key,
+               coalesce(v.vector, '{" ".join(["0"] * HASH_DIM)}') AS vector
+        FROM decoded d LEFT JOIN vec v ON v.conv_id = d.conv_id AND v.turn = d.turn""",
+    "suffix_targets": f"""WITH {SQL_LABELS}, {_sql_anchors(STRIDE)},
+        toks AS (SELECT conv_id, turn, pos, unnest(suffix) AS tid, generate_subscripts(suffix, 1) AS o FROM anchors),
+        decoded AS (
+          SELECT t.conv_id, t.turn, t.pos, string_agg(v.piece, ' ' ORDER BY t.o) AS text
+          FROM toks t JOIN vocab v ON v.token_id = t.tid WHERE t.tid % 40 <> 0 GROUP BY t.conv_id, t.turn, t.pos),
+        {_sql_hash("decoded", "conv_id, turn, pos")},
+        vec AS (SELECT conv_id, turn, pos, {_sql_ints('x', 'j')} AS vector FROM unit GROUP BY conv_id, turn, pos),
+        ranked AS (
+          SELECT r.conv_id, r.turn, a.pos,
+                 row_number() OVER (PARTITION BY r.conv_id, r.turn, r.pos ORDER BY abs(a.pos - r.pos), a.pos) AS near
+          FROM resp r JOIN anchors a ON a.conv_id = r.conv_id AND a.turn = r.turn
+        ),
+        served AS (SELECT conv_id, turn, pos, count(*) AS served FROM ranked WHERE near = 1 GROUP BY conv_id, turn, pos)
+        SELECT v.conv_id, v.turn, CAST(v.pos AS BIGINT) AS pos, s.served, v.vector
+        FROM vec v JOIN served s ON s.conv_id = v.conv_id AND s.turn = v.turn AND s.pos = v.pos""",
     "sample_vector_positions": f"""WITH {SQL_LABELS}
         SELECT r.conv_id, r.turn, CAST(r.pos AS BIGINT) AS pos, {_SQL_KEY} AS content_key
         FROM resp r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn""",
