@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievecraft.functions.text import strip
+from sievecraft.functions.text import let, strip
 
 # Score names and the lowest score that passes.
 MIN_SCORES = {
@@ -28,8 +28,7 @@ def _one_value(c: Column, item_type: str) -> Column:
     """
     wrapped = F.concat(F.lit('{"v":['), c, F.lit('],"end":1}'))
     parsed = F.from_json(wrapped, f"struct<v:array<{item_type}>,end:int>", _STRICT)
-    ok = (parsed["end"] == 1) & (F.size(parsed["v"]) == 1)
-    return F.when(ok, parsed["v"][0])
+    return let(parsed, lambda p: F.when((p["end"] == 1) & (F.size(p["v"]) == 1), p["v"][0]))
 
 
 def judge_scores(judgement: Column, names=tuple(MIN_SCORES)) -> Column:
@@ -51,8 +50,21 @@ def all_tests_pass(statuses: Column) -> Column:
     items = _one_value(statuses, "array<string>")
     every = F.forall(items, lambda s: s.eqNullSafe(F.lit(PASS_STATUS)))
     # An object is no array, but says so only by its first character.
-    return F.coalesce(every & F.startswith(strip(statuses), F.lit("[")), F.lit(False))
+    return F.coalesce(F.startswith(strip(statuses), F.lit("[")) & every, F.lit(False))
+
+
+def passing_score(
+    judgement: Column, statuses: Column, mins: dict[str, float] = MIN_SCORES, carried: str = CARRIED_SCORE
+) -> Column:
+    """The carried score of a row that passes both tests, else null.
+
+    Each text is parsed once, the statuses only where the scores pass.
+    """
+    return let(
+        judge_scores(judgement, tuple(mins)),
+        lambda s: F.when(F.when(scores_pass(s, mins), all_tests_pass(statuses)), s[carried]["score"]),
+    )
 
 
 def judge_pass(judgement: Column, statuses: Column, mins: dict[str, float] = MIN_SCORES) -> Column:
-    return scores_pass(judge_scores(judgement, tuple(mins)), mins) & all_tests_pass(statuses)
+    return passing_score(judgement, statuses, mins).isNotNull()

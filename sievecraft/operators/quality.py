@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.functions.judgement import (
-    CARRIED_SCORE,
-    MIN_SCORES,
-    all_tests_pass,
-    judge_scores,
-    scores_pass,
-)
+from sievecraft.functions.judgement import MIN_SCORES, passing_score
 from sievecraft.functions.text import est_tokens, text_or_empty
 
 # Fixed values.
@@ -22,20 +16,19 @@ TEXT_COLUMNS = ("question", "response", "code", "starter_code")
 
 def score_instructions(df: DataFrame, mins: dict[str, float] = MIN_SCORES) -> DataFrame:
     """Adds ``passed`` and ``edge_score`` (0 where the row does not pass)."""
+    score = passing_score(F.col("llm_judgement"), F.col("tests_execution_status"), mins)
     return (
-        df.withColumn("_scores", judge_scores(F.col("llm_judgement"), tuple(mins)))
-        .withColumn("passed", scores_pass(F.col("_scores"), mins) & all_tests_pass(F.col("tests_execution_status")))
-        .withColumn(
-            "edge_score",
-            F.when(F.col("passed"), F.col("_scores")[CARRIED_SCORE]["score"]).otherwise(F.lit(0.0)),
-        )
-        .drop("_scores")
+        df.withColumn("_score", score)
+        .withColumn("passed", F.col("_score").isNotNull())
+        .withColumn("edge_score", F.coalesce("_score", F.lit(0.0)))
+        .drop("_score")
     )
 
 
 def passing_instructions(df: DataFrame, *keep: str, mins: dict[str, float] = MIN_SCORES) -> DataFrame:
     """Passing rows that have an input, with the output columns and ``edge_score``."""
-    scored = score_instructions(df, mins).where(F.col("passed") & F.col("input").isNotNull())
+    score = passing_score(F.col("llm_judgement"), F.col("tests_execution_status"), mins)
+    scored = df.withColumn("edge_score", score).where("edge_score IS NOT NULL AND input IS NOT NULL")
     return scored.select(*INSTRUCTION_COLUMNS, "edge_score", *keep)
 
 

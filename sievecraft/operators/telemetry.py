@@ -73,7 +73,9 @@ def moving_average(df: DataFrame, run: str, step: str, value: str, decay: float
     stretch = Window.partitionBy(run, "_stretch").orderBy(step)
     upto = stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x, n, d = F.col(value).cast("double"), F.col("_n"), F.lit(float(decay))
-    placed = df.withColumn("_stretch", F.floor(F.col(step) / _stretch_width(decay)))
+    # Said here, so that both readers of the stretches below filter alike and share a shuffle.
+    known = df.where(F.col(run).isNotNull() & F.col(step).isNotNull())
+    placed = known.withColumn("_stretch", F.floor(F.col(step) / _stretch_width(decay))).where("_stretch IS NOT NULL")
     counted = placed.withColumn("_n", F.row_number().over(stretch))
     if decay > 0:
         inside = F.sum(x * (1 - d) * F.pow(d, -n)).over(upto) * F.pow(d, n)

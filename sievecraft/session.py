@@ -32,6 +32,9 @@ def build_session(app: str = "sievecraft", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, visible to every executor.
 
@@ -41,9 +44,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="sievecraft-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.conf.get("spark.app.id", "")
+        root = _local_roots.get(app) or _local_roots.setdefault(app, tempfile.mkdtemp(prefix="sievecraft-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
