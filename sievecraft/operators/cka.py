@@ -21,6 +21,7 @@ from sievecraft.functions.vectors import CKA_EPS, doubles
 from sievecraft.operators.skew import join_unique
 
 MIN_ROWS = 4  # the estimator divides by n - 3
+_GROUPS_IN_MEMORY = 256  # matrices a task holds before it hands them on
 
 
 def _means(df: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def _means(df: DataFrame) -> DataFrame:
     return df.groupBy("g").agg(mean("x").alias("mx"), mean("y").alias("my"))
 
 
-def _product_task():
+def _product_task(max_groups: int = _GROUPS_IN_MEMORY):
     """The per-task function, built in a closure so that workers need not import this package."""
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,6 +41,17 @@ def _product_task():
         import pandas as pd
 
         sums: dict = {}
+
+        def drain():
+            out = [
+                (g, name, i, row)
+                for g, stats in sums.items()
+                for name, matrix in zip(("xy", "xx", "yy", "s"), stats)
+                for i, row in enumerate(matrix)
+            ]
+            sums.clear()
+            return pd.DataFrame(out, columns=["g", "stat", "i", "v"])
+
         for pdf in batches:
             for g, part in pdf.groupby("g", dropna=False, sort=False):
                 x, y = np.stack(part["x"].to_numpy()), np.stack(part["y"].to_numpy())
@@ -48,13 +60,9 @@ def _product_task():
                 new = (x.T @ y, x.T @ x, y.T @ y, row_sums[None, :])
                 old = sums.get(g)
                 sums[g] = new if old is None else tuple(o + n for o, n in zip(old, new))
-        out = [
-            (g, name, i, row)
-            for g, stats in sums.items()
-            for name, matrix in zip(("xy", "xx", "yy", "s"), stats)
-            for i, row in enumerate(matrix)
-        ]
-        yield pd.DataFrame(out, columns=["g", "stat", "i", "v"])
+            if len(sums) > max_groups:  # partial sums add up later, so let go of them
+                yield drain()
+        yield drain()
 
     return products
 
@@ -92,7 +100,8 @@ def linear_cka(
         frobenius("yy"),
         F.first(F.when(F.col("stat") == "s", F.col("v")), ignorenulls=True).alias("s"),
     )
-    rows_in_group, sa, sb, sab, saa, sbb = (F.col("s")[i] for i in range(6))
+    count, sa, sb, sab, saa, sbb = (F.col("s")[i] for i in range(6))
+    rows_in_group = F.round(count)  # the summarizer rebuilds sums from means, a hair off the integer
     n = F.when(rows_in_group >= MIN_ROWS, rows_in_group)  # null below: no division by zero
     hxy = _hsic(F.col("xy"), n, sa, sb, sab)
     hxx = _hsic(F.col("xx"), n, sa, sa, saa)

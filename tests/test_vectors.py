@@ -180,6 +180,7 @@ def test_cka_equals_the_gram_form(spark):
     df = spark.createDataFrame(rows, "id int, g string, x array<double>, y array<double>").repartition(6)
     got = {r.group: r for r in linear_cka(df, F.col("x"), F.col("y"), ["id"], F.col("g")).collect()}
     for g, value in want.items():
+        assert got[g].n == sum(r[1] == g for r in rows)
         if value is None:
             assert got[g].cka is None and got[g].distance is None
         else:
@@ -193,3 +194,17 @@ def test_cka_of_rotated_vectors_is_one(spark):
     rows = [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, x @ q))]
     df = spark.createDataFrame(rows, "id int, x array<double>, y array<double>")
     assert linear_cka(df, F.col("x"), F.col("y"), ["id"]).first().distance == pytest.approx(0, abs=1e-6)
+
+
+def test_cka_counts_every_row(spark):
+    v = F.array(*[F.rand(i) for i in range(3)])
+    df = spark.range(0, 50_000, numPartitions=13).select("id", (F.col("id") % 37).alias("g"), v.alias("x"), v.alias("y"))
+    rows = linear_cka(df, F.col("x"), F.col("y"), ["id"], F.col("g")).collect()
+    assert {r.group: r.n for r in rows} == {str(g): len(range(g, 50_000, 37)) for g in range(37)}
+
+
+def test_cka_of_many_groups(spark):
+    v = F.array(*[F.rand(i) for i in range(2)])
+    df = spark.range(0, 9000, numPartitions=3).select("id", (F.col("id") % 1500).alias("g"), v.alias("x"), v.alias("y"))
+    rows = linear_cka(df, F.col("x"), F.col("y"), ["id"], F.col("g")).collect()
+    assert len(rows) == 1500 and all(r.n == 6 and r.cka == pytest.approx(1, abs=1e-3) for r in rows if r.cka)
