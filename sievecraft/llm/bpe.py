@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 
 from sievecraft.llm.common import table
 
-CACHE_WORDS, CACHE_RUNS, PIECE, LONG_WORD = 1 << 16, 1 << 19, 1 << 16, 1 << 10
+CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 16, 1 << 18, 1 << 18, 1 << 16, 1 << 10
 _SPACE = r"\p{White_Space}"
 _NO_WHITE_SPACE = re.compile("[\x1c-\x1f]")  # str.split takes these for white space
 _WORD_END = 0x100000  # added to the code point of a symbol that ends its word
@@ -71,6 +72,11 @@ class Merges:
         self.longest = max(map(len, self.rank), default=1)
         self.lookahead = self.sufficient_lookahead()
         self._stay: dict[tuple[str, str], bool] = {}
+        self.longest_first = ahocorasick.Automaton()
+        for token in self.ids:
+            if len(token) == 1 or token in self.rank:
+                self.longest_first.add_word(token, token)
+        self.longest_first.make_automaton()
 
     def _right_edge(self, token: str) -> Iterator[str]:
         yield token
@@ -108,50 +114,45 @@ class Merges:
                 before, x = rx, self.parts[x][1]
             else:  # of equal merges the left one comes first, so this one had not run
                 before, y = ry + 1, self.parts[y][0]
-        if len(self._stay) >= CACHE_RUNS:
+        if len(self._stay) >= CACHE_PAIRS:
             self._stay.clear()
         self._stay[a, b] = out
         return out
 
     def cut(self, text: str) -> list[str]:
-        """Tokens of a text, in one pass with steps back.
+        """Tokens of a text.
 
-        At each place the longest token is tried first; a place from which no token
-        gets on is never tried again. Since only one cut has neighbours that all
-        stay apart, the one that is found is the result.
+        Only one cut has neighbours that all stay apart. Mostly it takes the longest
+        token at each place; if not, it is searched for with steps back.
         """
-        rank, stay, n = self.rank, self._stay, len(text)
-        out: list[str] = []
-        at, size, dead = 0, min(self.longest, n), set()
-        while at < n:
-            token = text[at : at + size]
-            while size > 1 and token not in rank:
-                size -= 1
-                token = token[:size]
-            if size and at + size not in dead:
-                known = stay.get((out[-1], token)) if out else True
-                if known or (known is None and self.neighbours_stay(out[-1], token)):
-                    out.append(token)
-                    at += size
-                    size = min(self.longest, n - at)
-                    continue
-            size -= 1
-            if size <= 0:
-                if not out:
-                    raise ValueError(f"{text!r} can't be cut")
-                dead.add(at)
-                size = len(out.pop())
-                at -= size
-                size -= 1
-                while size == 0:
-                    if not out:
-                        raise ValueError(f"{text!r} can't be cut")
-                    dead.add(at)
-                    size = len(out.pop())
-                    at -= size
-                    size -= 1
+        out = [token for _, token in self.longest_first.iter_long(text)]
+        stay = self._stay.get
+        for pair in zip(out, out[1:]):
+            known = stay(pair)
+            if not known and (known is False or not self.neighbours_stay(*pair)):
+                return self.search(text)
         return out
 
+    def search(self, text: str) -> list[str]:
+        """The last token of every prefix, from the shortest on, and back from the end."""
+        stay, last = self._stay.get, [None] * (len(text) + 1)
+        for end, token in self.longest_first.iter(text):
+            end += 1
+            if last[end] is None:
+                start = end - len(token)
+                if not start:
+                    last[end] = token
+                elif before := last[start]:
+                    known = stay((before, token))
+                    if known or (known is None and self.neighbours_stay(before, token)):
+                        last[end] = token
+        out, end = [], len(text)
+        while end:
+            token = last[end]
+            out.append(token)
+            end -= len(token)
+        return out[::-1]
+
 
 class WordStream:
     """Ids of one word that comes in pieces; holds a few look-aheads of symbols."""
@@ -181,17 +182,44 @@ class WordStream:
         self.held = ""
 
 
-class _Words(dict):
-    """Word -> ids as little-endian 32-bit bytes, filled on demand, emptied when full."""
+class _Kept(dict):
+    """Text -> 32-bit little-endian ids, made on demand.
 
-    def __init__(self, merges: Merges):
+    Of two generations of at most ``size`` texts the older goes when the younger is
+    full; what is asked for again moves to the younger.
+    """
+
+    def __init__(self, size: int):
         super().__init__()
+        self.size, self.older = size, {}
+
+    def make(self, text: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.older.get(text)
+        if out is None:
+            out = self.make(text)
+            if len(text) > 64:
+                return out
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[text] = out
+        return out
+
+
+class _Words(_Kept):
+    """Ids of single words."""
+
+    def __init__(self, merges: Merges):
+        super().__init__(CACHE_WORDS)
         self.merges, self.table = merges, str.maketrans({chr(b): c for b, c in byte_characters().items()})
 
     def symbols(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self.table)
 
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         symbols, merges = self.symbols(word), self.merges
         if len(symbols) <= merges.longest:  # no need to stream
             if merges.marks_end:
@@ -200,28 +228,21 @@ class _Words(dict):
         else:
             stream = WordStream(merges)
             ids = [*stream.feed(symbols), *stream.finish()]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Runs(dict):
-    """Text between white space -> ids of its words, filled on demand, emptied when full."""
+class _Runs(_Kept):
+    """Ids of the words between two white spaces."""
 
     def __init__(self, tokenizer: "Tokenizer"):
-        super().__init__()
+        super().__init__(CACHE_RUNS)
         self.tok = tokenizer
 
-    def __missing__(self, run: str) -> bytes:
-        out = b"".join(map(self.tok.words.__getitem__, self.tok.pattern.findall(self.tok.normalise(run))))
-        if len(run) <= 64:
-            if len(self) >= CACHE_RUNS:
-                self.clear()
-            self[run] = out
-        return out
+    def make(self, run: str) -> bytes:
+        text = self.tok.normalise(run)
+        if text.isascii() and text.isalpha():
+            return self.tok.words[text]
+        return b"".join(map(self.tok.words.__getitem__, self.tok.pattern.findall(text)))
 
 
 class Tokenizer:
@@ -389,6 +410,11 @@ def load(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
+def _ids_array(parts: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(parts), "<i4"))
+
+
 def encode(text: Column | str, path: str) -> Column:
     """Ids of a text as array<int>; null is the empty text, so it gives an empty array."""
 
@@ -396,9 +422,7 @@ def encode(text: Column | str, path: str) -> Column:
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = load(path)
         for texts in batches:
-            parts = [encode_text(tok, t or "") for t in texts.to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-            yield pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(parts), "<i4"))
+            yield _ids_array([encode_text(tok, t.as_py() or "") for t in texts])
 
     return ids_of(text)
 
@@ -418,6 +442,20 @@ def decode(ids: Column | str, path: str) -> Column:
     return text_of(ids)
 
 
+def round_trip(text: Column | str, path: str) -> Column:
+    """struct(ids, decoded): ``encode`` and ``decode`` of its ids in one Python worker."""
+
+    @arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tok = load(path)
+        for texts in batches:
+            parts = [encode_text(tok, t.as_py() or "") for t in texts]
+            decoded = pa.array([decode_ids(tok, np.frombuffer(p, "<i4")) for p in parts], pa.string())
+            yield pa.StructArray.from_arrays([_ids_array(parts), decoded], ["ids", "decoded"])
+
+    return both(text)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -426,8 +464,8 @@ def tokenizer_path(name: str) -> str:
 
 def op6_streaming_bpe(spark, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode("text", path).alias("ids"))
-    return docs.withColumn("decoded", decode("ids", path)).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", round_trip("text", path).alias("both"))
+    return docs.select("doc_id", "both.*").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
