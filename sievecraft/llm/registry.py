@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievecraft.llm import bpe, decontaminate, host_rules, pseudonyms, sharding, warc
+from sievecraft.llm import bpe, dart_minhash, decontaminate, host_rules, pseudonyms, sharding, warc
 
-_MODULES = (warc, host_rules, pseudonyms, sharding, decontaminate, bpe)
+_MODULES = (warc, host_rules, pseudonyms, sharding, decontaminate, bpe, dart_minhash)
 
 QUERIES = {name: q for module in _MODULES for name, q in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
