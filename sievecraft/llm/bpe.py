@@ -42,8 +42,8 @@ _WORD_END = 0x100000  # added to the code point of a symbol that ends its word
 
 def byte_characters() -> dict[int, str]:
     """The printable character for each byte in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
@@ -266,10 +266,13 @@ class Tokenizer:
             raise ValueError("only a word pattern followed by byte level is supported")
         self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE))
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.byte_of = {c: b for b, c in byte_characters().items()}
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
 
     def normalise(self, text: str) -> str:
-        if "NFC" in self.steps and not text.isascii():
+        if text.isascii():
+            return text.lower() if "Lowercase" in self.steps else text
+        if "NFC" in self.steps:
             text = unicodedata.normalize("NFC", text)
         if "Lowercase" in self.steps:  # character by character: no final sigma
             text = text.replace("Σ", "σ").lower()
@@ -365,7 +368,7 @@ class DecodeStream:
 
     def __init__(self, tokenizer: Tokenizer):
         self.tok, self.first = tokenizer, True
-        self.bytes = {c: b for b, c in byte_characters().items()}
+        self.bytes = tokenizer.byte_of
         self.automaton = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
