@@ -9,17 +9,19 @@ that promises enough hits are looked at, so the cost is the number of runs plus
 length of the signature, not their product.
 
 Texts that share a band are candidates. A bucket is never expanded into pairs: its
-members are compared with its most connected member. Where members of a bucket end
-up in different components, more members are compared with the rest, twice as many
-in each round, until every bucket lies in one component or has no member left to
-compare, so no link that shares a band is lost. All comparisons are exact.
+members are compared with its most connected member, the centre, exactly. What the
+comparisons tell about two members of a bucket that are still apart settles most of
+the rest: they can only be alike if one is little more than what it shares with the
+centre, which their sizes show, or if they share runs that the centre lacks. The
+first are compared; the second make new, smaller buckets of which the same is done,
+until none is left. So no link between texts that share a band is lost.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievecraft.llm.common import stored, table
@@ -130,19 +132,26 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(work, f"doc {kind}, content binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The (centre, member) pairs whose weighted Jaccard similarity reaches the bound.
+def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Exact comparison of (centre, member) pairs.
 
-    ``texts`` has (node, text). A centre's text is copied once per
-    ``PER_TASK`` members, and a task reads centre and members in order, one at a time.
+    ``alike`` tells whether the weighted Jaccard similarity reaches the bound, ``size``
+    is the number of runs of the member, ``common`` how many of them the centre has,
+    ``others`` so many of the runs that the centre lacks, in order of their hash, that
+    two members without a common one there are not alike unless their sizes allow it.
+
+    ``texts`` has (node, text). A centre's text is copied once per ``PER_TASK``
+    members, and a task reads centre and members in order, one at a time.
     """
     copies = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("copies"))
     members = pairs.join(copies, "centre").select(
         "centre", "member", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("copy")
     )
-    centres = copies.select("centre", F.col("centre").alias("member"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    centres = copies.select("centre", F.col("centre").alias("member"), every.alias("copy"))
     rows = (
-        members.withColumn("own", F.lit(1)).unionByName(centres.withColumn("own", F.lit(0)))
+        members.withColumn("own", F.lit(1))
+        .unionByName(centres.withColumn("own", F.lit(0)))
         .join(texts.withColumnRenamed("node", "member"), "member")
         .repartition("centre", "copy")
         .sortWithinPartitions("centre", "copy", "own", "member")
@@ -152,9 +161,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = None
         for batch in batches:
-            found = []
+            found, alike, sizes, commons, others = [], [], [], [], []
             raw = batch.column(3).cast(pa.binary()).to_pylist()
-            own, left, right = (batch.column(i).to_pylist() for i in (2, 0, 1))
+            left, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in text_batches(raw):
                 words, first, _, _ = word_hashes(raw[a:b])
                 number, item, times = counted(*run_hashes(words, first, width))
@@ -167,15 +176,64 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                     if centre is None or centre[0] != left[i]:
                         raise RuntimeError(f"no text for {left[i]!r}")
                     _, x, y = np.intersect1d(centre[1], item[part], True, True)
-                    shared = np.minimum(centre[2][x], times[part][y]).sum()
-                    if shared >= similarity * (centre[3] + times[part].sum() - shared) - 1e-9:
-                        found.append(i)
+                    more = times[part].copy()
+                    both = np.minimum(centre[2][x], more[y])
+                    more[y] -= both
+                    size, common = int(times[part].sum()), int(both.sum())
+                    # members that share too little of their other runs can't be alike: the last may be left out
+                    need = max(similarity * size - common, 0)
+                    lacks = np.flatnonzero(more)
+                    behind = np.cumsum(more[lacks][::-1])[::-1]
+                    found.append(i)
+                    alike.append(common >= similarity * (centre[3] + size - common) - 1e-9)
+                    sizes.append(size)
+                    commons.append(common)
+                    others.append(item[part][lacks[behind >= need - 1e-9]].view(np.int64))
+            at = pa.array(found, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(found, pa.int64())), batch.column(1).take(pa.array(found, pa.int64()))],
-                ["centre", "member"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(alike, pa.bool_()),
+                 pa.array(sizes, pa.int64()), pa.array(commons, pa.int64()), pa.array(others, pa.list_(pa.int64()))],
+                ["centre", "member", "alike", "size", "common", "others"],
             )
 
-    return rows.mapInArrow(work, "centre binary, member binary")
+    return rows.mapInArrow(
+        work, "centre binary, member binary, alike boolean, size long, common long, others array<long>"
+    )
+
+
+def short_pairs(family: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of a centre that may be alike without sharing a run that the centre lacks.
+
+    With x the one that shares less with the centre, at most ``x.common`` runs are in
+    both, so alike texts need ``y.size <= x.common / similarity - x.extra``, and
+    ``y.size >= y.common >= x.common``. Sizes are joined by bins of five percent.
+    """
+    place = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(1.05)) + 1e-9)
+    top = F.floor(F.col("common") / similarity - (F.col("size") - F.col("common")) + 1e-9)
+    x = family.select("centre", F.col("member").alias("a"), F.col("label").alias("of"), F.col("common").alias("least"), top.alias("top"))
+    x = x.where("top >= least AND least > 0").withColumn("bin", F.explode(F.sequence(place(F.col("least")), place(F.col("top")))))
+    y = family.select("centre", F.col("member").alias("b"), "label", "size", "common", place(F.col("size")).alias("bin"))
+    return (
+        x.join(y, ["centre", "bin"])
+        .where("label <> of AND size <= top AND (common > least OR common = least AND b > a)")
+        .select(F.col("a").alias("centre"), F.col("b").alias("member"))
+        .distinct()
+    )
+
+
+def stars(buckets: DataFrame) -> DataFrame:
+    """(centre, member) pairs of the (key, node) buckets with two nodes or more.
+
+    A node's weight is the number of nodes it meets in all its buckets; the heaviest
+    node of a bucket, of equals the first, is its centre.
+    """
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(buckets.join(shared, "key"), "buckets")
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = members.drop("n").join(weight, "node")
+    centre = F.max_by("node", F.struct("weight", "node")).alias("centre")
+    centres = weighed.groupBy("key").agg(centre)
+    return members.join(centres, "key").where("node <> centre").select("centre", F.col("node").alias("member")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,6 +258,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -228,44 +293,32 @@ def near_duplicates(
         "contents",
     )
     buckets = contents.where("rep IS NOT NULL").select(F.col("content").alias("node"), F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(buckets.join(shared, "key"), "members")
-    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = stored(members.drop("n").join(degree, "node"), "members")
-    wanted = members.select(F.col("node").alias("content")).distinct().join(contents, "content")
+    pairs = stored(stars(buckets), "pairs")
+    wanted = pairs.select(F.explode(F.array("centre", "member")).alias("content")).distinct().join(contents, "content")
     texts = stored(
         docs.join(wanted.select(F.col("rep").alias("doc"), "content"), ["doc", "content"], "left_semi").select(
             F.col("content").alias("node"), "text"
         ),
         "texts",
     )
-    edges, labels, pivots = [], None, 1
-    while True:
-        if labels is None:
-            current = members.withColumn("label", F.col("node"))
-        else:
-            current = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = current.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        current = stored(current.join(spread.select("key"), "key"), "mixed")
-        if current.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-        chosen = stored(
-            current.withColumn("place", place).where(F.col("place") <= pivots).select("key", F.col("node").alias("centre"), F.col("label").alias("of")),
-            "pivots",
-        )
-        pairs = stored(
-            current.join(chosen, "key").where("label <> of").select("centre", F.col("node").alias("member")).distinct(), "pairs"
-        )
-        edges.append(stored(verified(pairs, texts, width, similarity).toDF("a", "b"), "links"))
-        union = edges[0]
-        for more in edges[1:]:
-            union = union.unionByName(more)
-        labels = components(union)
-        members = current.drop("label").join(
-            chosen.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti"
-        )
-        pivots *= 2
+    links, labels = [], None
+    while not pairs.isEmpty():
+        family = stored(compared(pairs, texts, width, similarity), "compared")
+        links.append(family.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
+        labels = components(_union(links)).withColumnRenamed("node", "member")
+        family = family.join(labels, "member", "left").withColumn("label", F.coalesce("label", "member"))
+        apart = family.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        family = stored(family.join(apart.select("centre"), "centre"), "apart")
+        short = stored(short_pairs(family, similarity), "short")
+        if not short.isEmpty():
+            again = stored(compared(short, texts, width, similarity), "compared")
+            links.append(again.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
+        runs = family.select(F.explode("others").alias("run"), "centre", F.col("member").alias("node"), "label")
+        runs = runs.select(F.xxhash64("centre", "run").alias("key"), "node", "label")
+        apart = runs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        pairs = stored(stars(runs.join(apart.select("key"), "key").select("key", "node").distinct()), "pairs")
+    if links:
+        labels = components(_union(links))
     classes = contents.select("content", "rep", "n_copies")
     if labels is None:
         classes = classes.withColumn("class_id", F.col("rep"))
