@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sievecraft.llm.common import table
+from sievecraft.llm.common import stored, table
 from sievecraft.llm.shingles import text_batches
 
 DECAY, SPAN, LOWEST, THRESHOLD = 0.6, 6, -4.0, 0.3
 #: Bounds of the training sample: texts of a class, words, landmarks of a class.
-MAX_TOXIC, MAX_CLEAN, MAX_WORDS, FIRST_WORDS, LANDMARKS = 4000, 12000, 200_000, 5000, 256
+MAX_TOXIC, MAX_CLEAN, MAX_WORDS, FIRST_WORDS, LANDMARKS = 4000, 12000, 60_000, 5000, 256
 
 # 0 stands between words, 1 to 26 are letters (some digits stand for letters), 27 to 31 are
 # classes of other characters, 255 is left out
@@ -212,17 +212,19 @@ def _curve(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def toxic_words(counts: list[tuple[str, int, int]], toxic_texts: int, clean_texts: int) -> list[str]:
-    """Words of no clean text that occur in more toxic texts than chance explains.
+def least_count(totals: dict[int, int], toxic_texts: int, clean_texts: int) -> int:
+    """From how many texts on a word of toxic texts alone is not there by chance.
 
-    If labels were dealt at random, a word of k texts would fall into toxic ones only
-    with probability share**k. The least k is taken for which less than half a word
-    would be expected to do so.
+    ``totals`` has the number of words by number of texts. If labels were dealt at
+    random, a word of k texts would fall into toxic ones only with probability
+    share**k. The least k is taken for which less than half a word would do so.
     """
-    share = toxic_texts / max(1, toxic_texts + clean_texts)
-    totals = np.bincount([a + b for _, a, b in counts] or [0])
-    least = next((k for k in range(2, len(totals)) if totals[k:].sum() * share**k < 0.5), len(totals))
-    return [w for w, a, b in counts if not b and a >= least]
+    share = toxic_texts / (toxic_texts + clean_texts)
+    k, above = 2, sum(n for t, n in totals.items() if t >= 2)
+    while above * share**k >= 0.5:
+        above -= totals.get(k, 0)
+        k += 1
+    return k
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
@@ -255,10 +257,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .groupBy("w")
         .agg(F.sum("y").alias("a"), F.count(F.when(F.col("y") == 0, 1)).alias("b"))
     )
-    totals = dict(sample.groupBy("y").count().collect())
-    frequent = counted.where("a >= 2 OR b >= 2").orderBy(F.xxhash64("w")).limit(4 * MAX_WORDS).collect()
-    up = toxic_words([(r.w, r.a, r.b) for r in frequent], totals.get(1, 0), totals.get(0, 0))
-    down = [r.w for r in counted.where("b > 0").orderBy(F.xxhash64("w")).limit(MAX_WORDS).collect()]
+    counted = stored(counted, "word_counts")
+    texts = dict(sample.groupBy("y").count().collect())
+    totals = dict(counted.groupBy(F.col("a") + F.col("b")).count().collect())
+    least = least_count(totals, texts.get(1, 0), texts.get(0, 1))
+    frequent = counted.where((F.col("b") == 0) & (F.col("a") >= least)).orderBy(F.desc("a"), F.xxhash64("w"))
+    up = [r.w for r in frequent.select("w").limit(MAX_WORDS).collect()]
+    down = [r.w for r in counted.where("b > 0").orderBy(F.xxhash64("w")).select("w").limit(MAX_WORDS).collect()]
     if not up or not down:
         return none
     weights, bias = train_words(up, down)
