@@ -13,8 +13,8 @@ members are compared with its most connected member, the centre, exactly. What t
 comparisons tell about two members of a bucket that are still apart settles most of
 the rest: they can only be alike if one is little more than what it shares with the
 centre, which their sizes show, or if they share runs that the centre lacks. The
-first are compared; the second make new, smaller buckets of which the same is done,
-until none is left. So no link between texts that share a band is lost.
+first are compared; the second make new, smaller buckets. Those of at most ``FEW``
+members are compared member by member, with larger ones the same is done again. So no link between texts that share a band is lost.
 """
 
 from collections.abc import Iterator
@@ -28,6 +28,7 @@ from sievecraft.llm.common import stored, table
 from sievecraft.llm.shingles import counted, mix, run_hashes, text_batches, word_hashes
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
+FEW = 16
 PER_TASK = 256  # members that one copy of a centre is compared with
 _LOW = -6  # the lowest rank cell is [0, 2**-6)
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -309,14 +310,18 @@ def near_duplicates(
         family = family.join(labels, "member", "left").withColumn("label", F.coalesce("label", "member"))
         apart = family.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         family = stored(family.join(apart.select("centre"), "centre"), "apart")
-        short = stored(short_pairs(family, similarity), "short")
-        if not short.isEmpty():
-            again = stored(compared(short, texts, width, similarity), "compared")
-            links.append(again.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
         runs = family.select(F.explode("others").alias("run"), "centre", F.col("member").alias("node"), "label")
-        runs = runs.select(F.xxhash64("centre", "run").alias("key"), "node", "label")
-        apart = runs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        pairs = stored(stars(runs.join(apart.select("key"), "key").select("key", "node").distinct()), "pairs")
+        runs = runs.select(F.xxhash64("centre", "run").alias("key"), "node", "label").distinct()
+        groups = runs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+        runs = stored(runs.join(groups.where("low <> high").select("key", "n"), "key"), "runs")
+        few = runs.where(F.col("n") <= FEW)
+        other = few.select("key", F.col("node").alias("member"), F.col("label").alias("of"))
+        direct = few.join(other, "key").where("node < member AND label <> of").select(F.col("node").alias("centre"), "member")
+        direct = stored(direct.unionByName(short_pairs(family, similarity)).distinct(), "direct")
+        if not direct.isEmpty():
+            again = stored(compared(direct, texts, width, similarity), "compared")
+            links.append(again.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
+        pairs = stored(stars(runs.where(F.col("n") > FEW).select("key", "node")), "pairs")
     if links:
         labels = components(_union(links))
     classes = contents.select("content", "rep", "n_copies")
