@@ -10,11 +10,11 @@ length of the signature, not their product.
 
 Texts that share a band are candidates. A bucket is never expanded into pairs: its
 members are compared with its most connected member, the centre, exactly. What the
-comparisons tell about two members of a bucket that are still apart settles most of
-the rest: they can only be alike if one is little more than what it shares with the
-centre, which their sizes show, or if they share runs that the centre lacks. The
-first are compared; the second make new, smaller buckets. Those of at most ``FEW``
-members are compared member by member, with larger ones the same is done again. So no link between texts that share a band is lost.
+comparisons tell about two members close to the centre that are still apart settles
+most of the rest: they can only be alike if one is little more than what it shares
+with the centre, which their sizes show, or if they share runs that the centre lacks.
+The first are compared; the second make new, smaller buckets. Those of at most ``FEW``
+members are compared member by member, with larger ones the same is done again.
 """
 
 from collections.abc import Iterator
@@ -29,6 +29,11 @@ from sievecraft.llm.shingles import counted, mix, run_hashes, text_batches, word
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 FEW = 16
+# An alike pair is lost to a centre only if the centre takes every band that the pair
+# shares. With less than this part of a member common with the centre, a shared band
+# is taken with probability CLOSE**ROWS at most, all of them with
+# (1 - 0.8**4 * (1 - 0.6**4))**24 < 3e-5, about as rare as a pair that shares no band.
+CLOSE = 0.6
 PER_TASK = 256  # members that one copy of a centre is compared with
 _LOW = -6  # the lowest rank cell is [0, 2**-6)
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -307,6 +312,7 @@ def near_duplicates(
         family = stored(compared(pairs, texts, width, similarity), "compared")
         links.append(family.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
         labels = components(_union(links)).withColumnRenamed("node", "member")
+        family = family.where(F.col("common") >= CLOSE * F.col("size"))
         family = family.join(labels, "member", "left").withColumn("label", F.coalesce("label", "member"))
         apart = family.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         family = stored(family.join(apart.select("centre"), "centre"), "apart")
