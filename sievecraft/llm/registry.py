@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievecraft.llm import bpe, compact_windows, dart_minhash, decontaminate, host_rules, pseudonyms, sharding, toxicity, warc
+from sievecraft.llm import bpe, compact_windows, dart_minhash, decontaminate, host_rules, pseudonyms, sharding, token_files, toxicity, warc
 
-_MODULES = (warc, host_rules, pseudonyms, sharding, decontaminate, bpe, dart_minhash, toxicity, compact_windows)
+_MODULES = (warc, host_rules, pseudonyms, sharding, decontaminate, bpe, dart_minhash, toxicity, compact_windows, token_files)
 
 QUERIES = {name: q for module in _MODULES for name, q in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
