@@ -36,7 +36,8 @@ from sievecraft.llm.common import table
 
 CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 16, 1 << 18, 1 << 18, 1 << 16, 1 << 10
 _SPACE = r"\p{White_Space}"
-_NO_WHITE_SPACE = re.compile("[\x1c-\x1f]")  # str.split takes these for white space
+_NO_SPACE = "\x1c\x1d\x1e\x1f"  # str.split and str.isspace take these for white space
+_NO_WHITE_SPACE = re.compile(f"[{_NO_SPACE}]")
 _WORD_END = 0x100000  # added to the code point of a symbol that ends its word
 
 
@@ -294,7 +295,7 @@ class TextStream:
 
     def feed(self, piece: str) -> Iterator[bytes]:
         self.raw += piece
-        cut = next((i + 1 for i in range(len(self.raw) - 1, -1, -1) if self.raw[i].isspace()), 0)
+        cut = next((i + 1 for i in range(len(self.raw) - 1, -1, -1) if self.raw[i].isspace() and self.raw[i] not in _NO_SPACE), 0)
         if not cut and len(self.raw) > LONG_WORD:
             cut = self._inner_cut()
             if cut:
