@@ -29,9 +29,9 @@ from pyspark.sql.functions import arrow_udf
 from sievecraft.llm.common import stored, table
 from sievecraft.llm.shingles import text_batches
 
-DECAY, SPAN, LOWEST, THRESHOLD = 0.6, 6, -4.0, 0.3
+DECAY, SPAN, LOWEST, THRESHOLD = 0.75, 6, -4.0, 0.3
 #: Bounds of the training sample: texts of a class, words, landmarks of a class.
-MAX_TOXIC, MAX_CLEAN, MAX_WORDS, FIRST_WORDS, LANDMARKS = 4000, 12000, 60_000, 5000, 256
+MAX_TOXIC, MAX_CLEAN, MAX_WORDS, FIRST_WORDS, LANDMARKS = 4000, 12000, 40_000, 4000, 128
 
 # 0 stands between words, 1 to 26 are letters (some digits stand for letters), 27 to 31 are
 # classes of other characters, 255 is left out
@@ -53,7 +53,7 @@ def letters(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
     Words of one letter that follow each other are one word, as in a spelt-out insult.
     """
-    joined = b"\x00" + b"\x00".join(t or b"" for t in texts) + b"\x00"
+    joined = b"\x00" + b"\x00".join((t or b"").replace(b"\x00", b" ") for t in texts) + b"\x00"
     data = np.frombuffer(joined, np.uint8)
     code = _CODE[data]
     text = np.cumsum(data == 0, dtype=np.int32) - 1
@@ -157,12 +157,12 @@ def _features(words: list[str], columns: dict[int, int] | None) -> tuple[np.ndar
 
 def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by Newton steps."""
-    z = np.hstack([z, np.ones((len(z), 1))])
+    z = np.hstack([z, np.ones((len(z), 1), z.dtype)])
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
     w, active = np.zeros(z.shape[1]), np.ones(len(z), np.bool_)
     for _ in range(50):
-        part = z[active] * cost[active, None]
+        part = z[active] * cost[active, None].astype(z.dtype)
         w = np.linalg.solve(ridge + part.T @ z[active], part.T @ y[active])
         now = y * (z @ w) < 1
         if (now == active).all():
@@ -178,7 +178,7 @@ def train_words(toxic: list[str], clean: list[str], rounds: int = 3) -> tuple[np
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     half = vectors[:, good] / np.sqrt(values[good])  # landmarks -> orthonormal directions
-    project = (half.T @ basis).T
+    project = (half.T @ basis).T.astype(np.float32)
 
     def vectors_of(words: list[str]) -> np.ndarray:
         return np.concatenate([_features(words[i : i + 1000], columns)[0] @ project for i in range(0, len(words), 1000)])
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return none
     picked = spark.createDataFrame(ids, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, y int")
     sample = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(picked), doc_id)
-    sample = sample.select(F.col(text).alias("text"), "y")
+    sample = stored(sample.select(F.col(text).alias("text"), "y"), "labelled")
     # words in the sense of ``letters`` that matter for the list: runs without white space, letters only
     words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\s]", ""), r"\s+"))
     counted = (
