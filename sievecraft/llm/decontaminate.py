@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sievecraft.llm.common import free_name, table
+from sievecraft.llm.common import free_name, stored, table
 
 WINDOW, MIN_PERCENT, BLOCK_BYTES = 13, 5, 16 << 20
 
@@ -140,6 +140,8 @@ def find_contamination(
         else:
             out = out.withColumns({c: F.col(hit)[f] for c, f in (("n_words", "n_words"), (spans, "hits"), (ids, "items"))})
         out = out.drop(hit)
+        if b % 16 == 15:  # keep the plan short
+            out = stored(out, "scanned")
     if blocks > 1:
         out = out.withColumn(spans, F.sort_array(spans))
     merged = F.aggregate(
