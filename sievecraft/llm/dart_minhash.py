@@ -21,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievecraft.llm.common import stored, table
 from sievecraft.llm.shingles import counted, mix, run_hashes, text_batches, word_hashes
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-FEW = 16
+FEW = 32
 # An alike pair is lost to a centre only if the centre takes every band that the pair
 # shares. With less than this part of a member common with the centre, a shared band
 # is taken with probability CLOSE**ROWS at most, all of them with
@@ -143,8 +143,8 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
     ``alike`` tells whether the weighted Jaccard similarity reaches the bound, ``size``
     is the number of runs of the member, ``common`` how many of them the centre has,
-    ``others`` so many of the runs that the centre lacks, in order of their hash, that
-    two members without a common one there are not alike unless their sizes allow it.
+    ``others`` the runs that the centre lacks, with their number, if the member is
+    close to the centre.
 
     ``texts`` has (node, text). A centre's text is copied once per ``PER_TASK``
     members, and a task reads centre and members in order, one at a time.
@@ -167,7 +167,7 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre = None
         for batch in batches:
-            found, alike, sizes, commons, others = [], [], [], [], []
+            found, alike, sizes, commons, runs, numbers, ends = [], [], [], [], [], [], [0]
             raw = batch.column(3).cast(pa.binary()).to_pylist()
             left, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in text_batches(raw):
@@ -186,27 +186,49 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                     both = np.minimum(centre[2][x], more[y])
                     more[y] -= both
                     size, common = int(times[part].sum()), int(both.sum())
-                    # members that share too little of their other runs can't be alike: the last may be left out
-                    need = max(similarity * size - common, 0)
-                    lacks = np.flatnonzero(more)
-                    behind = np.cumsum(more[lacks][::-1])[::-1]
+                    lacks = np.flatnonzero(more) if common >= CLOSE * size else np.zeros(0, np.int64)
                     found.append(i)
                     alike.append(common >= similarity * (centre[3] + size - common) - 1e-9)
                     sizes.append(size)
                     commons.append(common)
-                    others.append(item[part][lacks[behind >= need - 1e-9]].view(np.int64))
+                    runs.append(item[part][lacks].view(np.int64))
+                    numbers.append(more[lacks].astype(np.int64))
+                    ends.append(ends[-1] + len(lacks))
             at = pa.array(found, pa.int64())
+            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (runs, numbers)]
+            others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["run", "n"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(alike, pa.bool_()),
-                 pa.array(sizes, pa.int64()), pa.array(commons, pa.int64()), pa.array(others, pa.list_(pa.int64()))],
+                 pa.array(sizes, pa.int64()), pa.array(commons, pa.int64()), others],
                 ["centre", "member", "alike", "size", "common", "others"],
             )
 
     return rows.mapInArrow(
-        work, "centre binary, member binary, alike boolean, size long, common long, others array<long>"
+        work, "centre binary, member binary, alike boolean, size long, common long, others array<struct<run:long,n:long>>"
     )
 
 
+def extra_buckets(family: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, label, n): members of a centre that share a run that the centre lacks.
+
+    Alike members share at least ``similarity * size - common`` of those runs, so it
+    is enough to file each under its rarest ones: those with at least that many of its
+    runs from there on. Rare is what few members of the centre have; what only one has
+    counts first and is filed nowhere. Buckets of one label are left out.
+    """
+    every = family.select("centre", "member", "label", "size", "common", F.explode("others").alias("o")).select(
+        "centre", "member", "label", "size", "common", "o.run", "o.n"
+    )
+    often = every.groupBy("centre", "run").agg(F.count("*").alias("members")).where("members > 1")
+    every = every.join(often, ["centre", "run"])
+    mine = Window.partitionBy("centre", "member")
+    from_here = F.sum("n").over(mine.orderBy("members", "run").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    filed = every.withColumn("behind", from_here).where(F.col("behind") >= similarity * F.col("size") - F.col("common") - 1e-9)
+    filed = filed.select(F.xxhash64("centre", "run").alias("key"), F.col("member").alias("node"), "label").distinct()
+    groups = filed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    return filed.join(groups.where("low <> high").select("key", "n"), "key")
+
+
 def short_pairs(family: DataFrame, similarity: float) -> DataFrame:
     """Pairs of members of a centre that may be alike without sharing a run that the centre lacks.
 
@@ -311,15 +333,13 @@ def near_duplicates(
     while not pairs.isEmpty():
         family = stored(compared(pairs, texts, width, similarity), "compared")
         links.append(family.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
-        labels = components(_union(links)).withColumnRenamed("node", "member")
+        if labels is None or not (links[-1].isEmpty() and (len(links) < 2 or links[-2].isEmpty())):
+            labels = components(_union(links)).withColumnRenamed("node", "member")
         family = family.where(F.col("common") >= CLOSE * F.col("size"))
         family = family.join(labels, "member", "left").withColumn("label", F.coalesce("label", "member"))
         apart = family.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         family = stored(family.join(apart.select("centre"), "centre"), "apart")
-        runs = family.select(F.explode("others").alias("run"), "centre", F.col("member").alias("node"), "label")
-        runs = runs.select(F.xxhash64("centre", "run").alias("key"), "node", "label").distinct()
-        groups = runs.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-        runs = stored(runs.join(groups.where("low <> high").select("key", "n"), "key"), "runs")
+        runs = stored(extra_buckets(family, similarity), "runs")
         few = runs.where(F.col("n") <= FEW)
         other = few.select("key", F.col("node").alias("member"), F.col("label").alias("of"))
         direct = few.join(other, "key").where("node < member AND label <> of").select(F.col("node").alias("centre"), "member")
@@ -328,7 +348,7 @@ def near_duplicates(
             again = stored(compared(direct, texts, width, similarity), "compared")
             links.append(again.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
         pairs = stored(stars(runs.where(F.col("n") > FEW).select("key", "node")), "pairs")
-    if links:
+    if labels is not None:
         labels = components(_union(links))
     classes = contents.select("content", "rep", "n_copies")
     if labels is None:
