@@ -16,7 +16,7 @@ MIN_SCORES = {
 CARRIED_SCORE = "edge_case_consideration"
 PASS_STATUS = "pass"
 
-_STRICT = {"allowSingleQuotes": "false"}
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def _one_value(c: Column, item_type: str) -> Column:
@@ -24,11 +24,13 @@ def _one_value(c: Column, item_type: str) -> Column:
 
     The parser stops after the first complete value, so text behind it would go
     unnoticed. Wrapped as the only element of an array that is followed by one
-    more key, such text breaks the wrapper instead.
+    more key, such text breaks the wrapper instead. Text that closes the array by
+    itself and opens keys of its own gives the wrapper more than its two keys.
     """
     wrapped = F.concat(F.lit('{"v":['), c, F.lit('],"end":1}'))
     parsed = F.from_json(wrapped, f"struct<v:array<{item_type}>,end:int>", _STRICT)
-    return let(parsed, lambda p: F.when((p["end"] == 1) & (F.size(p["v"]) == 1), p["v"][0]))
+    two_keys = F.size(F.json_object_keys(wrapped)) == 2
+    return let(parsed, lambda p: F.when((p["end"] == 1) & (F.size(p["v"]) == 1) & two_keys, p["v"][0]))
 
 
 def judge_scores(judgement: Column, names=tuple(MIN_SCORES)) -> Column:

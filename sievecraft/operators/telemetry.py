@@ -68,14 +68,17 @@ def _carry_fold(decay: float):
 def moving_average(df: DataFrame, run: str, step: str, value: str, decay: float = EMA_DECAY) -> DataFrame:
     """Adds ``ema`` (seeded with the first value) and what was known before each step.
 
-    ``prev_value`` and ``prev_ema`` are null at the first step of a run.
+    ``prev_value`` and ``prev_ema`` are null at the first step of a run. A row
+    without run or step raises.
     """
     stretch = Window.partitionBy(run, "_stretch").orderBy(step)
     upto = stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x, n, d = F.col(value).cast("double"), F.col("_n"), F.lit(float(decay))
+    gone = F.col(run).isNull() | F.col(step).isNull()
+    place = F.floor(F.col(step) / _stretch_width(decay))
+    checked = F.when(gone, F.raise_error(F.lit("a row without run or step"))).otherwise(place)
     # Said here, so that both readers of the stretches below filter alike and share a shuffle.
-    known = df.where(F.col(run).isNotNull() & F.col(step).isNotNull())
-    placed = known.withColumn("_stretch", F.floor(F.col(step) / _stretch_width(decay))).where("_stretch IS NOT NULL")
+    placed = df.withColumn("_stretch", checked).where("_stretch IS NOT NULL")
     counted = placed.withColumn("_n", F.row_number().over(stretch))
     if decay > 0:
         inside = F.sum(x * (1 - d) * F.pow(d, -n)).over(upto) * F.pow(d, n)

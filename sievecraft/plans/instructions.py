@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievecraft.functions.text import strip_key
 from sievecraft.operators.dedup import keep_best
 from sievecraft.operators.ordering import scan_order
-from sievecraft.operators.quality import INSTRUCTION_COLUMNS, passing_instructions
+from sievecraft.operators.quality import passing_instructions
 from sievecraft.operators.records import to_messages
 from sievecraft.sources.corpus import read_jsonl
 from sievecraft.sources.sinks import write_jsonl
@@ -32,12 +32,14 @@ def curate_instructions(df: DataFrame, seq: Sequence[str]) -> DataFrame:
 def export_instructions(df: DataFrame, seq: Sequence[str], out_dir: str, system_prompt: str) -> DataFrame:
     """Curated instructions as JSON lines in scan order, and their chat records.
 
-    Writes ``cleaned`` and ``messages`` below ``out_dir``; the second is made from
-    what was written first. Returns the chat records as written.
+    Writes ``table`` (Parquet, with the scan position) below ``out_dir`` and from it
+    ``cleaned`` and ``messages``, both in scan order. Returns the chat records as written.
     """
     spark = df.sparkSession
-    write_jsonl(scan_order(curate_instructions(df, seq), seq).drop(*seq), f"{out_dir}/cleaned")
-    schema = ", ".join(f"{c} string" for c in INSTRUCTION_COLUMNS)
-    cleaned = read_jsonl(spark, f"{out_dir}/cleaned", schema, required=("input", "output"))
-    write_jsonl(to_messages(cleaned, system_prompt), f"{out_dir}/messages")
+    curate_instructions(df, seq).write.parquet(f"{out_dir}/table")
+    cleaned = spark.read.parquet(f"{out_dir}/table")
+    write_jsonl(scan_order(cleaned, seq).drop(*seq), f"{out_dir}/cleaned")
+    # Sorted again from the table: the splits of the JSON files have no order.
+    ordered = scan_order(cleaned, seq)
+    write_jsonl(to_messages(ordered, system_prompt), f"{out_dir}/messages")
     return read_jsonl(spark, f"{out_dir}/messages", MESSAGES_SCHEMA, required=("messages",))

@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     # A join whose build partitions all turn out small needs no sort of the
     # (wide) probe side.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # The state of a stream may outgrow the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

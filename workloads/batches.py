@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievecraft.functions.labels import IGNORE_INDEX
@@ -145,15 +145,26 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source and stretch of documents: the first good and the first bad document."""
-    labels = table(spark, sf_dir, "labels")
-    rows = token_rows(spark, sf_dir).join(labels, "doc_id")
-    stretch = F.floor(F.col("doc_id") / 400).alias("stretch")
-    ids = rows.groupBy("source", stretch).agg(
-        F.min(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("chosen_id"),
-        F.min(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("rejected_id"),
-    )
-    both = ids.where("chosen_id IS NOT NULL AND rejected_id IS NOT NULL")
+    """The i-th good with the i-th bad document of a source; only the longer side has some left over.
+
+    Documents are numbered inside stretches of ids, plus the numbers before them, so no
+    task holds a source.
+    """
+    labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)").select("doc_id", "quality")
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    known = sources.join(labels, "doc_id").withColumn("stretch", F.floor(F.col("doc_id") / 4096))
+    side_of = ["source", "quality"]
+    before = Window.partitionBy(*side_of).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = known.groupBy(*side_of, "stretch").count()
+    counts = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = F.row_number().over(Window.partitionBy(*side_of, "stretch").orderBy("doc_id"))
+    numbered = known.withColumn("inside", inside).join(counts, [*side_of, "stretch"])
+    numbered = numbered.withColumn("i", F.col("before") + F.col("inside"))
+    ids = [
+        numbered.where(F.col("quality") == q).select("source", "i", F.col("doc_id").alias(name))
+        for q, name in ((1, "chosen_id"), (0, "rejected_id"))
+    ]
+    both = ids[0].join(ids[1], ["source", "i"]).select("chosen_id", "rejected_id")
     fields = ("input_ids", "attention_mask", "labels")
 
     def side(name: str, *extra: str) -> DataFrame:
@@ -254,11 +265,13 @@ token_rows AS (
 )"""
 _SQL_PAIRS = f"""
 {_SQL_TOKENS},
+numbered AS (
+  SELECT d.source, l.quality, d.doc_id, row_number() OVER (PARTITION BY d.source, l.quality ORDER BY d.doc_id) AS i
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+),
 ids AS (
-  SELECT t.source, t.doc_id // 400 AS stretch,
-         min(t.doc_id) FILTER (WHERE l.quality = 1) AS chosen_id,
-         min(t.doc_id) FILTER (WHERE l.quality = 0) AS rejected_id
-  FROM token_rows t JOIN labels l ON l.doc_id = t.doc_id GROUP BY ALL
+  SELECT g.doc_id AS chosen_id, b.doc_id AS rejected_id
+  FROM numbered g JOIN numbered b ON g.source = b.source AND g.i = b.i AND g.quality = 1 AND b.quality = 0
 ),
 pairs AS (
   SELECT i.chosen_id, i.rejected_id, c.input_ids AS c_ids, c.labels AS c_labels, c.videos,

@@ -155,6 +155,9 @@ JUDGEMENTS = {
     5: "not json",
     6: _judge_json("5.0", "5.5", "4.5"),
     7: _judge_json("5", "5", "4"),
+    8: _judge_json("5", "5", '"Infinity"'),
+    9: _judge_json("5", "5", "5") + '],"x":[0',
+    10: _judge_json('"NaN"', "5", "5"),
 }
 JUDGEMENT_ELSE = _judge_json("5", "5", "5")
 # (residue of doc_id % 10, status text)
@@ -164,6 +167,7 @@ STATUSES = {
     2: "oops",
     3: '["pass", null]',
     4: "['pass']",
+    5: '["pass"]],"x":[["a"',
 }
 STATUS_ELSE = '["pass", "pass"]'
 

@@ -26,7 +26,8 @@ MIN_LEN = 16
 
 
 def token_id(word):
-    return F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("int")
+    """60 bits of the MD5; ``vocabulary`` fails if two words should share them."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
 
 
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,9 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token id -> piece; every 40th id plays a special token."""
     pieces = spread(table(spark, sf_dir, "conversations").select(*SAMPLE, "text"), *SAMPLE).select(F.explode(words(F.col("text"))).alias("piece"))
-    by_id = pieces.groupBy(token_id(F.col("piece")).alias("token_id")).agg(F.min("piece").alias("piece"))
+    same = F.min("piece") == F.max("piece")
+    piece = F.when(same, F.min("piece")).otherwise(F.raise_error(F.lit("two words with one id")))
+    by_id = pieces.groupBy(token_id(F.col("piece")).alias("token_id")).agg(piece.alias("piece"))
     return by_id.withColumn("is_special", F.col("token_id") % 40 == 0)
 
 
@@ -53,7 +56,7 @@ worded AS (SELECT conv_id, turn, role, {sql_words('text')} AS w FROM conversatio
 label_rows AS (
   SELECT conv_id, turn, role, list_transform(w, lambda x, i:
       CASE WHEN role <> 'assistant' OR ((i - 1) // 16) % 4 = 3 THEN {IGNORE_INDEX}
-           ELSE CAST('0x' || substr(md5(x), 1, 7) AS INTEGER) END) AS labels
+           ELSE CAST('0x' || substr(md5(x), 1, 15) AS BIGINT) END) AS labels
   FROM worded
 ),
 tok AS (
@@ -65,7 +68,7 @@ resp AS (
   FROM tok WHERE tid <> {IGNORE_INDEX}
 ),
 vocab AS (
-  SELECT CAST('0x' || substr(md5(p), 1, 7) AS INTEGER) AS token_id, min(p) AS piece
+  SELECT CAST('0x' || substr(md5(p), 1, 15) AS BIGINT) AS token_id, min(p) AS piece
   FROM (SELECT unnest(w) AS p FROM worded) GROUP BY 1
 ),
 blank AS (SELECT token_id FROM vocab WHERE token_id % 40 = 0 OR piece = ''),

@@ -194,7 +194,7 @@ def q_interpolation_pairs(spark, sf_dir) -> DataFrame:
 
 def _cka(spark, sf_dir, by: Column | None) -> DataFrame:
     v = F.col("embedding")
-    return linear_cka(_embeddings(spark, sf_dir), F.slice(v, 1, 32), F.slice(v, 33, 24), ["vec_id"], by)
+    return linear_cka(_embeddings(spark, sf_dir), F.slice(v, 1, 40), F.slice(v, 41, 24), ["vec_id"], by)
 
 
 def q_linear_cka(spark, sf_dir) -> DataFrame:
@@ -272,8 +272,8 @@ WITH flat AS (
 ),
 centred AS (SELECT vec_id, g, j, v - avg(v) OVER (PARTITION BY g, j) AS v FROM flat),
 vecs AS (
-  SELECT vec_id, g, list(v ORDER BY j) FILTER (WHERE j <= 32) AS x,
-         list(v ORDER BY j) FILTER (WHERE j BETWEEN 33 AND 56) AS y
+  SELECT vec_id, g, list(v ORDER BY j) FILTER (WHERE j <= 40) AS x,
+         list(v ORDER BY j) FILTER (WHERE j BETWEEN 41 AND 64) AS y
   FROM centred GROUP BY vec_id, g
 ),
 gram AS (
