@@ -12,9 +12,8 @@ Texts that share a band are candidates. A bucket is never expanded into pairs: i
 members are compared with its most connected member, the centre, exactly. What the
 comparisons tell about two members close to the centre that are still apart settles
 most of the rest: they can only be alike if one is little more than what it shares
-with the centre, which their sizes show, or if they share runs that the centre lacks.
-The first are compared; the second make new, smaller buckets. Those of at most ``FEW``
-members are compared member by member, with larger ones the same is done again.
+with the centre, which their sizes show, or if they share runs that the centre and
+most other members lack. Such pairs are compared as well.
 """
 
 from collections.abc import Iterator
@@ -208,25 +207,37 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     )
 
 
-def extra_buckets(family: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, label, n): members of a centre that share a run that the centre lacks.
+def with_frequent_runs(family: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The family with ``common`` counted against the centre and what many of its members have, and the other runs.
 
-    Alike members share at least ``similarity * size - common`` of those runs, so it
-    is enough to file each under its rarest ones: those with at least that many of its
-    runs from there on. Rare is what few members of the centre have; what only one has
-    counts first and is filed nowhere. Buckets of one label are left out.
+    Any set will do as a centre for the bounds. With the runs that more than ``FEW``
+    close members have, although the centre lacks them, it is nearer to all of them,
+    and no run that remains has more than ``FEW`` members.
     """
-    every = family.select("centre", "member", "label", "size", "common", F.explode("others").alias("o")).select(
-        "centre", "member", "label", "size", "common", "o.run", "o.n"
-    )
-    often = every.groupBy("centre", "run").agg(F.count("*").alias("members")).where("members > 1")
-    every = every.join(often, ["centre", "run"])
-    mine = Window.partitionBy("centre", "member")
-    from_here = F.sum("n").over(mine.orderBy("members", "run").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    filed = every.withColumn("behind", from_here).where(F.col("behind") >= similarity * F.col("size") - F.col("common") - 1e-9)
-    filed = filed.select(F.xxhash64("centre", "run").alias("key"), F.col("member").alias("node"), "label").distinct()
-    groups = filed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-    return filed.join(groups.where("low <> high").select("key", "n"), "key")
+    every = family.select("centre", "member", F.explode("others").alias("o")).select("centre", "member", "o.run", "o.n")
+    counts = every.groupBy("centre", "run").agg(F.count("*").alias("members")).where("members > 1")
+    every = stored(every.join(counts, ["centre", "run"]), "others")
+    more = every.where(F.col("members") > FEW).groupBy("centre", "member").agg(F.sum("n").alias("more"))
+    near = family.drop("others").join(more, ["centre", "member"], "left")
+    near = near.withColumn("common", F.col("common") + F.coalesce("more", F.lit(0))).drop("more")
+    return stored(near, "near"), every.where(F.col("members") <= FEW)
+
+
+def pairs_by_run(near: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of a centre with a rare run in common that the centre lacks.
+
+    Alike members share at least ``similarity * size - common`` of such runs, so it is
+    enough to file each under its rarest ones: those with at least that many of its
+    runs from there on. Runs of one member alone come first and are filed nowhere.
+    """
+    mine = Window.partitionBy("centre", "member").orderBy("members", "run")
+    from_here = F.sum("n").over(mine.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    filed = others.join(near, ["centre", "member"]).withColumn("behind", from_here)
+    filed = filed.where(F.col("behind") >= similarity * F.col("size") - F.col("common") - 1e-9)
+    x = filed.select("centre", "run", F.col("member").alias("a"), F.col("label").alias("of"))
+    y = filed.select("centre", "run", F.col("member").alias("b"), "label")
+    pairs = x.join(y, ["centre", "run"]).where("a < b AND label <> of")
+    return pairs.select(F.col("a").alias("centre"), F.col("b").alias("member"))
 
 
 def short_pairs(family: DataFrame, similarity: float) -> DataFrame:
@@ -286,13 +297,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -329,27 +333,21 @@ def near_duplicates(
         ),
         "texts",
     )
-    links, labels = [], None
-    while not pairs.isEmpty():
+    labels = None
+    if not pairs.isEmpty():
         family = stored(compared(pairs, texts, width, similarity), "compared")
-        links.append(family.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
-        if labels is None or not (links[-1].isEmpty() and (len(links) < 2 or links[-2].isEmpty())):
-            labels = components(_union(links)).withColumnRenamed("node", "member")
+        links = family.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b"))
+        labels = components(links)
         family = family.where(F.col("common") >= CLOSE * F.col("size"))
-        family = family.join(labels, "member", "left").withColumn("label", F.coalesce("label", "member"))
+        family = family.join(labels.withColumnRenamed("node", "member"), "member", "left")
+        family = family.withColumn("label", F.coalesce("label", "member"))
         apart = family.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        family = stored(family.join(apart.select("centre"), "centre"), "apart")
-        runs = stored(extra_buckets(family, similarity), "runs")
-        few = runs.where(F.col("n") <= FEW)
-        other = few.select("key", F.col("node").alias("member"), F.col("label").alias("of"))
-        direct = few.join(other, "key").where("node < member AND label <> of").select(F.col("node").alias("centre"), "member")
-        direct = stored(direct.unionByName(short_pairs(family, similarity)).distinct(), "direct")
-        if not direct.isEmpty():
-            again = stored(compared(direct, texts, width, similarity), "compared")
-            links.append(again.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b")))
-        pairs = stored(stars(runs.where(F.col("n") > FEW).select("key", "node")), "pairs")
-    if labels is not None:
-        labels = components(_union(links))
+        near, others = with_frequent_runs(stored(family.join(apart.select("centre"), "centre"), "apart"))
+        again = pairs_by_run(near, others, similarity).unionByName(short_pairs(near, similarity)).distinct()
+        again = stored(again, "pairs")
+        if not again.isEmpty():
+            found = stored(compared(again, texts, width, similarity), "compared").where("alike")
+            labels = components(links.unionByName(found.select(F.col("centre").alias("a"), F.col("member").alias("b"))))
     classes = contents.select("content", "rep", "n_copies")
     if labels is None:
         classes = classes.withColumn("class_id", F.col("rep"))
