@@ -115,13 +115,17 @@ def test_keep_best_golden(spark):
     assert got == {1, 4, 5}
 
 
-def model_best(rows):
-    best = {}
-    for i, q, o, e in rows:
-        old = best.get(q.strip())
-        if old is None or (e, -len(o)) > (old[3], -len(old[2])):
-            best[q.strip()] = (i, q, o, e)
-    return {r[0] for r in best.values()}
+def check_winners(rows, kept):
+    """One row per stripped input is kept; nothing of its group beats it or equals it earlier."""
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[1].strip(), []).append(row)
+    for members in groups.values():
+        (winner,) = (m for m in members if m[0] in kept)
+        top = [m for m in members if m[3] == max(x[3] for x in members)]
+        shortest = min(len(m[2]) for m in top)
+        assert winner[0] == min(m[0] for m in top if len(m[2]) == shortest)
+    assert len(kept) == len(groups)
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -132,7 +136,7 @@ def test_keep_best_equals_sequential_model(spark, partitions):
         for i in range(600)
     ]
     df = instruction_df(spark, rows).repartition(partitions)
-    assert {r.seq for r in curate_instructions(df, ["seq"]).collect()} == model_best(rows)
+    check_winners(rows, {r.seq for r in curate_instructions(df, ["seq"]).collect()})
 
 
 def test_keep_best_is_idempotent(spark):
@@ -203,33 +207,26 @@ def test_absent_starter_column_is_filled(spark):
     assert fill_texts(df).first().starter_code == ""
 
 
-def model_user(q, s):
-    return q + (f"\n\nStarter code:\n```python\n{s}\n```" if s.strip() else "")
-
-
-def model_assistant(r, c):
-    head = c.strip()[:50]
-    if c.strip() and head not in r[-(len(c) + 500) :]:
-        return r + f"\n\n```python\n{c}\n```"
-    return r
-
-
-def test_chat_contents_equal_model(spark):
-    rng = random.Random(11)
-    codes = ["", " \n", "print(1)", "  def f():\n  return 𝒳\n", "x = 1\n" * 40]
-    rows = []
-    for code, starter, pad in itertools.product(codes, ["", "　", "def g(): pass"], [0, 400, 508, 509, 700, 2000]):
-        body = "é" * rng.randint(0, 20)
-        rows.append((body + code + "." * pad, code, starter))
-        rows.append((body + "." * pad, code, starter))
-        rows.append((body + code.strip()[:50] + "." * pad, code, starter))
-    df = spark.createDataFrame(rows, "r string, c string, s string")
-    out = df.select(
-        "*", user_content(F.col("r"), F.col("s")).alias("u"), assistant_content(F.col("r"), F.col("c")).alias("a")
-    ).collect()
-    for x in out:
-        assert x.u == model_user(x.r, x.s)
-        assert x.a == model_assistant(x.r, x.c)
+def test_user_content_golden(spark):
+    cases = {
+        ("q", ""): "q", ("q", " \n　"): "q", ("", "s"): "\n\nStarter code:\n```python\ns\n```",
+        ("q", " def g(): pass"): "q\n\nStarter code:\n```python\n def g(): pass\n```",
+    }
+    df = spark.createDataFrame(list(cases), "q string, s string")
+    got = {(r.q, r.s): r.u for r in df.select("q", "s", user_content(F.col("q"), F.col("s")).alias("u")).collect()}
+    assert got == cases
+
+
+def test_code_is_appended_unless_its_head_is_near_the_end(spark):
+    """The head may start up to 500 characters before the place where the code would just fit."""
+    codes = ["print(1)", "  def f():\n  return 𝒳\n", "".join(f"x{i} = {i}\n" for i in range(40))]
+    rows = [(body + code + "." * pad, code, pad) for body in ("", "é" * 17) for code in codes for pad in (0, 400, 500, 501, 502, 503, 700, 2000)]
+    rows += [("no code", code, 10_000) for code in codes] + [("text", " \n", 0), ("text", "", 0)]
+    df = spark.createDataFrame(rows, "r string, c string, pad int")
+    for x in df.select("*", assistant_content(F.col("r"), F.col("c")).alias("a")).collect():
+        indent = len(x.c) - len(x.c.lstrip())
+        block = f"\n\n```python\n{x.c}\n```" if x.c.strip() and x.pad > 500 + indent else ""
+        assert x.a == x.r + block
 
 
 def test_records(spark):

@@ -11,7 +11,7 @@ from sievecraft.session import shared_path
 from sievecraft.streaming.curation import append_batch_winners, best_so_far, stream_corpus, stream_keep_first
 from sievecraft.streaming.telemetry import stream_gate
 from tests.test_curation import REASONING, instruction_df
-from tests.test_telemetry import model_run
+from tests.test_telemetry import gates
 
 
 def drain(spark, df, name):
@@ -81,5 +81,5 @@ def test_gate_carries_its_state(spark, tmp_path, mode, threshold):
         for r in drain(spark, stream_gate(stream, "run", "step", "loss", mode, threshold, 0.9, 5), f"gate_{mode}")
     }
     for run, values in runs.items():
-        for step, (ema, gated) in enumerate(model_run(values, 0.9, mode, threshold, 5)):
+        for step, (ema, gated) in enumerate(zip(*gates(values, 0.9, mode, threshold, 5))):
             assert got[run, step] == (pytest.approx(ema), gated)

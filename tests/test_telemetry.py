@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,21 +18,19 @@ from sievecraft.operators.telemetry import (
 )
 
 
-def model_run(values, decay, mode, threshold, head_warmup=0):
-    """Step by step, as a training loop would."""
-    ema = last = None
-    out = []
-    for step, x in enumerate(values):
-        if ema is None or step < head_warmup:
-            gated = False
-        elif mode == "static":
-            gated = last < threshold
-        else:
-            gated = ema >= 1e-10 and last < ema / threshold
-        ema = x if ema is None else decay * ema + (1 - decay) * x
-        last = x
-        out.append((ema, gated))
-    return out
+def averages(values, decay):
+    """Closed form: the first value fades as decay**n, value k counts (1 - decay) * decay**(n - k)."""
+    x, n = np.array(values), np.arange(len(values))
+    weights = np.where(n[:, None] >= n, decay ** np.maximum(n[:, None] - n, 0.0), 0.0)
+    weights[:, 1:] *= 1 - decay
+    return weights @ x
+
+
+def gates(values, decay, mode, threshold, head):
+    """Averages and decisions as whole arrays: only what came before a step decides on it."""
+    ema, x = averages(values, decay), np.array(values)
+    low = x[:-1] < threshold if mode == "static" else (x[:-1] < ema[:-1] / threshold) & (ema[:-1] >= 1e-10)
+    return ema, np.append([False], low) & (np.arange(len(x)) >= head)
 
 
 def runs_df(spark, runs):
@@ -52,40 +51,47 @@ def test_average_and_gates_equal_the_loop(spark, monkeypatch, decay, stretch):
         "falling": [0.97**i for i in range(60)],
     }
     df = moving_average(runs_df(spark, runs), "run", "step", "loss", decay)
-    for mode, threshold, head in (("dynamic", 1.5, 0), ("static", 0.3, 10)):
-        got = {(r.run, r.step): (r.ema, r.gated) for r in gate(df, "step", mode, threshold, head).collect()}
-        for run, values in runs.items():
-            for step, (ema, gated) in enumerate(model_run(values, decay, mode, threshold, head)):
-                assert got[run, step][0] == pytest.approx(ema, rel=1e-9, abs=1e-12)
-                assert got[run, step][1] == gated, (run, step, mode)
+    rows = {(r.run, r.step): r for r in gate(df, "step", "dynamic", 1.5, 0).collect()}
+    fixed = {(r.run, r.step): r.gated for r in gate(df, "step", "static", 0.3, 10).collect()}
+    for run, values in runs.items():
+        want = averages(values, decay)
+        for step in range(len(values)):
+            row = rows[run, step]
+            assert row.ema == pytest.approx(want[step], rel=1e-9, abs=1e-12)
+            # what was known before the step decides, and nothing is known before the first
+            ratio = values[step - 1] / want[step - 1] if step and want[step - 1] >= 1e-10 else math.inf
+            if abs(ratio - 1 / 1.5) > 1e-9:
+                assert row.gated == (ratio < 1 / 1.5), (run, step)
+            assert fixed[run, step] == (step >= 10 and values[step - 1] < 0.3), (run, step)
 
 
 def test_gapped_steps(spark):
     rows = [("r", s, float(s % 3)) for s in (5, 6, 9000, 9001, 20000)]
     df = moving_average(spark.createDataFrame(rows, "run string, step bigint, loss double"), "run", "step", "loss", 0.9)
     got = [r.ema for r in df.orderBy("step").collect()]
-    assert got == pytest.approx([e for e, _ in model_run([r[2] for r in rows], 0.9, "static", 0)])
-
-
-def model_weight(step, base, head, warm, max_steps, schedule):
-    if head > 0 and step < head:
-        return base
-    if warm > 0 and step - head < warm:
-        return base * (step - head) / warm
-    left = max_steps - head - warm
-    if schedule == "constant" or max_steps <= 0 or left <= 0:
-        return base
-    p = min(max((step - head - warm) / left, 0.0), 1.0)
-    return base * (1 - p) if schedule == "linear_decay" else base * 0.5 * (1 + math.cos(math.pi * p))
-
-
-@pytest.mark.parametrize("schedule", ["constant", "linear_decay", "cosine_decay"])
-@pytest.mark.parametrize("head,warm,max_steps", [(0, 0, 100), (10, 0, 100), (0, 20, 100), (10, 20, 100), (10, 20, 30), (5, 5, 0)])
-def test_loss_weight(spark, schedule, head, warm, max_steps):
-    df = spark.range(0, 130)
-    got = {r.id: r.w for r in df.select("id", loss_weight(F.col("id"), 0.3, head, warm, max_steps, schedule).alias("w")).collect()}
-    for step, w in got.items():
-        assert w == pytest.approx(model_weight(step, 0.3, head, warm, max_steps, schedule))
+    assert got == pytest.approx(averages([r[2] for r in rows], 0.9))
+
+
+# (schedule, head, warm, max_steps) -> weight by step, for a base of 0.3
+WEIGHTS = {
+    ("constant", 10, 20, 100): {0: 0.3, 9: 0.3, 10: 0.0, 15: 0.075, 29: 0.285, 30: 0.3, 129: 0.3},
+    ("linear_decay", 0, 0, 100): {0: 0.3, 50: 0.15, 99: 0.003, 100: 0.0, 129: 0.0},
+    ("linear_decay", 10, 20, 100): {9: 0.3, 20: 0.15, 30: 0.3, 65: 0.15, 100: 0.0, 120: 0.0},
+    ("linear_decay", 10, 20, 30): {30: 0.3, 129: 0.3},
+    ("linear_decay", 5, 5, 0): {4: 0.3, 5: 0.0, 10: 0.3, 129: 0.3},
+    ("cosine_decay", 0, 20, 100): {0: 0.0, 10: 0.15, 20: 0.3, 60: 0.15, 100: 0.0},
+    ("cosine_decay", 10, 0, 100): {9: 0.3, 10: 0.3, 40: 0.225, 70: 0.075, 100: 0.0},
+}
+
+
+@pytest.mark.parametrize("case", WEIGHTS)
+def test_loss_weight(spark, case):
+    schedule, head, warm, max_steps = case
+    weight = loss_weight(F.col("id"), 0.3, head, warm, max_steps, schedule).alias("w")
+    got = {r.id: r.w for r in spark.range(0, 130).select("id", weight).collect()}
+    assert {s: got[s] for s in WEIGHTS[case]} == pytest.approx(WEIGHTS[case], abs=1e-12)
+    falls = [got[s] for s in range(head + warm, 130)]
+    assert falls == sorted(falls, reverse=True) and all(0 <= w <= 0.3 for w in got.values())
 
 
 def test_unknown_names_are_refused(spark):
