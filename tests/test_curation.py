@@ -1,5 +1,4 @@
 import glob
-import itertools
 import json
 import random
 
@@ -20,7 +19,7 @@ from sievecraft.operators.quality import (
     with_reject_reason,
 )
 from sievecraft.operators.records import to_messages
-from sievecraft.plans.instructions import best_rank, curate_instructions
+from sievecraft.plans.instructions import best_rank, curate_instructions, export_instructions
 from sievecraft.plans.reasoning import curate_reasoning, export_reasoning, profile_records
 from sievecraft.session import shared_path
 
@@ -295,3 +294,33 @@ def test_export_writes_the_same_records_twice(spark):
     assert (got.min_value, got.p50_value, got.max_value) == (lengths[0], lengths[len(lengths) // 2], lengths[-1])
     chars = sum(x["metadata"]["response_length"] + x["metadata"]["question_length"] for x in lines)
     assert tuple(totals.first()) == (len(lines), chars // 4, chars // 4 // len(lines))
+
+
+def test_messages_follow_the_cleaned_file(spark, tmp_path):
+    """Several input files, split unevenly: both exports are in the order of the scan."""
+    n = 4000
+    rows = [(i, f"question {i}", "x" * (1 + i * 37 % 900), 5) for i in range(n)]
+    for part in range(5):
+        chunk = instruction_df(spark, [r for r in rows if r[0] * 5 // n == part]).coalesce(1)
+        chunk.write.mode("append").parquet(str(tmp_path / "in" / f"train-{part}"))
+    df = spark.read.parquet(*[str(tmp_path / "in" / f"train-{p}") for p in range(5)])
+    export_instructions(df, ["seq"], str(tmp_path / "out"), "system")
+
+    def lines(name):
+        folder = tmp_path / "out" / name
+        return [json.loads(x) for f in sorted(folder.glob("part-*")) for x in f.read_text().splitlines() if x]
+
+    asked = [m["messages"][1]["content"] for m in lines("messages")]
+    assert asked == [r["input"] for r in lines("cleaned")] == [f"question {i}" for i in range(n)]
+
+
+def test_text_scores_and_escaped_wrappers_fail(spark):
+    good = '{"requirement_conformance": {"score": 5}, "logical_correctness": {"score": 5}, "edge_case_consideration": {"score": %s}}'
+    cases = [
+        (good % "5", '["pass"]', True), (good % '"Infinity"', '["pass"]', False), (good % '"NaN"', '["pass"]', False),
+        (good % "NaN", '["pass"]', False), (good % "5" + '],"x":[0', '["pass"]', False),
+        (good % "5", '["pass"]],"x":[["a"', False), (good % "5" + '],"v":[0', '["pass"]', False),
+    ]
+    df = spark.createDataFrame(cases, "j string, t string, want boolean")
+    for r in df.select("*", judge_pass(F.col("j"), F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r
