@@ -34,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 
 from sievecraft.llm.common import table
 
-CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 16, 1 << 18, 1 << 18, 1 << 16, 1 << 10
+CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 15, 1 << 16, 1 << 16, 1 << 16, 1 << 10
 _SPACE = r"\p{White_Space}"
 _NO_SPACE = "\x1c\x1d\x1e\x1f"  # str.split and str.isspace take these for white space
 _NO_WHITE_SPACE = re.compile(f"[{_NO_SPACE}]")
@@ -270,6 +270,13 @@ class Tokenizer:
         self.byte_of = {c: b for b, c in byte_characters().items()}
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
 
+    def forget(self) -> None:
+        """Empty the caches: a Python worker stays for the tasks of other stages."""
+        for kept in (self.words, self.runs):
+            kept.clear()
+            kept.older = {}
+        self.merges._stay.clear()
+
     def normalise(self, text: str) -> str:
         if text.isascii():
             return text.lower() if "Lowercase" in self.steps else text
@@ -427,6 +434,7 @@ def encode(text: Column | str, path: str) -> Column:
         tok = load(path)
         for texts in batches:
             yield _ids_array([encode_text(tok, t.as_py() or "") for t in texts])
+        tok.forget()
 
     return ids_of(text)
 
@@ -456,6 +464,7 @@ def round_trip(text: Column | str, path: str) -> Column:
             parts = [encode_text(tok, t.as_py() or "") for t in texts]
             decoded = pa.array([decode_ids(tok, np.frombuffer(p, "<i4")) for p in parts], pa.string())
             yield pa.StructArray.from_arrays([_ids_array(parts), decoded], ["ids", "decoded"])
+        tok.forget()
 
     return both(text)
 
