@@ -34,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 
 from sievecraft.llm.common import table
 
-CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 15, 1 << 16, 1 << 16, 1 << 16, 1 << 10
+CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 16, 1 << 17, 1 << 18, 1 << 16, 1 << 10
 _SPACE = r"\p{White_Space}"
 _NO_SPACE = "\x1c\x1d\x1e\x1f"  # str.split and str.isspace take these for white space
 _NO_WHITE_SPACE = re.compile(f"[{_NO_SPACE}]")
