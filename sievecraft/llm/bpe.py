@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sievecraft.llm.common import table
+from sievecraft.llm.common import small_batches, table
 
 CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 16, 1 << 17, 1 << 18, 1 << 16, 1 << 10
 _SPACE = r"\p{White_Space}"
@@ -476,6 +476,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op6_streaming_bpe(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = tokenizer_path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", round_trip("text", path).alias("both"))
     return docs.select("doc_id", "both.*").select(

@@ -35,3 +35,13 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python in batches of fewer rows, unless the session has a size of its own.
+
+    A batch of the default 10000 texts takes a worker and its executor hundreds of MB.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

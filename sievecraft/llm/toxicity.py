@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sievecraft.llm.common import stored, table
+from sievecraft.llm.common import small_batches, stored, table
 from sievecraft.llm.shingles import text_batches
 
 DECAY, SPAN, LOWEST, THRESHOLD = 0.75, 6, -4.0, 0.3
@@ -300,6 +300,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def train_on_tables(spark, docs: DataFrame, sf_dir: str) -> Model:
     """The model of the registered query: labels of every fourth id, by CRC-32, are never read."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~is_held_out(F.col("doc_id")))
     return train(docs.select("doc_id", "text"), labels)
 
