@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.llm import bpe, dart_minhash, decontaminate, pseudonyms, toxicity
-from sievecraft.llm.common import free_name, stored, table
+from sievecraft.llm.common import free_name, small_batches, stored, table
 
 PSEUDONYM_KEY = "pseudonym key of the pipeline"
 
@@ -55,6 +55,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of the text that they decode to."""
+    small_batches(spark)
     path = bpe.tokenizer_path("word_bpe_49k.json")
     both = docs.select("doc_id", "lang", "source", bpe.round_trip("text", path).alias("both"))
     return both.select(
