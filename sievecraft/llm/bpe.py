@@ -18,6 +18,7 @@ Short words repeat, so whole words are looked up in a bounded cache first.
 """
 
 import codecs
+import gc
 import json
 import re
 import struct
@@ -270,13 +271,6 @@ class Tokenizer:
         self.byte_of = {c: b for b, c in byte_characters().items()}
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
 
-    def forget(self) -> None:
-        """Empty the caches: a Python worker stays for the tasks of other stages."""
-        for kept in (self.words, self.runs):
-            kept.clear()
-            kept.older = {}
-        self.merges._stay.clear()
-
     def normalise(self, text: str) -> str:
         if text.isascii():
             return text.lower() if "Lowercase" in self.steps else text
@@ -415,7 +409,7 @@ _LOADED: dict[str, Tokenizer] = {}
 
 
 def load(path: str) -> Tokenizer:
-    """One tokenizer per Python worker and path."""
+    """One tokenizer per task and path."""
     if path not in _LOADED:
         _LOADED[path] = Tokenizer(path)
     return _LOADED[path]
@@ -434,7 +428,9 @@ def encode(text: Column | str, path: str) -> Column:
         tok = load(path)
         for texts in batches:
             yield _ids_array([encode_text(tok, t.as_py() or "") for t in texts])
-        tok.forget()
+        del tok
+        _LOADED.clear()  # a Python worker stays for the tasks of other stages
+        gc.collect()
 
     return ids_of(text)
 
@@ -464,7 +460,9 @@ def round_trip(text: Column | str, path: str) -> Column:
             parts = [encode_text(tok, t.as_py() or "") for t in texts]
             decoded = pa.array([decode_ids(tok, np.frombuffer(p, "<i4")) for p in parts], pa.string())
             yield pa.StructArray.from_arrays([_ids_array(parts), decoded], ["ids", "decoded"])
-        tok.forget()
+        del tok
+        _LOADED.clear()  # a Python worker stays for the tasks of other stages
+        gc.collect()
 
     return both(text)
 
