@@ -199,6 +199,26 @@ def test_op7_finds_all_exact_passages(spark, texts):
         assert len(a) >= 50 and r.doc_id != r.other_id and len(x & y) / len(x | y) > 0.75
 
 
+def _words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+
+
+def test_op7_finds_edited_passages(spark):
+    """A word replaced, put in or left out at every place of a passage of 50 words."""
+    rng = random.Random(5)
+    rows, edited = [], []
+    for place in range(1, 49):
+        for kind in range(3):
+            base, n = _words(rng, 51 if kind == 2 else 50), len(rows)
+            new = base[:place] + [_words(rng, 1), [base[place], *_words(rng, 1)], []][kind] + base[place + 1 :]
+            rows += [(n + i, " ".join(_words(rng, 30 + i) + w + _words(rng, 20))) for i, w in enumerate((base, new))]
+            a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (base, new))
+            if len(a & b) >= 0.8 * len(a | b):
+                edited.append(n + 1)
+    got = {r.doc_id for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(edited) > 120 and {x - i for x in edited for i in (0, 1)} <= got
+
+
 # ---- pseudonyms ------------------------------------------------------------
 
 
