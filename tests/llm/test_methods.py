@@ -219,6 +219,26 @@ def test_op7_finds_edited_passages(spark):
     assert len(edited) > 120 and {x - i for x in edited for i in (0, 1)} <= got
 
 
+def test_op7_finds_passages_beside_a_line_of_the_first_document(spark):
+    """The first document has a line of 40 words twice; others share longer passages around it, exact or edited."""
+    rng = random.Random(6)
+    line = _words(rng, 40)
+    text = lambda *parts: " ".join(sum((list(p) for p in parts), []))
+    rows = [(0, text(line, _words(rng, 60), line, after := _words(rng, 30)))]
+    for k in range(40):  # of each four, two share an exact passage, two one with another word
+        left, right = _words(rng, 12), _words(rng, 12)
+        for j in range(4):
+            edit = right if j < 2 else [*right[:8], *_words(rng, 1), *right[9:]]
+            rows.append((1 + 4 * k + j, text(_words(rng, 20 + 7 * j), left, line, edit, _words(rng, 30))))
+    rows.append((500, text(_words(rng, 25), line, after)))
+    out = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.other_id) for r in out}
+    for k in range(40):
+        assert {(1 + 4 * k + j, 1 + 4 * k) for j in (1, 2, 3)} <= pairs
+    assert (500, 0) in pairs
+    assert all(r.doc_id in (0, 500) or (r.doc_id - 1) // 4 == (r.other_id - 1) // 4 for r in out)
+
+
 # ---- pseudonyms ------------------------------------------------------------
 
 
