@@ -10,10 +10,11 @@ length of the signature, not their product.
 
 Texts that share a band are candidates. A bucket is never expanded into pairs: its
 members are compared with its most connected member, the centre, exactly. What the
-comparisons tell about two members close to the centre that are still apart settles
-most of the rest: they can only be alike if one is little more than what it shares
-with the centre, which their sizes show, or if they share runs that the centre and
-most other members lack. Such pairs are compared as well.
+comparisons tell about two members that are still apart settles most of the rest: they
+can only be alike if one is little more than what it shares with the centre, which
+their sizes show, or if they share runs that the centre and most other members lack.
+Such pairs are compared as well, however little of a member the centre has. So no link
+between texts that share a band is lost.
 """
 
 from collections.abc import Iterator
@@ -28,11 +29,6 @@ from sievecraft.llm.shingles import counted, mix, run_hashes, text_batches, word
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 FEW = 32
-# An alike pair is lost to a centre only if the centre takes every band that the pair
-# shares. With less than this part of a member common with the centre, a shared band
-# is taken with probability CLOSE**ROWS at most, all of them with
-# (1 - 0.8**4 * (1 - 0.6**4))**24 < 3e-5, about as rare as a pair that shares no band.
-CLOSE = 0.6
 PER_TASK = 256  # members that one copy of a centre is compared with
 _LOW = -6  # the lowest rank cell is [0, 2**-6)
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -142,8 +138,7 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
     ``alike`` tells whether the weighted Jaccard similarity reaches the bound, ``size``
     is the number of runs of the member, ``common`` how many of them the centre has,
-    ``others`` the runs that the centre lacks, with their number, if the member is
-    close to the centre.
+    ``others`` the runs that the centre lacks, with their number.
 
     ``texts`` has (node, text). A centre's text is copied once per ``PER_TASK``
     members, and a task reads centre and members in order, one at a time.
@@ -185,7 +180,7 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
                     both = np.minimum(centre[2][x], more[y])
                     more[y] -= both
                     size, common = int(times[part].sum()), int(both.sum())
-                    lacks = np.flatnonzero(more) if common >= CLOSE * size else np.zeros(0, np.int64)
+                    lacks = np.flatnonzero(more)
                     found.append(i)
                     alike.append(common >= similarity * (centre[3] + size - common) - 1e-9)
                     sizes.append(size)
@@ -211,7 +206,7 @@ def with_frequent_runs(family: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The family with ``common`` counted against the centre and what many of its members have, and the other runs.
 
     Any set will do as a centre for the bounds. With the runs that more than ``FEW``
-    close members have, although the centre lacks them, it is nearer to all of them,
+    members have, although the centre lacks them, it is nearer to all of them,
     and no run that remains has more than ``FEW`` members.
     """
     every = family.select("centre", "member", F.explode("others").alias("o")).select("centre", "member", "o.run", "o.n")
@@ -338,7 +333,6 @@ def near_duplicates(
         family = stored(compared(pairs, texts, width, similarity), "compared")
         links = family.where("alike").select(F.col("centre").alias("a"), F.col("member").alias("b"))
         labels = components(links)
-        family = family.where(F.col("common") >= CLOSE * F.col("size"))
         family = family.join(labels.withColumnRenamed("node", "member"), "member", "left")
         family = family.withColumn("label", F.coalesce("label", "member"))
         apart = family.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")

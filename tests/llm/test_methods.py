@@ -167,6 +167,24 @@ def test_links_apart_from_the_centre_are_found(spark):
     assert {got[i] for i in range(40)} == {0}
 
 
+def test_links_between_members_far_from_their_centre_are_found(spark):
+    """Two alike texts in one bucket with a third that has half of them, whichever is the centre."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(60):
+        base = [word() for _ in range(200)]
+        other = [*base[:190], *(word() for _ in range(10))]
+        rows += [(3 * k + i, " ".join(t)) for i, t in enumerate((base, other, base[:100] + [word() for _ in range(100)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs, bands=1, rows=1).collect()}
+    signed = dart_minhash.sign(docs.selectExpr("doc_id AS doc", "unhex(md5(CAST(text AS BINARY))) AS content", "text"), 5, 1, 1)
+    bucket = {r.doc: r.bands[0] for r in signed.collect()}
+    same = [i for i in range(0, 180, 3) if bucket[i] == bucket[i + 1]]
+    assert sum(bucket[i] == bucket[i + 2] for i in same) > 9
+    assert all(got[i] == got[i + 1] == i and got[i + 2] == i + 2 for i in same)
+
+
 # ---- passages --------------------------------------------------------------
 
 
