@@ -3,7 +3,10 @@
 One pattern finds candidates; each is validated (check digits, calendar, ranges)
 and then permuted within its format by a Feistel network keyed with a secret, so
 equal values get equal pseudonyms in all documents and nothing has to be looked up
-or joined. Candidates that fail validation stay as they are.
+or joined. Of a card, IBAN or phone that fails validation, as it took in a number or
+word beside it, the longest part between separators that is valid is replaced. Other
+candidates that fail stay as they are. A number after a + that is short enough for a
+phone together with the next number is one value, but after +1 phones have 11 digits.
 
 The network alternately adds a hash of one half to the other, each within its own
 range. That is a permutation of exactly the values of a format, without padding or
@@ -13,6 +16,8 @@ character in its own class.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,41 +202,73 @@ def _ssn(v: Column, key: str) -> Column:
     return F.when(valid, _refill(v, let(pair, text))).otherwise(v)
 
 
+def _part(v: Column, separators: str, fits: Callable[[Column], Column], new: Callable[[Column], Column]) -> Column:
+    """``v`` with its longest part between separators that fits, of equals the first, replaced; ``v`` if none fits."""
+    n = F.length(v)
+    cut = lambda i: F.substr(v, i, F.lit(1)).rlike(separators)
+
+    def put_in(p: Column) -> Column:
+        start = -p["back"]
+        replaced = let(F.substr(v, start, p["n"]), new)
+        return F.when(p.isNull(), v).otherwise(F.concat(F.left(v, start - 1), replaced, F.substr(v, start + p["n"], n)))
+
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | cut(i - 1))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda j: (j == n) | cut(j + 1))
+    pairs = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda j: F.struct((j - i + 1).alias("n"), (-i).alias("back")))))
+    parts = F.filter(pairs, lambda p: (p["n"] >= 8) & fits(F.substr(v, -p["back"], p["n"])))
+    whole = F.struct(n.alias("n"), F.lit(-1).alias("back"))
+    return let(F.when(fits(v), whole).otherwise(F.array_max(parts)), put_in)
+
+
 def _iban(v: Column, key: str) -> Column:
-    def of(s: Column) -> Column:
+    def fits(t: Column) -> Column:
+        s = F.replace(t, F.lit(" "), F.lit(""))
+        return F.length(s).between(15, 34) & s.rlike("^[A-Z]{2}[0-9]{2}") & (mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.left(s, F.lit(4)))) == 1)
+
+    def new(t: Column) -> Column:
+        s = F.replace(t, F.lit(" "), F.lit(""))
+        country = F.left(s, F.lit(2))
+
         def checked(body: Column) -> Column:
-            country = F.left(s, F.lit(2))
             rest = mod97(F.concat(body, country, F.lit("00")))
-            return _refill(v, F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body), "[A-Z0-9]")
+            return _refill(t, F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body), "[A-Z0-9]")
 
-        body = F.substr(s, F.lit(5), F.length(s))
-        valid = F.length(s).between(15, 34) & (mod97(F.concat(body, F.left(s, F.lit(4)))) == 1)
-        return F.when(valid, let(permute_text(body, key, "iban", (DIGITS, UPPER)), checked)).otherwise(v)
+        return let(permute_text(F.substr(s, F.lit(5), F.length(s)), key, "iban", (DIGITS, UPPER)), checked)
 
-    return let(F.replace(v, F.lit(" "), F.lit("")), of)
+    return _part(v, " ", fits, new)
 
 
 def _phone(v: Column, key: str) -> Column:
     """The national number; the country code of +1 numbers, else two digits after a +, stay."""
 
-    def of(d: Column) -> Column:
-        kept = F.when(F.length(d) == 10, 0).when((F.length(d) == 11) & d.startswith("1"), 1).otherwise(2)
-        kept = F.when(F.startswith(v, F.lit("+")) | (F.length(d) > 10), kept).otherwise(0)
-        new = F.concat(F.left(d, kept), permute_text(F.substr(d, kept + 1, F.length(d)), key, "phone"))
-        return F.when(F.length(d).between(8, 15), _refill(v, new)).otherwise(v)
+    def fits(t: Column) -> Column:
+        n = F.length(_digits(t))
+        first = F.startswith(v, t)  # a part that does not begin the candidate has no country code
+        return first & F.when(t.rlike("^[+]1($|[^0-9])") & _digits(v).rlike("^[0-9]{11}"), n == 11).otherwise(n.between(8, 15))
+
+    def new(t: Column) -> Column:
+        def of(d: Column) -> Column:
+            kept = F.when(F.length(d) == 10, 0).when((F.length(d) == 11) & d.startswith("1"), 1).otherwise(2)
+            kept = F.when(F.startswith(t, F.lit("+")) | (F.length(d) > 10), kept).otherwise(0)
+            return _refill(t, F.concat(F.left(d, kept), permute_text(F.substr(d, kept + 1, F.length(d)), key, "phone")))
 
-    return let(_digits(v), of)
+        return let(_digits(t), of)
+
+    return _part(v, "[ .-]", fits, new)
 
 
 def _card(v: Column, key: str) -> Column:
-    def of(d: Column) -> Column:
+    def fits(t: Column) -> Column:
+        return let(_digits(t), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) == 0))
+
+    def new(t: Column) -> Column:
         def checked(body: Column) -> Column:
-            return _refill(v, F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
+            return _refill(t, F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
 
-        body = F.left(d, F.length(d) - 1)
-        return F.when(luhn_sum(d) == 0, let(permute_text(body, key, "card"), checked)).otherwise(v)
+        d = _digits(t)
+        return let(permute_text(F.left(d, F.length(d) - 1), key, "card"), checked)
 
-    return let(_digits(v), of)
+    return _part(v, "[ -]", fits, new)
 
 
 def pseudonym(v: Column, key: str) -> Column:

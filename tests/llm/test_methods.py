@@ -298,6 +298,17 @@ def test_pseudonyms_keep_their_format(spark):
     assert out[99] == f"{got[0]} {got[0]}"
 
 
+def test_pseudonyms_of_values_beside_other_numbers_and_words(spark):
+    """A CVV, an expiry, a list number, a currency or a short number that a candidate took in stays; the value does not."""
+    card, iban, austrian, phone = "4111111111111111", "ES9121000418450200051332", "AT611904300234573201", "+1 212 555 0123"
+    beside = [("", "4111 1111 1111 1111", " 123"), ("", card, " 12/25"), ("10 ", card, ""), ("", iban, " EUR"),
+              ("", austrian, " SEPA"), ("", phone, " 42"), ("", phone, " 1234 56")]
+    rows = [(i, f"{a}{v}{b}") for i, (a, v, b) in enumerate(beside)] + [(100 + i, v) for i, (_, v, _) in enumerate(beside)]
+    out = {r.doc_id: r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    for i, (a, v, b) in enumerate(beside):
+        assert out[100 + i] != v and out[i] == f"{a}{out[100 + i]}{b}"
+
+
 # ---- sharding --------------------------------------------------------------
 
 
