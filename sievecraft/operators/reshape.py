@@ -39,8 +39,8 @@ def split_target_reference(df: DataFrame, *keep: str, assets: Sequence[str] = AS
     return df.select(*keep, target.alias("target"), reference.alias("reference"), "kto_tags")
 
 
-def assign_batches(df: DataFrame, seq: str, batch_size: int) -> DataFrame:
-    """Adds ``batch``: consecutive rows in scan order, ``batch_size`` at a time."""
+def assign_batches(df: DataFrame, seq: Sequence[str] | str, batch_size: int) -> DataFrame:
+    """Adds ``batch``: consecutive rows in the order of ``seq``, one column or several, ``batch_size`` at a time."""
     numbered = number_rows(df, seq, "_row")
     return numbered.withColumn("batch", F.floor(F.col("_row") / batch_size)).drop("_row")
 

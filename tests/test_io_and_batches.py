@@ -1,3 +1,4 @@
+import collections
 import json
 import os
 
@@ -101,10 +102,38 @@ def test_split(spark):
 def test_number_rows(spark):
     values = [x * x % 100003 for x in range(0, 400)]
     df = spark.createDataFrame([(v,) for v in set(values)], "seq bigint")
-    got = {r.seq: r.row_number for r in number_rows(df, "seq", width=64).collect()}
+    got = {r.seq: r.row_number for r in number_rows(df, "seq").collect()}
     assert got == {v: i for i, v in enumerate(sorted(set(values)))}
 
 
+def test_rows_are_numbered_by_file_and_row(spark):
+    rows = [(f"file{f}", r, None if r % 3 else "x") for f in (2, 0, 1) for r in range(300 - 100 * f)]
+    df = spark.createDataFrame(rows, "file string, row long, pay string").repartition(7)
+    want = {key: i for i, key in enumerate(sorted((f, r) for f, r, _ in rows))}
+    numbered = number_rows(df, ["file", "row"])
+    assert numbered.columns == ["file", "row", "pay", "row_number"]
+    assert {(r.file, r.row): r.row_number for r in numbered.collect()} == want
+    batches = assign_batches(df, ["file", "row"], 64).collect()
+    assert all(r.batch == want[r.file, r.row] // 64 for r in batches)
+    for n in (0, 1, 299, 300, 301, 600, 1000):
+        assert {(r.file, r.row) for r in sample_cap(df, ["file", "row"], n).collect()} == {k for k, i in want.items() if i < n}
+    assert number_rows(df.limit(0), ["file", "row"]).count() == 0
+
+
+def test_one_group_of_most_rows_is_numbered_over_many_ranges(spark):
+    rows = [(g, v) for g in range(20) for v in range(3)] + [(7, v) for v in range(3, 5000)] + [(21, 5)] * 4
+    df = spark.createDataFrame(rows, "g int, v int").repartition(5)
+    numbered = number_rows(df, "v", "rank", by=["g"])
+    got = collections.defaultdict(list)
+    for r in numbered.collect():
+        got[r.g].append((r.v, r.rank))
+    assert sorted(got[7]) == [(v, v) for v in range(5000)]
+    assert sorted(got[21]) == [(5, k) for k in range(4)]
+    assert all(sorted(got[g]) == [(0, 0), (1, 1), (2, 2)] for g in range(20) if g != 7)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "BroadcastHashJoin" in plan
+
+
 TOKENS = "input_ids array<int>, attention_mask array<int>, labels array<int>"
 
 

@@ -117,9 +117,7 @@ def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return number_rows(labels, "doc_id", width=128).select(
-        "doc_id", F.col("row_number").cast("long").alias("row_number")
-    )
+    return number_rows(labels, "doc_id").select("doc_id", "row_number")
 
 
 # ---- batches ---------------------------------------------------------------
