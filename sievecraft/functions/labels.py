@@ -35,56 +35,72 @@ def suffix_ids(labels: Column, pos: Column, k: int) -> Column:
     return response_ids(F.transform(offsets, lambda o: F.get(labels, pos + o)))
 
 
-def suffix_usable(
-    labels: Column, positions: Column, pos: Column, rank: Column, k: int, min_len: int, blank_ids: Column
-) -> Column:
+def suffix_usable(labels: Column, positions: Column, pos: Column, rank: Column, k: int, min_len: int, visible: Column | None) -> Column:
     """The window after ``pos`` is long enough and decodes to visible text.
 
     ``pos`` is element ``rank`` of the response ``positions``, so the window holds
     ``min_len`` tokens when the element that many places on still lies in it.
+    ``visible`` tells of each position of the row whether its token shows; without it
+    every response token does.
     """
-
-    def visible(o: Column) -> Column:
-        token = F.get(labels, pos + o)
-        return (token != IGNORE_INDEX) & ~F.array_contains(blank_ids, token)
-
     long_enough = F.coalesce(F.get(positions, rank + min_len) <= pos + k, F.lit(False))
-    # Stops at the first visible token.
-    return long_enough & F.coalesce(F.exists(F.sequence(F.lit(1), F.lit(k)), visible), F.lit(False))
 
+    def shows(o: Column) -> Column:
+        return F.get(labels, pos + o) != IGNORE_INDEX if visible is None else F.get(visible, pos + o)
 
-def _with_row_blanks(labels: Column, blank_ids: Column, body) -> Column:
-    """``body(response positions, blank ids that occur in the row)``.
-
-    The vocabulary's list may be long and is searched per token; the part of it a
-    row uses is short.
-    """
-    return let(
-        response_positions(labels),
-        lambda ps: let(F.array_intersect(labels, blank_ids), lambda blanks: body(ps, blanks)),
-    )
+    # Stops at the first visible token.
+    return long_enough & F.coalesce(F.exists(F.sequence(F.lit(1), F.lit(k)), shows), F.lit(False))
 
 
-def anchor_positions(labels: Column, k: int, stride: int, min_len: int, blank_ids: Column) -> Column:
+def anchor_positions(labels: Column, k: int, stride: int, min_len: int, visible: Column | None = None) -> Column:
     """Every ``stride``-th response position, if the window after it is usable."""
 
-    def chosen(ps: Column, blanks: Column) -> Column:
+    def chosen(ps: Column) -> Column:
         def keep(p: Column, rank: Column) -> Column:
-            return (rank % stride == 0) & suffix_usable(labels, ps, p, rank, k, min_len, blanks)
+            return (rank % stride == 0) & suffix_usable(labels, ps, p, rank, k, min_len, visible)
 
         return F.filter(ps, keep)
 
-    return _with_row_blanks(labels, blank_ids, chosen)
+    return let(response_positions(labels), chosen)
 
 
-def anchor_suffixes(labels: Column, k: int, stride: int, min_len: int, blank_ids: Column) -> Column:
+def anchor_suffixes(labels: Column, k: int, stride: int, min_len: int, visible: Column | None = None) -> Column:
     """Array of (pos, suffix) of the anchors."""
     return F.transform(
-        anchor_positions(labels, k, stride, min_len, blank_ids),
+        anchor_positions(labels, k, stride, min_len, visible),
         lambda p: F.struct(p.alias("pos"), suffix_ids(labels, p, k).alias("suffix")),
     )
 
 
+def window_key(suffix: Column) -> Column:
+    """128 bits that tell windows of token ids apart, wherever they lie."""
+    return F.unhex(F.md5(F.array_join(suffix, ",")))
+
+
+def _stretch_ends(labels: Column, anchors: Column, pos: Column, i: Column) -> tuple[Column, Column]:
+    """First and last position of the row that anchor ``i``, at ``pos``, is nearest to."""
+    left = F.when(i == 0, F.lit(0)).otherwise(F.floor((F.get(anchors, i - 1) + pos) / 2).cast("int") + 1)
+    right = F.when(i == F.size(anchors) - 1, F.size(labels) - 1).otherwise(F.floor((pos + F.get(anchors, i + 1)) / 2).cast("int"))
+    return left, right
+
+
+def anchor_loads(labels: Column, anchors: Column) -> Column:
+    """Array of (src_pos, n): how many response positions each anchor is nearest to.
+
+    The run-length form of ``nearest_anchors``: a number per stretch where that has a
+    row per position.
+    """
+
+    def load(a: Column) -> Column:
+        def of(pos: Column, i: Column) -> Column:
+            inside = F.filter(F.sequence(*_stretch_ends(labels, a, pos, i)), lambda p: F.get(labels, p) != IGNORE_INDEX)
+            return F.struct(pos.alias("src_pos"), F.size(inside).cast("long").alias("n"))
+
+        return F.transform(a, of)
+
+    return let(anchors, load)
+
+
 def nearest_anchors(labels: Column, anchors: Column) -> Column:
     """Array of (pos, src_pos): the closest anchor of each response position.
 
@@ -94,14 +110,8 @@ def nearest_anchors(labels: Column, anchors: Column) -> Column:
     """
 
     def owned(a: Column) -> Column:
-        last = F.size(a) - 1
-
         def stretch(pos: Column, i: Column) -> Column:
-            left = F.when(i == 0, F.lit(0)).otherwise(F.floor((F.get(a, i - 1) + pos) / 2).cast("int") + 1)
-            right = F.when(i == last, F.size(labels) - 1).otherwise(
-                F.floor((pos + F.get(a, i + 1)) / 2).cast("int")
-            )
-            inside = F.filter(F.sequence(left, right), lambda p: F.get(labels, p) != IGNORE_INDEX)
+            inside = F.filter(F.sequence(*_stretch_ends(labels, a, pos, i)), lambda p: F.get(labels, p) != IGNORE_INDEX)
             return F.transform(inside, lambda p: F.struct(p.alias("pos"), pos.alias("src_pos")))
 
         return F.flatten(F.transform(a, stretch))
@@ -113,17 +123,17 @@ def nearest_anchors(labels: Column, anchors: Column) -> Column:
     return let(anchors, lambda a: F.when(F.size(a) > 0, owned(a)).otherwise(none))
 
 
-def own_targets(labels: Column, k: int, min_len: int, blank_ids: Column) -> Column:
+def own_targets(labels: Column, k: int, min_len: int, visible: Column | None = None) -> Column:
     """Array of (pos, src_pos) for stride 1: each position is its own source, or has none."""
 
-    def source(ps: Column, blanks: Column) -> Column:
+    def source(ps: Column) -> Column:
         def own(p: Column, rank: Column) -> Column:
-            usable = suffix_usable(labels, ps, p, rank, k, min_len, blanks)
+            usable = suffix_usable(labels, ps, p, rank, k, min_len, visible)
             return F.struct(p.alias("pos"), F.when(usable, p).alias("src_pos"))
 
         return F.transform(ps, own)
 
-    return _with_row_blanks(labels, blank_ids, source)
+    return let(response_positions(labels), source)
 
 
 def position_weights(labels: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,3 +60,23 @@ def interpolate(z1: Column, z0: Column, t: Column) -> Column:
 
 def velocity(z1: Column, z0: Column) -> Column:
     return F.zip_with(doubles(z1), doubles(z0), lambda x, y: x - y)
+
+
+# Names of the measures between a predicted and a wanted vector. "flow_matching"
+# compares velocities, see ``operators.embed.interpolation_pairs``; "cka" compares all
+# vectors of a group at once and is no function of a row.
+ROW_METRICS = {
+    "flow_matching": mean_squared_difference,
+    "cosine": cosine_distance,
+    "mse": mean_squared_difference,
+}
+GROUP_METRIC = "cka"
+
+
+def vector_metric(name: str) -> Callable[[Column, Column], Column]:
+    """The measure of that name between two vectors of a row."""
+    if name not in ROW_METRICS:
+        known = ", ".join([*ROW_METRICS, GROUP_METRIC])
+        hint = " compares groups: use operators.alignment.metric_loss" if name == GROUP_METRIC else f" is not one of {known}"
+        raise ValueError(f"metric {name!r}{hint}")
+    return ROW_METRICS[name]

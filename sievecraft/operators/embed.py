@@ -18,6 +18,7 @@ from sievecraft.sources.corpus import read_if_exists
 # Fixed values.
 MAX_LENGTH = 512
 BATCH_SIZE = 512
+TOKEN_BUDGET = 1 << 16  # padded tokens of a batch
 
 KEY = "content_key"
 VECTOR = "embedding"
@@ -28,27 +29,51 @@ def content_key(text: Column, encoder_name: str, max_len: int | None) -> Column:
     return F.md5(F.concat(F.lit(f"{encoder_name}|{max_len}|"), text))
 
 
+def budget_batches(lengths: Sequence[int], batch_size: int, token_budget: int | None) -> Iterator[list[int]]:
+    """Positions in batches of similar length, longest first.
+
+    A batch has at most ``batch_size`` texts and, padded to its longest, at most
+    ``token_budget`` tokens; a text of more tokens than that is alone. In order of
+    length, texts differ little from their neighbours, so little of a batch is padding.
+    """
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    start = 0
+    while start < len(order):
+        longest = max(1, lengths[order[start]])
+        count = batch_size if token_budget is None else min(batch_size, max(1, token_budget // longest))
+        yield order[start : start + count]
+        start += count
+
+
 def encode_texts(
     text: Column,
     make_encoder: Callable[[], Callable],
     dim: int,
     max_len: int | None = MAX_LENGTH,
     batch_size: int = BATCH_SIZE,
+    token_budget: int | None = TOKEN_BUDGET,
+    count_tokens: Callable[[str], int] | None = None,
 ) -> Column:
     """Unit vectors of texts; blank text gives the zero vector.
 
     ``make_encoder()`` runs once per Python worker and returns a callable
-    ``(list of texts, max_len) -> 2-d array``. It only sees non-blank texts, at
-    most ``batch_size`` at a time.
+    ``(list of texts, max_len) -> 2-d array``. It only sees non-blank texts, in batches
+    of similar length, see ``budget_batches``. ``count_tokens`` tells how long a text is
+    before the length limit; the number of its words by default.
     """
+    batches_of = budget_batches
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
+        length = count_tokens or (lambda t: len(t.split()))
         for texts in batches:
             vectors = [[0.0] * dim] * len(texts)
             visible = [i for i, t in enumerate(texts) if t and not t.isspace()]
-            for start in range(0, len(visible), batch_size):
-                part = visible[start : start + batch_size]
+            lengths = [length(texts.iloc[i]) for i in visible]
+            if max_len is not None:
+                lengths = [min(n, max_len) for n in lengths]
+            for batch in batches_of(lengths, batch_size, token_budget):
+                part = [visible[k] for k in batch]
                 for i, vector in zip(part, encoder([texts.iloc[i] for i in part], max_len)):
                     vectors[i] = vector
             yield pd.Series(vectors)
@@ -146,23 +171,24 @@ def embed_samples(df: DataFrame, encoded: DataFrame, sample: Sequence[str], dim:
     return df.join(encoded, list(sample), "left").withColumn(VECTOR, F.coalesce(VECTOR, zero_vector(dim)))
 
 
-def sample_vector_positions(positions: DataFrame, samples: DataFrame, sample: Sequence[str]) -> DataFrame:
-    """One target for all positions of a sample, as a reference to its content key."""
-    return positions.join(samples.select(*sample, KEY), list(sample))
+def sample_vector_positions(df: DataFrame, positions: Column, row: Sequence[str]) -> DataFrame:
+    """One target for all positions of a sample, as a reference to its content key.
 
+    ``df`` has one row per sample with ``content_key``; ``positions`` is the array of
+    its positions, opened last, so that no position is shuffled.
+    """
+    return df.select(*row, KEY, F.explode(positions).alias("pos"))
 
-def mean_over_positions(
-    sources: DataFrame, lengths: DataFrame, vectors: DataFrame, sample: Sequence[str], dim: int
-) -> DataFrame:
+
+def mean_over_positions(loads: DataFrame, lengths: DataFrame, vectors: DataFrame, sample: Sequence[str], dim: int) -> DataFrame:
     """(sample, pooled): sum of the position targets over the full sequence length.
 
-    ``sources`` refers to anchors by ``src_pos``; positions without a target and
-    prompt positions count as zero vectors. A vector is weighted by the number of
-    positions it serves instead of being copied to them.
+    ``loads`` has the number of positions that each anchor serves; positions without a
+    target and prompt positions count as zero vectors. A vector is weighted by that
+    number instead of being copied.
     """
-    served = sources.where("src_pos IS NOT NULL").groupBy(*sample, "src_pos").agg(F.count(F.lit(1)).alias("_n"))
-    joined = served.join(vectors.withColumnRenamed("pos", "src_pos"), [*sample, "src_pos"])
-    weighted = Summarizer.sum(array_to_vector(doubles(F.col(VECTOR))), F.col("_n").cast("double"))
+    joined = loads.where("n > 0").join(vectors.withColumnRenamed("pos", "src_pos"), [*sample, "src_pos"])
+    weighted = Summarizer.sum(array_to_vector(doubles(F.col(VECTOR))), F.col("n").cast("double"))
     sums = joined.groupBy(*sample).agg(vector_to_array(weighted).alias("_sum"))
     filled = lengths.join(sums, list(sample), "left").withColumn("_sum", F.coalesce("_sum", zero_vector(dim)))
     return filled.select(*sample, F.transform("_sum", lambda x: x / F.greatest(F.col("length"), F.lit(1))).alias("pooled"))

@@ -11,31 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievecraft.functions.dictionary import DICTIONARY_BYTES, token_dictionary
 from sievecraft.functions.labels import (
     IGNORE_INDEX,
     MIN_SUFFIX_TOKENS,
+    anchor_loads,
     anchor_positions,
-    anchor_suffixes,
     nearest_anchors,
     own_targets,
     position_weights,
+    suffix_ids,
+    window_key,
 )
 from sievecraft.functions.text import is_blank
 from sievecraft.operators.skew import join_unique
 
-LABELS = "labels"
+LABELS, PIECES = "labels", "pieces"
 
 
-def blank_token_ids(vocabulary: DataFrame) -> Column:
-    """Array of the ids that decode to nothing visible; bounded by the vocabulary."""
-    blank = F.col("is_special") | is_blank(F.col("piece"))
-    ids = F.collect_set(F.when(blank, F.col("token_id")))
-    return vocabulary.agg(ids.alias("ids")).scalar()
-
-
-def _with_blanks(df: DataFrame, blank_ids: Column | None) -> DataFrame:
-    """Adds the blank ids as a column, which lambdas may read (a subquery they may not)."""
-    return df.withColumn("_blanks", F.array().cast("array<int>") if blank_ids is None else blank_ids)
+def _visible(df: DataFrame) -> Column | None:
+    """Which positions of a row with ``pieces`` show something; None for rows without."""
+    return F.transform(PIECES, lambda p: p.isNotNull() & ~is_blank(p)) if PIECES in df.columns else None
 
 
 def response_tokens(df: DataFrame, sample: Sequence[str]) -> DataFrame:
@@ -44,12 +40,24 @@ def response_tokens(df: DataFrame, sample: Sequence[str]) -> DataFrame:
     return exploded.where(F.col("token_id") != IGNORE_INDEX)
 
 
-def with_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str]) -> DataFrame:
+def with_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str], limit: int = DICTIONARY_BYTES) -> DataFrame:
     """(sample, labels, pieces): each response token's text at its position, else null.
 
-    Special tokens have no text. Every token meets the vocabulary once, whatever
-    windows are laid over the sequence afterwards. Frequent tokens are hot keys of
-    that join and are salted there; prompt positions have no key at all.
+    Special tokens have no text. A vocabulary of up to ``limit`` bytes is looked up in
+    the row, and no token moves; a larger one is joined.
+    """
+    dictionary = token_dictionary(vocabulary, limit)
+    if dictionary is None:
+        return joined_pieces(df, vocabulary, sample)
+    pieces = F.transform(LABELS, lambda x: F.when(x != IGNORE_INDEX, dictionary.piece(x)))
+    return df.select(*sample, LABELS, pieces.alias(PIECES))
+
+
+def joined_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str]) -> DataFrame:
+    """``with_pieces`` for a vocabulary of any size.
+
+    Every token meets the vocabulary once. Frequent tokens are hot keys of that join
+    and are salted there; prompt positions have no key at all.
     """
     exploded = df.select(*sample, F.posexplode_outer(LABELS).alias("pos", "label"))
     tokens = exploded.withColumn("token_id", F.when(F.col("label") != IGNORE_INDEX, F.col("label")))
@@ -63,7 +71,7 @@ def with_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str]) ->
         .select(
             *sample,
             F.transform("_rows", lambda r: r["label"]).alias(LABELS),
-            F.transform("_rows", lambda r: r["piece"]).alias("pieces"),
+            F.transform("_rows", lambda r: r["piece"]).alias(PIECES),
         )
     )
 
@@ -73,62 +81,74 @@ def decode_responses(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str]
     return with_pieces(df, vocabulary, sample).select(*sample, F.array_join("pieces", sep).alias("text"))
 
 
-def suffix_windows(
-    df: DataFrame,
-    sample: Sequence[str],
-    k: int,
-    stride: int = 1,
-    min_len: int = MIN_SUFFIX_TOKENS,
-    blank_ids: Column | None = None,
-) -> DataFrame:
-    """(sample, pos, suffix): the token windows an encoder has to see."""
-    anchors = anchor_suffixes(F.col(LABELS), k, stride, min_len, F.col("_blanks"))
-    return _with_blanks(df, blank_ids).select(*sample, F.inline(anchors))
-
-
-def suffix_texts(
-    df: DataFrame,
-    sample: Sequence[str],
-    k: int,
-    stride: int = 1,
-    min_len: int = MIN_SUFFIX_TOKENS,
-    blank_ids: Column | None = None,
-    sep: str = "",
-) -> DataFrame:
-    """(sample, pos, text): the decoded windows of rows that have ``pieces``."""
+def _anchors(df: DataFrame, k: int, stride: int, min_len: int) -> Column:
+    return anchor_positions(F.col(LABELS), k, stride, min_len, F.col("_visible") if PIECES in df.columns else None)
+
+
+def _with_visible(df: DataFrame) -> DataFrame:
+    visible = _visible(df)
+    return df if visible is None else df.withColumn("_visible", visible)
+
+
+def suffix_windows(df: DataFrame, sample: Sequence[str], k: int, stride: int = 1, min_len: int = MIN_SUFFIX_TOKENS) -> DataFrame:
+    """(sample, pos, suffix): the token windows an encoder has to see.
+
+    Windows without visible text are left out if the rows have ``pieces``.
+    """
+    windows = F.transform(_anchors(df, k, stride, min_len), lambda p: F.struct(p.alias("pos"), suffix_ids(F.col(LABELS), p, k).alias("suffix")))
+    return _with_visible(df).select(*sample, F.inline(windows))
+
+
+def keyed_windows(df: DataFrame, sample: Sequence[str], k: int, stride: int = 1, min_len: int = MIN_SUFFIX_TOKENS) -> DataFrame:
+    """(sample, pos, window_key, pieces) of the windows of rows that have ``pieces``.
+
+    The key is that of the token ids, so equal windows of all samples are known before
+    any text is built.
+    """
     offsets = F.sequence(F.lit(1), F.lit(k))
 
-    def text(pos: Column) -> Column:
-        window = F.transform(offsets, lambda o: F.get(F.col("pieces"), pos + o))
-        return F.struct(pos.alias("pos"), F.array_join(window, sep).alias("text"))
+    def window(p: Column) -> Column:
+        seen = F.filter(F.transform(offsets, lambda o: F.get(F.col(PIECES), p + o)), lambda x: x.isNotNull())
+        return F.struct(p.alias("pos"), window_key(suffix_ids(F.col(LABELS), p, k)).alias("window_key"), seen.alias(PIECES))
+
+    return _with_visible(df).select(*sample, F.inline(F.transform(_anchors(df, k, stride, min_len), window)))
+
 
-    anchors = anchor_positions(F.col(LABELS), k, stride, min_len, F.col("_blanks"))
-    return _with_blanks(df, blank_ids).select(*sample, F.inline(F.transform(anchors, text)))
+def distinct_windows(windows: DataFrame, sep: str = "") -> DataFrame:
+    """(window_key, text): each different window once, its text built after the others are gone."""
+    once = windows.groupBy("window_key").agg(F.any_value(PIECES).alias(PIECES))
+    return once.select("window_key", F.array_join(PIECES, sep).alias("text"))
 
 
-def suffix_sources(
-    df: DataFrame,
-    sample: Sequence[str],
-    k: int,
-    stride: int = 1,
-    min_len: int = MIN_SUFFIX_TOKENS,
-    blank_ids: Column | None = None,
-) -> DataFrame:
+def suffix_sources(df: DataFrame, sample: Sequence[str], k: int, stride: int = 1, min_len: int = MIN_SUFFIX_TOKENS) -> DataFrame:
     """(sample, pos, src_pos, has_target) of every response position.
 
     ``src_pos`` is the anchor whose suffix vector stands for the position: a
     reference to it instead of a copy of the vector. With stride 1 nothing is
     filled in; with a larger stride the nearest anchor serves.
     """
-    labels, blanks = F.col(LABELS), F.col("_blanks")
+    labels = F.col(LABELS)
     if stride == 1:
-        sources = own_targets(labels, k, min_len, blanks)
+        sources = own_targets(labels, k, min_len, F.col("_visible") if PIECES in df.columns else None)
     else:
-        sources = nearest_anchors(labels, anchor_positions(labels, k, stride, min_len, blanks))
-    long = _with_blanks(df, blank_ids).select(*sample, F.inline(sources))
+        sources = nearest_anchors(labels, _anchors(df, k, stride, min_len))
+    long = _with_visible(df).select(*sample, F.inline(sources))
     return long.withColumn("has_target", F.col("src_pos").isNotNull())
 
 
+def suffix_loads(df: DataFrame, sample: Sequence[str], k: int, stride: int = 1, min_len: int = MIN_SUFFIX_TOKENS) -> DataFrame:
+    """(sample, src_pos, n): the number of response positions that each anchor serves.
+
+    What counting the rows of ``suffix_sources`` by anchor gives, without the rows.
+    """
+    anchors = _anchors(df, k, stride, min_len)
+    if stride == 1:
+        loads = F.transform(anchors, lambda p: F.struct(p.alias("src_pos"), F.lit(1).cast("long").alias("n")))
+    else:
+        loads = anchor_loads(F.col(LABELS), anchors)
+    return _with_visible(df).select(*sample, F.inline(loads))
+
+
 def weigh_positions(df: DataFrame, sample: Sequence[str]) -> DataFrame:
     """(sample, pos, rank, weight) of every response position."""
     return df.select(*sample, F.inline(position_weights(F.col(LABELS))))

@@ -5,16 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sievecraft.functions.labels import MIN_SUFFIX_TOKENS
-from sievecraft.operators.embed import MAX_LENGTH, attach_embeddings, embed_incremental
-from sievecraft.operators.labels import (
-    blank_token_ids,
-    decode_responses,
-    suffix_sources,
-    suffix_texts,
-    with_pieces,
-)
+from sievecraft.operators.embed import KEY, MAX_LENGTH, VECTOR, attach_embeddings, content_key, embed_incremental
+from sievecraft.operators.labels import decode_responses, distinct_windows, keyed_windows, suffix_loads, suffix_sources, with_pieces
+from sievecraft.operators.skew import join_unique
 
 
 def sample_targets(
@@ -51,15 +47,20 @@ def suffix_targets(
     min_len: int = MIN_SUFFIX_TOKENS,
     max_len: int | None = MAX_LENGTH,
     sep: str = "",
-) -> tuple[DataFrame, DataFrame]:
-    """Anchor vectors (sample, pos, content_key, embedding) and (sample, pos, src_pos, has_target).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchor vectors, sources and loads.
 
-    The second table tells which anchor serves each response position; join it to
-    the first on (sample, src_pos) where the vectors themselves are wanted.
+    Anchors are (sample, pos, content_key, embedding); sources (sample, pos, src_pos,
+    has_target) tell which anchor serves each response position; loads (sample,
+    src_pos, n) how many each serves. Join on (sample, src_pos) where the vectors
+    themselves are wanted. Tokens do not leave their row; texts are built, and encoded,
+    once for each different window of all samples.
     """
-    blanks = blank_token_ids(vocabulary)
     rows = with_pieces(df, vocabulary, sample)
-    texts = suffix_texts(rows, sample, k, stride, min_len, blanks, sep)
+    windows = keyed_windows(rows, sample, k, stride, min_len)
+    texts = distinct_windows(windows, sep).withColumn(KEY, content_key(F.col("text"), encoder_name, max_len))
     vectors = embed_incremental(texts, "text", make_encoder, encoder_name, dim, cache_path, max_len)
-    anchors = attach_embeddings(texts, vectors, "text", encoder_name, [*sample, "pos"], max_len)
-    return anchors.drop("text"), suffix_sources(df, sample, k, stride, min_len, blanks)
+    encoded = texts.select("window_key", KEY).join(vectors.select(KEY, VECTOR), KEY)
+    anchors = join_unique(windows.select(*sample, "pos", "window_key"), encoded, "window_key", [*sample, "pos"])
+    found = anchors.select(*sample, "pos", KEY, VECTOR)
+    return found, suffix_sources(rows, sample, k, stride, min_len), suffix_loads(rows, sample, k, stride, min_len)

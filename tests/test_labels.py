@@ -1,14 +1,19 @@
+import collections
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sievecraft.functions.dictionary import token_dictionary
 from sievecraft.operators.labels import (
-    blank_token_ids,
     decode_responses,
+    distinct_windows,
+    joined_pieces,
+    keyed_windows,
     response_tokens,
+    suffix_loads,
     suffix_sources,
-    suffix_texts,
     suffix_windows,
     weigh_positions,
     weighted_mean,
@@ -62,18 +67,20 @@ def vocabulary(spark):
 @pytest.mark.parametrize("k,stride,min_len", [(20, 1, 16), (20, 4, 16), (8, 3, 4), (5, 32, 1), (3, 2, 3)])
 def test_windows_and_sources_equal_brute_force(spark, k, stride, min_len):
     rows = sequences()
-    df = spark.createDataFrame(rows, "id int, labels array<int>")
-    blanks = blank_token_ids(vocabulary(spark))
+    df = with_pieces(spark.createDataFrame(rows, "id int, labels array<int>"), vocabulary(spark), ["id"])
     windows = {}
-    for r in suffix_windows(df, ["id"], k, stride, min_len, blanks).collect():
+    for r in suffix_windows(df, ["id"], k, stride, min_len).collect():
         windows.setdefault(r.id, {})[r.pos] = list(r.suffix)
     sources = {}
-    for r in suffix_sources(df, ["id"], k, stride, min_len, blanks).collect():
+    for r in suffix_sources(df, ["id"], k, stride, min_len).collect():
         sources.setdefault(r.id, {})[r.pos] = r.src_pos
         assert r.has_target == (r.src_pos is not None)
     for i, labels in rows:
         assert windows.get(i, {}) == model_anchors(labels, k, stride, min_len)[1]
         assert sources.get(i, {}) == model_sources(labels, k, stride, min_len)
+    served = collections.Counter((i, src) for i, places in sources.items() for src in places.values() if src is not None)
+    loads = {(r.id, r.src_pos): r.n for r in suffix_loads(df, ["id"], k, stride, min_len).collect()}
+    assert loads == dict(served)
 
 
 def test_ties_go_to_the_earlier_anchor(spark):
@@ -110,32 +117,75 @@ def test_decode_and_response_tokens(spark):
     assert tokens == {(i, p, x) for i, labels in rows for p, x in enumerate(labels) if x != IGNORE}
 
 
-def test_windows_need_no_shuffle(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_token_is_shuffled(spark):
+    """Windows, sources, loads and texts stay in the row; so does the vocabulary."""
     df = spark.createDataFrame([(0, [1, 2])], "id int, labels array<int>")
-    for out in (suffix_windows(df, ["id"], 4, 2), suffix_sources(df, ["id"], 4, 2), weigh_positions(df, ["id"])):
-        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    pieced = with_pieces(df, vocabulary(spark), ["id"])
+    outs = [weigh_positions(df, ["id"]), decode_responses(df, vocabulary(spark), ["id"])]
+    for rows in (df, pieced):
+        outs += [f(rows, ["id"], 4, 2) for f in (suffix_windows, suffix_sources, suffix_loads)]
+    for out in (*outs, keyed_windows(pieced, ["id"], 4, 2)):
+        assert "Exchange" not in plan_of(out) and "Join" not in plan_of(out) and "from_json" not in plan_of(out)
 
 
-def test_pieces_and_window_texts(spark):
+@pytest.mark.parametrize("pieces_of", [with_pieces, joined_pieces])
+def test_pieces_and_window_texts(spark, pieces_of):
     rows = sequences()
     pieces = {1: "one", 2: " two", 3: "x", 8: " \n"}
-    vocab = vocabulary(spark)
-    df = with_pieces(spark.createDataFrame(rows, "id int, labels array<int>"), vocab, ["id"])
+    df = pieces_of(spark.createDataFrame(rows, "id int, labels array<int>"), vocabulary(spark), ["id"])
     got = {r.id: (r.labels, r.pieces) for r in df.collect()}
     assert got == {i: (labels, [pieces.get(x) for x in labels]) for i, labels in rows}
-    texts = {}
-    for r in suffix_texts(df, ["id"], 20, 4, 16, blank_token_ids(vocab), sep="|").collect():
-        texts.setdefault(r.id, {})[r.pos] = r.text
+    windows = keyed_windows(df, ["id"], 20, 4, 16)
+    texts = distinct_windows(windows, sep="|")
+    found = collections.defaultdict(dict)
+    for r in windows.join(texts, "window_key").collect():
+        found[r.id][r.pos] = r.text
+    distinct = set()
     for i, labels in rows:
         anchors = model_anchors(labels, 20, 4, 16)[1]
-        assert texts.get(i, {}) == {p: "|".join(pieces[x] for x in s if x in pieces) for p, s in anchors.items()}
+        distinct |= {tuple(s) for s in anchors.values()}
+        assert found.get(i, {}) == {p: "|".join(pieces[x] for x in s if x in pieces) for p, s in anchors.items()}
+    assert texts.count() == len(distinct) > 3
+
+
+def test_texts_are_built_once_for_each_window(spark):
+    """Samples that repeat each other give one text a window, built behind the exchange."""
+    labels = [1, 2, 3] * 10
+    df = spark.createDataFrame([(i, labels) for i in range(50)], "id int, labels array<int>")
+    windows = keyed_windows(with_pieces(df, vocabulary(spark), ["id"]), ["id"], 20, 1, 20)
+    assert windows.count() == 50 * 10 and distinct_windows(windows).count() == 3
+    below = plan_of(distinct_windows(windows, sep="~")).partition("Exchange")[2]
+    assert below and ", ~" not in below
+
+
+def test_vocabularies_of_any_ids_and_text(spark):
+    rows = [(-5, 'q"\\', False), (0, "\x00\x1f", False), (1 << 60, "é\U0001f600", False), (7, "", False), (9, None, False), (11, "s", True)]
+    vocab = spark.createDataFrame(rows, "token_id bigint, piece string, is_special boolean")
+    labels = [-5, 1 << 60, 0, 7, 9, 11, 12345, IGNORE, None]
+    df = spark.createDataFrame([(0, labels), (1, []), (2, None)], "id int, labels array<bigint>")
+    for limit in (1 << 20, 10):
+        got = {r.id: r.pieces for r in with_pieces(df, vocab, ["id"], limit).where("id = 0").collect()}
+        assert got == {0: ['q"\\', "é\U0001f600", "\x00\x1f", "", None, None, None, None, None]}
+    assert token_dictionary(vocab, 10) is None and token_dictionary(vocab.limit(0)).buckets == 1
+    assert with_pieces(df, vocab.limit(0), ["id"]).where("id = 0").first().pieces == [None] * 9
+
+
+def test_lookups_do_not_slow_down_with_the_vocabulary(spark):
+    """Buckets hold few entries however many special or blank tokens there are."""
+    vocab = spark.range(50000).select(F.col("id").alias("token_id"), F.lit(" ").alias("piece"), F.lit(False).alias("is_special"))
+    slots = json.loads(token_dictionary(vocab).text)
+    assert len(slots) == 65536 and max(len(s or []) for s in slots) < 12
 
 
-def test_decode_is_exact_with_salted_hot_tokens(spark):
+def test_joined_pieces_are_exact_with_salted_hot_tokens(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")
     try:
-        test_decode_and_response_tokens(spark)
+        test_pieces_and_window_texts(spark, joined_pieces)
     finally:
         spark.conf.set(key, before)

@@ -1,14 +1,19 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievecraft.functions.vectors import cosine_distance, l2_normalize, mean_squared_difference
+from sievecraft.functions.vectors import cosine_distance, l2_normalize, mean_squared_difference, vector_metric
+from sievecraft.operators.alignment import metric_loss
 from sievecraft.operators.cka import linear_cka
 from sievecraft.operators.embed import (
     attach_embeddings,
+    budget_batches,
     content_key,
     embed_incremental,
     embed_samples,
@@ -125,17 +130,75 @@ def test_table_encode_and_zero_vectors(spark):
 
 
 def test_mean_over_positions_divides_by_the_full_length(spark):
-    sources = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 3, 4), ("b", 0, None)], "s string, pos int, src_pos int")
+    loads = spark.createDataFrame([("a", 1, 2), ("a", 4, 1), ("a", 7, 0)], "s string, src_pos int, n long")
     lengths = spark.createDataFrame([("a", 10), ("b", 3), ("c", 0)], "s string, length int")
     vectors = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 4, [0.0, 5.0])], "s string, pos int, embedding array<double>")
-    got = {r.s: list(r.pooled) for r in mean_over_positions(sources, lengths, vectors, ["s"], 2).collect()}
+    got = {r.s: list(r.pooled) for r in mean_over_positions(loads, lengths, vectors, ["s"], 2).collect()}
     assert got["a"] == pytest.approx([0.2, 0.5]) and got["b"] == got["c"] == [0.0, 0.0]
 
 
 def test_sample_vector_positions(spark):
-    positions = spark.createDataFrame([("a", 1), ("a", 2)], "s string, pos int")
-    samples = spark.createDataFrame([("a", "key")], "s string, content_key string")
-    assert {tuple(r) for r in sample_vector_positions(positions, samples, ["s"]).collect()} == {("a", 1, "key"), ("a", 2, "key")}
+    samples = spark.createDataFrame([("a", "key", [1, 2]), ("b", "other", [])], "s string, content_key string, ps array<int>")
+    out = sample_vector_positions(samples, F.col("ps"), ["s"])
+    assert {tuple(r) for r in out.collect()} == {("a", "key", 1), ("a", "key", 2)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 600), max_size=200), st.integers(1, 40), st.sampled_from([None, 1, 100, 2000]))
+def test_batches_keep_to_their_budget(lengths, size, budget):
+    batches = list(budget_batches(lengths, size, budget))
+    assert sorted(i for b in batches for i in b) == list(range(len(lengths)))
+    for b in batches:
+        assert len(b) <= size and (budget is None or len(b) == 1 or len(b) * max(lengths[i] for i in b) <= budget)
+
+
+def test_little_of_a_batch_is_padding(spark, tmp_path):
+    """Texts of very different lengths in random order: as they come, most of a batch is padding."""
+    rng = random.Random(6)
+    texts = [" ".join(["w"] * int(rng.paretovariate(0.8) * 5)) for _ in range(3000)]
+    log = str(tmp_path / "batches")
+
+    def make():
+        def encode(batch, max_len):
+            sizes = [min(max_len, len(t.split())) for t in batch]
+            with open(log, "a") as f:
+                f.write(f"{sum(sizes)} {max(sizes) * len(sizes)} {len(sizes)}\n")
+            return [[float(n), 1.0] for n in sizes]
+
+        return encode
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = df.select("t", encode_texts(F.col("t"), make, 2, 512, 64, 4096).alias("v")).collect()
+    assert all(r.v == pytest.approx(unit(float(min(512, len(r.t.split()))), 1.0)) for r in got)
+    real, padded, count = (sum(x) for x in zip(*[map(int, line.split()) for line in open(log)]))
+    cut = [min(512, len(t.split())) for t in texts]
+    naive = sum(max(cut[i : i + 64]) * len(cut[i : i + 64]) for i in range(0, len(cut), 64))
+    assert count == 3000 and real == sum(cut) and padded < 1.06 * real < naive / 5
+    assert all(int(line.split()[1]) <= 4096 for line in open(log))
+
+
+def test_metrics_by_name(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2] if i < 20 else "c", rng.random(3).tolist(), rng.random(3).tolist(), float(i % 4)) for i in range(22)]
+    df = spark.createDataFrame(rows, "id int, g string, x array<double>, y array<double>, w double")
+    x, y = F.col("x"), F.col("y")
+    for name in ("mse", "flow_matching", "cosine"):
+        for weight in (None, F.col("w")):
+            got = {r.group: r for r in metric_loss(df, name, x, y, ["id"], F.col("g"), weight).collect()}
+            for g in "abc":
+                part = [(np.array(r[2]), np.array(r[3]), r[4] if weight is not None else 1.0) for r in rows if r[1] == g]
+                each = [1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b) if name == "cosine" else ((a - b) ** 2).mean() for a, b, _ in part]
+                total = max(1.0, sum(w for *_, w in part))
+                assert got[g].n == len(part) and got[g].loss == pytest.approx(sum(e * w for e, (*_, w) in zip(each, part)) / total)
+    cka = {r.group: r.loss for r in metric_loss(df, "cka", x, y, ["id"], F.col("g")).collect()}
+    assert cka["c"] is None and cka["a"] == linear_cka(df.where("g = 'a'"), x, y, ["id"]).first().distance
+    assert metric_loss(df, "mse", x, y, ["id"]).first().group == "all"
+    for bad in ("cka", "euclid"):
+        with pytest.raises(ValueError, match=bad):
+            vector_metric(bad)
+    with pytest.raises(ValueError, match="euclid"):
+        metric_loss(df, "euclid", x, y, ["id"])
 
 
 def test_interpolation_is_replayable_and_consistent(spark):
@@ -207,3 +270,51 @@ def test_cka_of_many_groups(spark):
     df = spark.range(0, 9000, numPartitions=3).select("id", (F.col("id") % 1500).alias("g"), v.alias("x"), v.alias("y"))
     rows = linear_cka(df, F.col("x"), F.col("y"), ["id"], F.col("g")).collect()
     assert len(rows) == 1500 and all(r.n == 6 and r.cka == pytest.approx(1, abs=1e-3) for r in rows if r.cka)
+
+
+def test_cka_of_unequal_groups(spark):
+    """One group of most rows in many pieces, a null one in few, small ones whole: all as the Gram form has it."""
+    rng = np.random.default_rng(11)
+    sizes = {"big": 700, None: 90, "null": 12, "=": 30, "four": 4, "three": 3}
+    rows = [(f"{g}{k}", g, (10 + rng.standard_normal(9)).tolist(), rng.standard_normal(5).tolist()) for g, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "id string, g string, x array<double>, y array<double>")
+    plans = {}
+    for piece_bytes in (1 << 20, 14 * 8 * 40):
+        out = linear_cka(df, F.col("x"), F.col("y"), ["id"], F.col("g"), piece_bytes=piece_bytes)
+        plans[piece_bytes] = out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.group: r for r in out.collect()}
+        assert {g: r.n for g, r in got.items()} == sizes
+        for g in sizes:
+            part = [(r[2], r[3]) for r in rows if r[1] == g]
+            if len(part) >= 4:
+                assert got[g].cka == pytest.approx(max(0.0, min(1.0, gram_cka(*map(np.array, zip(*part))))), abs=1e-9)
+            else:
+                assert got[g].cka is None
+    assert "piece" not in plans[1 << 20] and "piece" in plans[14 * 8 * 40]
+
+
+def test_cka_of_wide_vectors_and_ten_thousand_groups(spark):
+    """Matrices of 1024 x 1024 never leave a task for groups that fit."""
+    df = spark.range(40000).select(
+        "id", (F.col("id") % 10000).alias("g"), *[F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.sin(F.col("id") * j)).alias(c) for c, n in (("x", 24), ("y", 16))]
+    )
+    out = linear_cka(df, F.col("x"), F.col("y"), ["id"], F.col("g"))
+    assert out.where("n = 4 AND cka BETWEEN 0 AND 1").count() == 10000
+    wide = spark.range(120).select("id", (F.col("id") % 3).alias("g"), F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda j: F.sin(F.col("id") * j)).alias("x"))
+    for piece_bytes in (8 << 20, 2048 * 8 * 16):
+        rows = linear_cka(wide, F.col("x"), F.col("x"), ["id"], F.col("g"), piece_bytes=piece_bytes).collect()
+        assert len(rows) == 3 and all(r.n == 40 and r.cka == pytest.approx(1, abs=1e-6) for r in rows)
+
+
+def gram_cka(x, y):
+    """From the n x n matrices, by the published unbiased estimator."""
+    n = len(x)
+
+    def hsic(k, m):
+        k, m = k - np.diag(np.diag(k)), m - np.diag(np.diag(m))
+        one = np.ones(n)
+        return (np.trace(k @ m) + (one @ k @ one) * (one @ m @ one) / ((n - 1) * (n - 2)) - 2 * (one @ k @ m @ one) / (n - 2)) / (n * (n - 3))
+
+    x, y = x - x.mean(axis=0), y - y.mean(axis=0)
+    k, m = x @ x.T, y @ y.T
+    return hsic(k, m) / (np.sqrt(max(hsic(k, k) * hsic(m, m), 1e-8)) + 1e-8)

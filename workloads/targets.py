@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sievecraft.functions.labels import IGNORE_INDEX, position_weights
 from sievecraft.functions.text import words
 from sievecraft.operators.labels import (
-    blank_token_ids,
     decode_responses,
     response_tokens,
     suffix_sources,
     suffix_windows,
     weigh_positions,
     weighted_mean,
+    with_pieces,
 )
 from sievecraft.sources.corpus import spread
 from workloads.tables import sql_words, table
@@ -30,7 +30,7 @@ def token_id(word):
     return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
 
 
-def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """One sample per turn: assistant words are labels, with prompt gaps inside."""
     turns = spread(table(spark, sf_dir, "conversations"), *SAMPLE)
     role = F.col("role")
@@ -39,7 +39,7 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         prompt = (role != "assistant") | (F.floor(i / 16) % 4 == 3)
         return F.when(prompt, F.lit(IGNORE_INDEX)).otherwise(token_id(w))
 
-    return turns.select(*SAMPLE, "role", F.transform(words(F.col("text")), label).alias("labels"))
+    return turns.select(*SAMPLE, "role", *more, F.transform(words(F.col("text")), label).alias("labels"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_id.withColumn("is_special", F.col("token_id") % 40 == 0)
 
 
+def piece_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_pieces(label_rows(spark, sf_dir), vocabulary(spark, sf_dir), SAMPLE)
+
+
 SQL_LABELS = f"""
 worded AS (SELECT conv_id, turn, role, {sql_words('text')} AS w FROM conversations),
 label_rows AS (
@@ -101,16 +105,14 @@ def q_decode_responses(spark, sf_dir) -> DataFrame:
 
 
 def _windows(spark, sf_dir, stride: int) -> DataFrame:
-    blanks = blank_token_ids(vocabulary(spark, sf_dir))
-    rows = suffix_windows(label_rows(spark, sf_dir), SAMPLE, K, stride, MIN_LEN, blanks)
+    rows = suffix_windows(piece_rows(spark, sf_dir), SAMPLE, K, stride, MIN_LEN)
     return rows.select(
         *SAMPLE, F.col("pos").cast("long").alias("pos"), F.array_join("suffix", " ").alias("suffix")
     )
 
 
 def _sources(spark, sf_dir, stride: int) -> DataFrame:
-    blanks = blank_token_ids(vocabulary(spark, sf_dir))
-    rows = suffix_sources(label_rows(spark, sf_dir), SAMPLE, K, stride, MIN_LEN, blanks)
+    rows = suffix_sources(piece_rows(spark, sf_dir), SAMPLE, K, stride, MIN_LEN)
     return rows.select(
         *SAMPLE,
         F.col("pos").cast("long").alias("pos"),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievecraft.functions.labels import response_positions
 from sievecraft.functions.vectors import cosine_distance, mean_squared_difference
+from sievecraft.operators.alignment import metric_loss
 from sievecraft.operators.cka import linear_cka
 from sievecraft.operators.embed import (
     attach_embeddings,
@@ -20,13 +24,7 @@ from sievecraft.operators.embed import (
     sample_vector_positions,
     table_encode,
 )
-from sievecraft.operators.labels import (
-    blank_token_ids,
-    response_tokens,
-    suffix_sources,
-    suffix_windows,
-    weigh_positions,
-)
+from sievecraft.operators.labels import response_tokens, suffix_loads, suffix_windows
 from sievecraft.operators.skew import join_unique
 from sievecraft.plans.targets import sample_targets, suffix_targets
 from sievecraft.session import shared_path
@@ -40,12 +38,14 @@ from workloads.targets import (
     STRIDE,
     _sql_anchors,
     label_rows,
+    piece_rows,
     vocabulary,
 )
 
 DIM = 64
 HASH_DIM = 16
 HASH_NAME = "hash16"
+MAX_WORDS = 40  # of a text that ``embed_texts`` encodes
 
 
 def make_hash_encoder():
@@ -78,7 +78,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_embed_texts(spark, sf_dir) -> DataFrame:
-    vector = encode_texts(F.col("text"), make_hash_encoder(), HASH_DIM, max_len=None)
+    vector = encode_texts(F.col("text"), make_hash_encoder(), HASH_DIM, max_len=MAX_WORDS, token_budget=2048)
     return turns(spark, sf_dir).select(*SAMPLE, as_ints(vector).alias("vector"))
 
 
@@ -120,13 +120,12 @@ def q_table_encode(spark, sf_dir) -> DataFrame:
 def q_mean_over_positions(spark, sf_dir) -> DataFrame:
     """Suffix vectors of the anchors, summed over the positions they serve."""
     vectors, rows = _token_vectors(spark, sf_dir), label_rows(spark, sf_dir)
-    blanks = blank_token_ids(vocabulary(spark, sf_dir))
-    windows = suffix_windows(rows, SAMPLE, K, STRIDE, MIN_LEN, blanks)
+    pieced = piece_rows(spark, sf_dir)
+    windows = suffix_windows(pieced, SAMPLE, K, STRIDE, MIN_LEN)
     tokens = windows.select(*SAMPLE, "pos", F.explode("suffix").alias("token_id"))
     anchors = table_encode(_with_vec_id(tokens, vectors), vectors, [*SAMPLE, "pos"], "vec_id")
-    sources = suffix_sources(rows, SAMPLE, K, STRIDE, MIN_LEN, blanks)
     lengths = rows.select(*SAMPLE, F.size("labels").alias("length"))
-    pooled = mean_over_positions(sources, lengths, anchors, SAMPLE, DIM)
+    pooled = mean_over_positions(suffix_loads(pieced, SAMPLE, K, STRIDE, MIN_LEN), lengths, anchors, SAMPLE, DIM)
     return pooled.select(*SAMPLE, as_ints(F.col("pooled")).alias("vector"))
 
 
@@ -141,21 +140,19 @@ def q_sample_targets(spark, sf_dir) -> DataFrame:
 
 def q_suffix_targets(spark, sf_dir) -> DataFrame:
     """Anchor suffixes: decoded, encoded, and how many positions each serves."""
-    anchors, sources = suffix_targets(
+    anchors, _, loads = suffix_targets(
         label_rows(spark, sf_dir), vocabulary(spark, sf_dir), SAMPLE, make_hash_encoder(), HASH_NAME, HASH_DIM,
         shared_path(spark, "suffixes"), K, STRIDE, MIN_LEN, max_len=None, sep=" ",
     )
-    served = sources.where("has_target").groupBy(*SAMPLE, F.col("src_pos").alias("pos"))
-    return anchors.join(served.agg(F.count(F.lit(1)).alias("served")), [*SAMPLE, "pos"]).select(
+    served = loads.where("n > 0").select(*SAMPLE, F.col("src_pos").alias("pos"), F.col("n").alias("served"))
+    return anchors.join(served, [*SAMPLE, "pos"]).select(
         *SAMPLE, F.col("pos").cast("long").alias("pos"), "served", as_ints(F.col("embedding")).alias("vector")
     )
 
 
 def q_sample_vector_positions(spark, sf_dir) -> DataFrame:
-    key = content_key(F.col("text"), HASH_NAME, None).alias("content_key")
-    samples = turns(spark, sf_dir).select(*SAMPLE, key)
-    positions = weigh_positions(label_rows(spark, sf_dir), SAMPLE)
-    rows = sample_vector_positions(positions.select(*SAMPLE, "pos"), samples, SAMPLE)
+    samples = label_rows(spark, sf_dir, "text").withColumn("content_key", content_key(F.col("text"), HASH_NAME, None))
+    rows = sample_vector_positions(samples, response_positions(F.col("labels")), SAMPLE)
     return rows.select(*SAMPLE, F.col("pos").cast("long").alias("pos"), "content_key")
 
 
@@ -207,7 +204,21 @@ def q_linear_cka_by_label(spark, sf_dir) -> DataFrame:
     return rows.select("group", "n", F.round("cka", 8).alias("cka"), F.round("distance", 8).alias("distance"))
 
 
+def q_metric_by_name(spark, sf_dir) -> DataFrame:
+    """All four metrics by label; the last vectors of a response weigh most, as positions do."""
+    rows = interpolation_pairs(_embeddings(spark, sf_dir), "embedding", F.col("label"), F.col("vec_id"), DIM, seed=7)
+    v, weight, by = F.col("embedding"), (F.col("vec_id") % 5) / 4, F.col("label")
+    halves, parts = (F.slice(v, 1, 32), F.slice(v, 33, 32)), (F.slice(v, 1, 40), F.slice(v, 41, 24))
+    compared = {"flow_matching": (F.col("z_t"), F.col("v")), "cosine": halves, "mse": halves, "cka": parts}
+    losses = [
+        metric_loss(rows, name, *sides, ["vec_id"], by, weight).select(F.lit(name).alias("metric"), "group", "n", F.round("loss", 7).alias("loss"))
+        for name, sides in compared.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, losses)
+
+
 QUERIES = {
+    "metric_by_name": q_metric_by_name,
     "embed_texts": q_embed_texts,
     "embed_incremental": q_embed_incremental,
     "attach_embeddings": q_attach_embeddings,
@@ -301,8 +312,31 @@ c AS (
 SELECT g AS "group", n, round(cka, 8) AS cka, round(1 - cka, 8) AS distance FROM c"""
 
 
+_SQL_Z0 = f"""sqrt(-2 * ln({_SQL_UNIT.format('substr(h, 1, 8)')})) * cos(2 * pi() * {_SQL_UNIT.format('substr(h, 9, 8)')})"""
+_SQL_CUT = _sql_hash(
+    "(SELECT * EXCLUDE (text), text AS whole, list_aggregate(" + sql_words("text") + f"[:{MAX_WORDS}], 'string_agg', ' ') AS text FROM conversations)",
+    "conv_id, turn",
+)
+
 ORACLE = {
-    "embed_texts": f"""WITH {_SQL_HASH}
+    "metric_by_name": f"""WITH flat AS (
+          SELECT vec_id, label, unnest(embedding)::DOUBLE AS z1, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings),
+        d AS (SELECT *, md5('7:z:' || vec_id || '#' || j) AS h, {_SQL_T} AS t FROM flat),
+        n AS (SELECT *, {_SQL_Z0} AS z0 FROM d),
+        flow AS (SELECT vec_id, label, avg(power((t * z1 + (1 - t) * z0) - (z1 - z0), 2)) AS loss FROM n GROUP BY vec_id, label),
+        pairs AS (SELECT a.vec_id, a.label, a.z1 AS x, b.z1 AS y FROM flat a JOIN flat b ON a.vec_id = b.vec_id AND b.j = a.j + 32),
+        both AS (
+          SELECT vec_id, label, avg(power(x - y, 2)) AS mse,
+            1 - sum(x * y) / (greatest(sqrt(sum(x * x)), 1e-8) * greatest(sqrt(sum(y * y)), 1e-8)) AS cosine
+          FROM pairs GROUP BY vec_id, label),
+        losses AS (
+          SELECT 'flow_matching' AS metric, vec_id, label, loss FROM flow
+          UNION ALL SELECT 'mse', vec_id, label, mse FROM both UNION ALL SELECT 'cosine', vec_id, label, cosine FROM both)
+        SELECT metric, CAST(label AS VARCHAR) AS "group", count(*) AS n,
+          round(sum(loss * (vec_id % 5) / 4) / greatest(sum((vec_id % 5) / 4), 1.0), 7) AS loss
+        FROM losses GROUP BY metric, label
+        UNION ALL SELECT 'cka', "group", n, round(distance, 7) FROM ({_sql_cka("CAST(label AS VARCHAR)")})""",
+    "embed_texts": f"""WITH {_SQL_CUT}
         SELECT conv_id, turn, {_sql_ints('x', 'j')} AS vector FROM unit GROUP BY conv_id, turn""",
     "embed_incremental": f"""WITH {_SQL_HASH}
         SELECT DISTINCT content_key, vector FROM (
