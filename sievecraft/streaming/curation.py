@@ -2,21 +2,16 @@
 
 Filters and chat building are stateless: ``keep_verified``, ``passing_instructions``,
 ``to_chat_records`` and ``to_messages`` take a streaming DataFrame as they are. What
-needs care is dedup, since a stream never knows all copies of a key.
+needs care is dedup, since a stream never knows all copies of a key. The first arrival is
+decided here; for the best copy see ``winners``.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from sievecraft.operators.dedup import keep_best
-
 
 def stream_corpus(
     spark: SparkSession, path: str, schema: StructType | str, pattern: str = "train-*.parquet", files_per_trigger: int = 1000
@@ -41,32 +36,3 @@ def stream_keep_first(df: DataFrame, key: Column, event_time: str | None = None,
     if event_time is None:
         return keyed.dropDuplicates(["dedup_key"])
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["dedup_key"])
-
-
-def append_batch_winners(
-    df: DataFrame, key: Column, rank: Sequence[Column], seq: Sequence[str], table: str, checkpoint: str, run_id: str | None = None
-) -> StreamingQuery:
-    """Appends the best row per key of every micro-batch to ``table``, until the input is drained.
-
-    A better row may arrive later, so these are candidates; ``best_so_far`` picks
-    the winners among them. Every batch of a run owns one folder and overwrites it
-    when it is replayed, so a restart adds nothing twice. ``run_id`` names the run; it
-    comes from the checkpoint's path if none is given, so two queries never share
-    folders. Give a new one when a checkpoint was lost.
-    """
-    run = run_id or hashlib.md5(checkpoint.encode()).hexdigest()
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()  # read for the choice and for the payload
-        try:
-            keep_best(held, key, rank, seq).write.mode("overwrite").parquet(f"{table}/run={run}/batch={batch_id}")
-        finally:
-            held.unpersist()
-
-    writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
-
-
-def best_so_far(spark: SparkSession, table: str, key: Column, rank: Sequence[Column], seq: Sequence[str]) -> DataFrame:
-    """The best row per key among the candidates written so far."""
-    return keep_best(spark.read.parquet(table).drop("run", "batch"), key, rank, seq)

@@ -6,10 +6,137 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sievecraft.operators.telemetry import EMA_DECAY, EMA_FLOOR, GATE_MODES, GATE_THRESHOLD
 
+MAX_WAIT_MS = 10 * 60 * 1000
+IDLE_MS = 7 * 24 * 3600 * 1000
+
+
+class GateProcessor(StatefulProcessor):
+    """Puts the steps of one run into order and decides the gate of each.
+
+    Steps count up from 0. A step that comes early waits in a buffer, keyed by step,
+    until those before it are there. What comes after its turn, a repeat or a step given
+    up, is handed on as late, without average or decision.
+
+    With an event time, a step that stays away until the watermark is ``max_wait_ms``
+    beyond the run's last record is taken for missing, and the buffered ones go on, as
+    the batch job does where a step is missing; state and buffer of a run are dropped
+    when the watermark is ``idle_ms`` beyond it. Without one they wait and stay.
+    """
+
+    def __init__(self, names: tuple[str, str, str, str | None], mode: str, threshold: float, decay: float, head_warmup: int, max_wait_ms: int, idle_ms: int):
+        self.names, self.mode, self.threshold, self.decay = names, mode, threshold, decay
+        self.head_warmup, self.max_wait_ms, self.idle_ms, self.floor = head_warmup, max_wait_ms, idle_ms, EMA_FLOOR
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "next bigint, seen boolean, ema double, last double, waiting bigint, clock bigint, deadline bigint, idle bigint")
+        self.early = handle.getMapState("early", "step bigint", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, step, value, time = self.names
+        state = self._load()
+        due = state["next"]
+        for frame in rows:
+            out: list[tuple] = []
+            frame = frame.sort_values(step, kind="stable")
+            if time:
+                state["clock"] = max(state["clock"], int(frame[time].max().timestamp() * 1000))
+            for at, x in zip(frame[step].tolist(), frame[value].tolist()):
+                if at < state["next"]:
+                    out.append((at, x, None, None, True))
+                elif at == state["next"]:
+                    out.append(self._take(state, at, x))
+                elif self.early.containsKey((at,)):
+                    out.append((at, x, None, None, True))
+                else:
+                    self.early.updateValue((at,), (float(x),))
+                    state["waiting"] += 1
+            out += self._drain(state)
+            if out:
+                yield self._frame(key, out)
+        self._wait(state, due)
+        self._store(state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, at = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        if state["waiting"] and at == state["deadline"]:
+            due, state["deadline"] = state["next"], 0
+            state["next"] = min(k[0] for k in self.early.keys())
+            yield self._frame(key, self._drain(state))
+            self._wait(state, due)
+            self._store(state)
+        elif at == state["idle"]:
+            if state["deadline"]:
+                self.handle.deleteTimer(state["deadline"])
+            self.early.clear()
+            self.known.clear()
+
+    def _take(self, state: dict, at: int, x: float) -> tuple:
+        ema, last = state["ema"], state["last"]
+        if not state["seen"] or at < self.head_warmup:
+            gated = False
+        elif self.mode == "static":
+            gated = last < self.threshold
+        else:
+            gated = ema >= self.floor and last < ema / self.threshold
+        state |= {"next": at + 1, "ema": self.decay * ema + (1 - self.decay) * x if state["seen"] else x, "last": x, "seen": True}
+        return at, x, state["ema"], bool(gated), False
+
+    def _drain(self, state: dict) -> list[tuple]:
+        out = []
+        while state["waiting"] and self.early.containsKey((state["next"],)):
+            at = state["next"]
+            x = self.early.getValue((at,))[0]
+            self.early.removeKey((at,))
+            state["waiting"] -= 1
+            out.append(self._take(state, at, x))
+        return out
+
+    def _wait(self, state: dict, due: int) -> None:
+        """A timer for the step that is missing now, none if nothing waits, and one for the end of the run."""
+        if not self.names[3]:
+            return
+        if state["deadline"] and (not state["waiting"] or state["next"] != due):
+            self.handle.deleteTimer(state["deadline"])
+            state["deadline"] = 0
+        if state["waiting"] and not state["deadline"]:
+            state["deadline"] = state["clock"] + self.max_wait_ms
+            self.handle.registerTimer(state["deadline"])
+        if state["idle"] != state["clock"] + self.idle_ms:
+            if state["idle"]:
+                self.handle.deleteTimer(state["idle"])
+            state["idle"] = state["clock"] + self.idle_ms
+            self.handle.registerTimer(state["idle"])
+
+    def _load(self) -> dict:
+        names = ("next", "seen", "ema", "last", "waiting", "clock", "deadline", "idle")
+        return dict(zip(names, self.known.get() if self.known.exists() else (0, False, 0.0, 0.0, 0, 0, 0, 0)))
+
+    def _store(self, state: dict) -> None:
+        self.known.update(tuple(state[c] for c in ("next", "seen", "ema", "last", "waiting", "clock", "deadline", "idle")))
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        run, step, value, _ = self.names
+        columns = list(zip(*out))
+        return pd.DataFrame(
+            {
+                run: pd.Series([key[0]] * len(out), dtype=object),
+                step: pd.Series(columns[0], dtype="int64"),
+                value: pd.Series(columns[1], dtype="float64"),
+                "ema": pd.Series(columns[2], dtype="float64"),
+                "gated": pd.Series(columns[3], dtype="boolean"),
+                "late": pd.Series(columns[4], dtype="bool"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
 
 def stream_gate(
     df: DataFrame,
@@ -20,44 +147,31 @@ def stream_gate(
     threshold: float = GATE_THRESHOLD,
     decay: float = EMA_DECAY,
     head_warmup: int = 0,
+    event_time: str | None = None,
+    delay: str = "1 hour",
+    max_wait_ms: int = MAX_WAIT_MS,
+    idle_ms: int = IDLE_MS,
 ) -> DataFrame:
-    """(run, step, value, ema, gated) of every record, the state kept per run.
+    """(run, step, value, ema, gated, late) of every record, the state kept per run.
 
-    The state is two numbers. Records of one run must arrive in step order from
-    batch to batch; within a batch they are sorted.
+    Records may come in any order, within a batch and from batch to batch; see
+    ``GateProcessor`` for what waits, what is late, and how long a run is remembered.
+    With ``event_time``, records more than ``delay`` behind the newest are dropped. Needs
+    the RocksDB state store. A row without run or step raises.
     """
     if mode not in GATE_MODES:
         raise ValueError(f"unknown gate mode: {mode}")
-    floor = EMA_FLOOR
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import pandas as pd
-
-        rows = pd.concat(list(parts)).sort_values(step)
-        ema, last = state.get if state.exists else (None, None)
-        averages, gates = [], []
-        for at, x in zip(rows[step], rows[value]):
-            if ema is None or at < head_warmup:
-                gated = False
-            elif mode == "static":
-                gated = last < threshold
-            else:
-                gated = ema >= floor and last < ema / threshold
-            ema, last = (x if ema is None else decay * ema + (1 - decay) * x), x
-            averages.append(ema)
-            gates.append(gated)
-        state.update((float(ema), float(last)))
-        yield pd.DataFrame({run: key[0], step: rows[step], value: rows[value], "ema": averages, "gated": gates})
-
+    checked = [F.when(F.col(c).isNull(), F.raise_error(F.lit("a row without run or step"))).otherwise(F.col(c)) for c in (run, step)]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    timed = df if event_time is None else df.withWatermark(event_time, delay)
+    columns = [checked[0].alias(run), checked[1].cast("bigint").alias(step), F.col(value).cast("double").alias(value)]
     return (
-        df.select(run, step, value)
+        timed.select(*columns, *([event_time] if event_time else []))
         .groupBy(run)
-        .applyInPandasWithState(
-            update,
-            f"`{run}` {types[run]}, `{step}` {types[step]}, `{value}` double, ema double, gated boolean",
-            "ema double, last double",
-            "append",
-            GroupStateTimeout.NoTimeout,
+        .transformWithStateInPandas(
+            GateProcessor((run, step, value, event_time), mode, threshold, decay, head_warmup, max_wait_ms, idle_ms),
+            f"`{run}` {types[run]}, `{step}` bigint, `{value}` double, ema double, gated boolean, late boolean",
+            "Append",
+            "EventTime" if event_time else "None",
         )
     )
