@@ -124,7 +124,8 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataFrame:
     sums over the subtree of positive numbers. ``paths`` has the key and the parent at each depth
     of a conversation, at least down to the nodes that it is the conv of.
     """
-    salts = max(1, -(-nodes.count() // NODES_A_SALT))
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(partitions, -(-nodes.count() // NODES_A_SALT))
     stretch = F.floor(F.col("depth") / STRETCH)
     active = nodes.select("key", "parent", "depth", "conv", stretch.alias("stretch"), "weight", "n_children", *values)
     active = active.withColumn("salt", F.pmod(F.xxhash64("conv", "stretch"), F.lit(salts)))
