@@ -14,7 +14,8 @@ round splits all components, adds up what lies at and below each centroid, and a
 this total to the nodes on the path from the centroid to the top. Rounds are as many
 as the logarithm of the weight, be the trie flat or one long chain; a round is a few
 joins and aggregates over narrow rows, dealt by component and a salt, so that one
-component of all nodes is spread as well.
+component of all nodes is spread as well. Components of a few thousand nodes are split
+to the end in one task each, by the same recursion.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ STRETCH = 4096  # turns of a conversation, or of a path, that are handled togeth
 _LANES, _DIGITS = 4, 10  # of ten hexadecimal digits
 _LANE = 1 << (4 * _DIGITS)
 NODES_A_SALT = 1 << 16
+LOCAL_NODES = 4096  # of a component that one task splits to the end
 IDS_A_PIECE = 4096
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -117,29 +119,83 @@ def trie_nodes(paths: DataFrame, convs: DataFrame) -> DataFrame:
     return below.unionByName(top)
 
 
+def split_in_memory(parents: list[int], weights: list[int], values: list[list[int]]) -> list[list[int]]:
+    """``rollup`` of a forest of a few thousand nodes; ``parents`` has -1 at the tops."""
+    children: list[set[int]] = [set() for _ in parents]
+    for node, up in enumerate(parents):
+        if up >= 0:
+            children[up].add(node)
+    sums = [[0] * len(parents) for _ in values]
+    tops = [node for node, up in enumerate(parents) if up < 0]
+    while tops:
+        top = tops.pop()
+        path = [top]
+        while (heavy := next((k for k in children[path[-1]] if 2 * weights[k] >= weights[top]), None)) is not None:
+            path.append(heavy)
+        centre, below = path[-1], [path[-1]]
+        for node in below:  # grows while it is read
+            below.extend(children[node])
+        for value, total in zip(values, sums):
+            part = sum(value[k] for k in below)
+            for node in path:
+                total[node] += part
+        for node in path[:-1]:
+            weights[node] -= weights[centre]
+        tops.extend(children[centre])
+        children[centre] = set()
+        if centre != top:
+            children[path[-2]].discard(centre)
+            tops.append(top)
+    return sums
+
+
+def _finished(components: DataFrame, n: int, values: list[str]) -> DataFrame:
+    """key and sums of components of at most LOCAL_NODES nodes, some of them in a group, each group in one call."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        keys, comps = rows.column("key").to_pylist(), rows.column("comp").to_pylist()
+        place = {k: i for i, k in enumerate(keys)}
+        # the top of a component is the node that it is named after
+        parents = [-1 if k == c else place[p] for k, c, p in zip(keys, comps, rows.column("parent").to_pylist())]
+        sums = split_in_memory(parents, rows.column("weight").to_pylist(), [rows.column(v).to_pylist() for v in values])
+        return pa.table({"key": pa.array(keys, pa.binary()), **{v: pa.array(x, pa.int64()) for v, x in zip(values, sums)}})
+
+    group = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-n // LOCAL_NODES)))).alias("group")
+    sums = ", ".join(f"{v} long" for v in values)
+    return components.select("key", "parent", "comp", "weight", *values, group).groupBy("group").applyInArrow(work, f"key binary, {sums}")
+
+
 def rollup(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataFrame:
     """key and the sums of ``values`` over the subtree of each node, the node included.
 
     ``nodes`` has key, parent, depth, conv, n_children, weight and the values; weights are
-    sums over the subtree of positive numbers. ``paths`` has the key and the parent at each depth
-    of a conversation, at least down to the nodes that it is the conv of.
+    sums over the subtree of positive numbers. ``paths`` has the key and the parent at
+    each depth of a conversation, at least down to the nodes that it is the conv of.
+    Components of up to LOCAL_NODES nodes are split on in one task by the same recursion.
     """
-    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(partitions, -(-nodes.count() // NODES_A_SALT))
+    partitions, n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count()
+    salts = max(partitions, -(-n // NODES_A_SALT))
     stretch = F.floor(F.col("depth") / STRETCH)
     active = nodes.select("key", "parent", "depth", "conv", stretch.alias("stretch"), "weight", "n_children", *values)
-    active = active.withColumn("salt", F.pmod(F.xxhash64("conv", "stretch"), F.lit(salts)))
-    is_top = F.col("parent").isNull()
-    active, tops = active.withColumn("comp", root_key()), nodes.where(is_top).select(F.col("key").alias("comp"), F.col("weight").alias("comp_weight"))
+    active = active.withColumn("salt", F.pmod(F.xxhash64("conv", "stretch"), F.lit(salts))).withColumn("comp", root_key())
+    tops = nodes.where("parent IS NULL").select(F.col("key").alias("comp"), F.col("weight").alias("comp_weight"))
     at_depth = paths.select("conv", F.col("depth").alias("look"), F.col("key").alias("child"), F.col("parent").alias("child_parent"))
     sums = [F.sum(v).alias(v) for v in values]
     parts: list[DataFrame] = []
+    small: list[DataFrame] = []
     while True:
-        parts_of = active.groupBy("comp", "salt").agg(F.count("*").alias("_n")).drop("_n")
-        weighed = stored(parts_of.join(tops, "comp"), "trie-parts")
-        halves = active.join(weighed, ["comp", "salt"]).where("2 * weight >= comp_weight")
+        parts_of = active.groupBy("comp", "salt").agg(F.count("*").alias("n"))
+        sizes = parts_of.groupBy("comp").agg(F.sum("n").alias("comp_n")).join(tops, "comp")
+        weighed = stored(parts_of.drop("n").join(sizes, "comp"), "trie-parts")
+        large = weighed.where(F.col("comp_n") > LOCAL_NODES)
+        if large.isEmpty():
+            small.append(active)
+            break
+        here = weighed.where(F.col("comp_n") <= LOCAL_NODES).select("comp", "salt")
+        small.append(active.join(here, ["comp", "salt"], "left_semi"))
+        halves = active.join(large, ["comp", "salt"]).where("2 * weight >= comp_weight")
         centroid = halves.groupBy("comp").agg(F.max(F.struct("depth", "key", "weight")).alias("c"))
-        centres = weighed.join(centroid, "comp").select("comp", "salt", "comp_weight", F.col("c.depth").alias("at"), F.col("c.key").alias("centre"), F.col("c.weight").alias("cut"))
+        centres = large.join(centroid, "comp").select("comp", "salt", "comp_weight", F.col("c.depth").alias("at"), F.col("c.key").alias("centre"), F.col("c.weight").alias("cut"))
         placed = active.join(centres, ["comp", "salt"])
         # below a child of the centroid, the conversation of a node tells which child that is
         ask = placed.where("depth > at + 1").groupBy("comp", "salt", "conv", "stretch").agg((F.max("at") + 1).alias("look"))
@@ -157,7 +213,7 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataFrame:
         columns = ["key", "parent", "depth", "conv", "stretch", "salt", "comp", "comp_weight", "weight", "cut", "child", "state", "on_path", "n_children", *values]
         split = stored(split.select(*columns), "trie-round")
         totals = split.where("state <> 'above'").groupBy("comp").agg(*sums)
-        spread = weighed.select("comp", "salt").join(totals, "comp")
+        spread = large.select("comp", "salt").join(totals, "comp")
         added = split.where("on_path").select("key", "comp", "salt").join(spread, ["comp", "salt"]).select("key", *values)
         # a child without nodes below is a component of its own, and done
         lone = F.expr("state = 'child' AND n_children = 0")
@@ -166,11 +222,11 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataFrame:
         comp = F.when(F.col("state") == "child", F.col("key")).when(F.col("state") == "below", F.col("child")).otherwise(F.col("comp"))
         cut = F.when(F.col("on_path"), F.col("cut")).otherwise(F.lit(0))
         active = rest.select("key", "parent", "depth", "conv", "stretch", "salt", comp.alias("comp"), (F.col("weight") - cut).alias("weight"), "n_children", *values)
-        if rest.isEmpty():
-            break
         lower = rest.where("state = 'child'").select(F.col("key").alias("comp"), F.col("weight").alias("comp_weight"))
         upper = rest.where("state = 'above' AND key = comp").select("comp", (F.col("comp_weight") - F.col("cut")).alias("comp_weight"))
         tops = lower.unionByName(upper)
+    components = reduce(DataFrame.unionByName, [part.select("key", "parent", "comp", "weight", *values) for part in small])
+    parts.append(_finished(components, n, values))
     return reduce(DataFrame.unionByName, parts).groupBy("key").agg(*sums)
 
 

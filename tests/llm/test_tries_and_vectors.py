@@ -84,6 +84,7 @@ def test_trie_with_long_chains_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "STRETCH", 7)
     monkeypatch.setattr(prefix_trie, "NODES_A_SALT", 9)
     monkeypatch.setattr(prefix_trie, "IDS_A_PIECE", 5)
+    monkeypatch.setattr(prefix_trie, "LOCAL_NODES", 12)
     rng = random.Random(4)
     rows = [(400, t, "u", f"w{t % 3} w") for t in range(90)] + [(c, t, "u", f"same {t}") for c in range(500, 540) for t in range(4)]
     rows += [(c, t, rng.choice("us"), rng.choice(["a", "b c", ""])) for c in range(600, 660) for t in range(rng.randrange(1, 9))]
@@ -92,6 +93,22 @@ def test_trie_with_long_chains_and_repeats(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == _trie(_rebuilt(rows))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 120), st.sampled_from([1, 3, 1000]))
+def test_splitting_in_memory_sums_subtrees(seed, n, reach):
+    """Forests from stars to chains: the parent is one of the last ``reach`` nodes, or none."""
+    rng = random.Random(seed)
+    parents = [-1 if i == 0 or rng.random() < 0.03 else rng.randrange(max(0, i - reach), i) for i in range(n)]
+    values = [[rng.randrange(-5, 100) for _ in range(n)] for _ in range(2)]
+    weights = [rng.randrange(1, 9) for _ in range(n)]
+    want = [list(v) for v in (weights, *values)]
+    for i in range(n - 1, 0, -1):
+        for v in want:
+            if parents[i] >= 0:
+                v[parents[i]] += v[i]
+    assert prefix_trie.split_in_memory(parents, list(want[0]), values) == want[1:]
+
+
 # ---- whitening -----------------------------------------------------------------
 
 
