@@ -18,7 +18,6 @@ Short words repeat, so whole words are looked up in a bounded cache first.
 """
 
 import codecs
-import gc
 import json
 import re
 import struct
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sievecraft.llm.common import small_batches, table
+from sievecraft.llm.common import bounded_batches, release_memory, stored, table
 
 CACHE_WORDS, CACHE_RUNS, CACHE_PAIRS, PIECE, LONG_WORD = 1 << 16, 1 << 17, 1 << 18, 1 << 16, 1 << 10
 _SPACE = r"\p{White_Space}"
@@ -429,8 +428,8 @@ def encode(text: Column | str, path: str) -> Column:
         for texts in batches:
             yield _ids_array([encode_text(tok, t.as_py() or "") for t in texts])
         del tok
-        _LOADED.clear()  # a Python worker stays for the tasks of other stages
-        gc.collect()
+        _LOADED.clear()
+        release_memory()
 
     return ids_of(text)
 
@@ -461,8 +460,8 @@ def round_trip(text: Column | str, path: str) -> Column:
             decoded = pa.array([decode_ids(tok, np.frombuffer(p, "<i4")) for p in parts], pa.string())
             yield pa.StructArray.from_arrays([_ids_array(parts), decoded], ["ids", "decoded"])
         del tok
-        _LOADED.clear()  # a Python worker stays for the tasks of other stages
-        gc.collect()
+        _LOADED.clear()
+        release_memory()
 
     return both(text)
 
@@ -474,15 +473,16 @@ def tokenizer_path(name: str) -> str:
 
 
 def op6_streaming_bpe(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     path = tokenizer_path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", round_trip("text", path).alias("both"))
-    return docs.select("doc_id", "both.*").select(
+    digests = docs.select("doc_id", "both.*").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    with bounded_batches(spark):
+        return stored(digests, "encoded")
 
 
 QUERIES = {"op6_streaming_bpe": op6_streaming_bpe}

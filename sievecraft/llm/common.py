@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.session import shared_path
 
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,11 +44,27 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Send texts to Python in batches of fewer rows, unless the session has a size of its own.
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs that are run inside send texts to Python in batches of about ``limit`` bytes.
 
-    A batch of the default 10000 texts takes a worker and its executor hundreds of MB.
+    Spark takes the bound from the session, which has its own value back afterwards. A
+    batch of 10000 long texts takes a worker and its executor hundreds of MB.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    before = spark.conf.get(_BATCH_CONF, None)
+    spark.conf.set(_BATCH_CONF, str(limit))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_CONF)
+        else:
+            spark.conf.set(_BATCH_CONF, before)
+
+
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system: the worker stays, for the tasks of any stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -301,7 +301,8 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``content`` (MD5 of the text), ``class_id``, ``n_copies``.
+    """One row per row of ``docs``: ``doc_id``, ``content`` (MD5 of the text), ``class_id``, ``n_copies``,
+    ``class_content`` (the content that names the class, should ids repeat).
 
     ``class_id`` is the smallest id of the texts that are linked, directly or through
     others, by a weighted Jaccard similarity of at least ``similarity``; ``n_copies``
@@ -344,7 +345,7 @@ def near_duplicates(
             labels = components(links.unionByName(found.select(F.col("centre").alias("a"), F.col("member").alias("b"))))
     classes = contents.select("content", "rep", "n_copies")
     if labels is None:
-        classes = classes.withColumn("class_id", F.col("rep"))
+        classes = classes.withColumn("class_id", F.col("rep")).withColumn("label", F.col("content"))
     else:
         classes = stored(
             classes.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content")),
@@ -352,11 +353,12 @@ def near_duplicates(
         )
         smallest = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
         classes = classes.join(smallest, "label")
-    return signed.select("doc", "content").join(classes.select("content", "class_id", "n_copies"), "content", "left").select(
+    return signed.select("doc", "content").join(classes.select("content", "class_id", "n_copies", "label"), "content", "left").select(
         F.col("doc").alias(doc_id),
         "content",
         F.when(F.col("n_copies").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        F.coalesce("label", "content").alias("class_content"),
     )
 
 

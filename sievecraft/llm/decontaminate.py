@@ -117,7 +117,8 @@ def find_contamination(
     A text is contaminated if a word of it is hit and hit words make up at least
     ``min_percent`` of its words. Null or empty texts have no words and are clean;
     null or wordless items have no windows; an item that occurs twice under one id
-    counts once. An empty benchmark leaves every document clean. Result columns
+    counts once. The words of an item without an id are hit like others, but it is not
+    among the ``item_ids``. An empty benchmark leaves every document clean. Result columns
     that exist already are replaced.
     """
     spark = docs.sparkSession
@@ -128,9 +129,9 @@ def find_contamination(
     out = docs
     items = benchmark.select(
         F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")
-    ).where("i IS NOT NULL AND t IS NOT NULL")
+    ).where("t IS NOT NULL")
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else items
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = part.collect()  # at most about block_bytes
         held = spark.sparkContext.broadcast(([r.i for r in rows], [r.t for r in rows]))
         scan = arrow_udf(_scanner(held, window), _SCAN_TYPE)
@@ -155,7 +156,7 @@ def find_contamination(
     )
     return (
         out.withColumn("n_hit", merged)
-        .withColumn("item_ids", F.sort_array(F.array_distinct(ids)))
+        .withColumn("item_ids", F.sort_array(F.array_distinct(F.array_compact(ids))))
         .withColumn("hit_spans", F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words")))
         .drop(ids, spans)
@@ -202,7 +203,7 @@ words_hit AS (
 ),
 items_hit AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,

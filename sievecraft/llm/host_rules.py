@@ -3,7 +3,10 @@
 Counts of a text are taken inside the row. Failures are added up by host, the
 failure rate of a host is shrunk towards the rate of all hosts with a beta prior
 whose two parameters come from the hosts themselves (method of moments), and the
-verdict on the host goes back to its documents.
+verdict on the host goes back to its documents. A host is bad if its shrunk rate is
+more than two standard deviations of the prior above its mean: what counts as bad
+follows from the hosts, and where their rates differ no more than chance makes them
+differ, none is.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 
 from sievecraft.llm.common import free_name, let, stored, table
 
-MIN_WORDS, MAX_REPEAT_PCT, MAX_SYMBOL_PCT, MAX_HOST_RATE = 50, 50, 10, 0.5
+MIN_WORDS, MAX_REPEAT_PCT, MAX_SYMBOL_PCT, BAD_DEVIATIONS = 50, 50, 10, 2.0
+_NO_SPREAD = 1e-12  # a variance that is rounding
 _POSITION_BITS = 28  # a string of 2 GB has fewer than 2**28 three-word windows apart
 
 
@@ -101,11 +105,14 @@ def rule_failures(df: DataFrame) -> DataFrame:
     ).withColumn("symbols_failed", 100 * F.col("n_symbols") > MAX_SYMBOL_PCT * F.col("n_words"))
 
 
-def host_rates(failures: DataFrame, host: str, failed: str) -> DataFrame:
-    """Per host: n, failed, and the failure rate shrunk by the empirical beta prior.
+def host_rates(failures: DataFrame, host: str, failed: str, deviations: float = BAD_DEVIATIONS) -> DataFrame:
+    """Per host: n, n_failed, rate (shrunk by the empirical beta prior), bad.
 
-    Rows without a host take no part. If all hosts have one rate, or too few
-    hosts tell anything about a spread, every host gets the common rate.
+    The prior has the mean m of the hosts' rates and their variance without what
+    sampling adds to it, v = var(rate) - m (1 - m) avg(1 / n); it counts as
+    m (1 - m) / v - 1 documents of rate m. If v is not above 0 every host gets the rate
+    m; if it reaches m (1 - m), each keeps its own. A host is bad if its rate is above
+    m + ``deviations`` * sqrt(v). Rows without a host take no part.
     """
     hosts = (
         failures.where(F.col(host).isNotNull())
@@ -114,42 +121,44 @@ def host_rates(failures: DataFrame, host: str, failed: str) -> DataFrame:
     )
     hosts = stored(hosts, "hosts")
     rate = F.col("n_failed") / F.col("n")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    if m is None or not v or v >= m * (1 - m):
-        shrunk = F.lit(m if m is not None else 0.0) if not v else rate
+    m, v, one_by_n = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n"))).first()
+    if m is None:
+        return hosts.withColumns({"rate": F.lit(None).cast("double"), "bad": F.lit(False)})
+    v -= m * (1 - m) * one_by_n
+    if v <= _NO_SPREAD:
+        shrunk, bar = F.lit(m), m
+    elif v >= m * (1 - m):
+        shrunk, bar = rate, m + deviations * v**0.5
     else:
         strength = m * (1 - m) / v - 1
-        shrunk = (F.col("n_failed") + m * strength) / (F.col("n") + strength)
-    return hosts.withColumn("rate", shrunk.cast("double"))
+        shrunk, bar = (F.col("n_failed") + m * strength) / (F.col("n") + strength), m + deviations * v**0.5
+    return hosts.withColumn("rate", shrunk.cast("double")).withColumn("bad", F.col("rate") > bar)
 
 
-def host_verdicts(df: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Add the counts, ``base_failed``, ``host_failed`` and ``kept``; the text column goes.
+def host_verdicts(df: DataFrame, host: str = "source", text: str = "text", deviations: float = BAD_DEVIATIONS) -> DataFrame:
+    """Add the counts, ``base_failed``, ``host_rate``, ``host_n``, ``host_failed`` and ``kept``; the text column goes.
 
-    A document is kept if it passes the base rules and its host's shrunk failure
-    rate (base or symbol rule) is at most ``max_rate``. Documents without a host
-    are judged by the base rules alone. The join back to the hosts is on a narrow
-    table; a host with a large share of the rows is split by the adaptive planner.
+    A document is kept if it passes the base rules and its host is not bad by its
+    failures of the base and symbol rules, see ``host_rates``. Documents without a host
+    are judged by the base rules alone; their ``host_rate`` and ``host_n`` are null. The
+    join back to the hosts is on a narrow table; a host with a large share of the rows is
+    split by the adaptive planner.
     """
     counted = stored(rule_failures(text_counts(df, text)).drop(text), "counts")
     (any_rule,) = free_name(counted, "any_rule")
     failures = counted.withColumn(any_rule, F.col("base_failed") | F.col("symbols_failed"))
-    bad = host_rates(failures, host, any_rule).where(F.col("rate") > max_rate)
-    bad = bad.select(F.col(host), F.lit(True).alias(any_rule))
-    return (
-        counted.drop("host_failed", "kept")
-        .join(bad, host, "left")
-        .withColumn("host_failed", F.coalesce(F.col(any_rule), F.lit(False)))
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
-        .drop(any_rule)
-    )
+    rates = host_rates(failures, host, any_rule, deviations)
+    verdicts = rates.select(F.col(host), F.col("rate").alias("host_rate"), F.col("n").alias("host_n"), F.col("bad").alias("host_failed"))
+    judged = counted.drop("host_rate", "host_n", "host_failed", "kept").join(verdicts, host, "left")
+    failed = F.coalesce("host_failed", F.lit(False))
+    return judged.withColumn("host_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
 def op2_host_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return host_verdicts(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "host_failed", "kept",
+        "base_failed", F.round("host_rate", 9).alias("host_rate"), "host_n", "host_failed", "kept",
     )
 
 
@@ -189,16 +198,19 @@ hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed OR symbols_failed) AS f
   FROM ruled WHERE source IS NOT NULL GROUP BY source
 ),
-prior AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
+moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS raw, avg(1.0::DOUBLE / n) AS r FROM hosts),
+prior AS (SELECT m, raw - m * (1 - m) * r AS v FROM moments),
 rates AS (
-  SELECT source, CASE WHEN v = 0 THEN m WHEN v >= m * (1 - m) THEN f / n
+  SELECT source, n, m, v, CASE WHEN v <= {_NO_SPREAD} THEN m WHEN v >= m * (1 - m) THEN f / n
     ELSE (f + m * (m * (1 - m) / v - 1)) / (n + m * (1 - m) / v - 1) END AS rate
   FROM hosts, prior
-)
+),
+verdicts AS (SELECT *, v > {_NO_SPREAD} AND rate > m + {BAD_DEVIATIONS} * sqrt(v) AS bad FROM rates)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(rate > {MAX_HOST_RATE}, false) AS host_failed,
-       NOT base_failed AND NOT coalesce(rate > {MAX_HOST_RATE}, false) AS kept
-FROM ruled r LEFT JOIN rates ON rates.source = r.source"""
+       round(rate, 9) AS host_rate, n AS host_n, coalesce(bad, false) AS host_failed,
+       NOT base_failed AND NOT coalesce(bad, false) AS kept
+FROM ruled r LEFT JOIN verdicts ON verdicts.source = r.source
+"""
 
 QUERIES = {"op2_host_rules": op2_host_rules}
 ORACLE = {"op2_host_rules": _SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from sievecraft.llm.common import small_batches, stored, table
+from sievecraft.llm.common import bounded_batches, release_memory, stored, table
 from sievecraft.llm.shingles import text_batches
 
 DECAY, SPAN, LOWEST, THRESHOLD = 0.75, 6, -4.0, 0.3
@@ -77,9 +77,9 @@ def subsequences(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, flo
     """Places, subsequence numbers and weight, for each choice of gaps, within words."""
     n = len(code)
     bounds = np.flatnonzero(code == 0)
-    following = np.full(n, n, np.int64)  # the next 0 behind each place
-    following[:-1] = bounds[np.minimum(np.searchsorted(bounds, np.arange(n - 1), "right"), len(bounds) - 1)]
-    room = following - np.arange(n)
+    size = np.diff(bounds)  # from each 0 to the next
+    room = np.zeros(n, np.int32)  # places up to the next 0
+    room[: bounds[-1]] = np.repeat(bounds[1:], size) - np.arange(bounds[-1])
     wide = code.astype(np.int32)
     for a, b, c in _GAPS:
         if c >= n:
@@ -285,6 +285,7 @@ def _applied(kind: str, text: Column, model: Model) -> Column:
                 yield pa.array(np.concatenate([held.value.score(p) for p in parts] or [np.zeros(0)]), pa.float64())
             else:
                 yield pa.array([row for p in parts for row in held.value.decisions(p).tolist()], pa.list_(pa.float64()))
+        release_memory()
 
     return decide(text)
 
@@ -300,14 +301,16 @@ def is_held_out(doc_id: Column) -> Column:
 
 def train_on_tables(spark, docs: DataFrame, sf_dir: str) -> Model:
     """The model of the registered query: labels of every fourth id, by CRC-32, are never read."""
-    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~is_held_out(F.col("doc_id")))
-    return train(docs.select("doc_id", "text"), labels)
+    with bounded_batches(spark):
+        return train(docs.select("doc_id", "text"), labels)
 
 
 def op5_subsequence_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = docs.withColumn("score", toxicity(F.col("text"), train_on_tables(spark, docs, sf_dir)))
+    model = train_on_tables(spark, docs, sf_dir)
+    with bounded_batches(spark):
+        scored = stored(docs.select("doc_id", toxicity(F.col("text"), model).alias("score")), "scores")
     return scored.select(
         "doc_id",
         F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,39 @@ def test_host_rules(docs):
     assert host_rules.host_verdicts(docs.limit(0)).count() == 0
 
 
+def test_bad_hosts(spark):
+    """Failures of 40 hosts of 100 documents, two small bad hosts, a large bad one, and one-document hosts."""
+    counts = {f"h{k}": (100, 5 + k % 7) for k in range(40)} | {"large": (400, 380), "small": (6, 6), "lone": (1, 1), "fine": (1, 0)}
+    rows = [(host, k < failed) for host, (n, failed) in counts.items() for k in range(n)] + [(None, True)] * 50
+    got = {r.host: r for r in host_rules.host_rates(spark.createDataFrame(rows, "host string, f boolean"), "host", "f").collect()}
+    rates = np.array([f / n for n, f in counts.values()])
+    m = rates.mean()
+    v = rates.var() - m * (1 - m) * np.mean([1 / n for n, _ in counts.values()])
+    strength, bar = m * (1 - m) / v - 1, m + 2 * v**0.5
+    assert set(got) == set(counts) and v > 0
+    for host, (n, failed) in counts.items():
+        want = (failed + m * strength) / (n + strength)
+        assert (got[host].n, got[host].n_failed) == (n, failed) and got[host].rate == pytest.approx(want, abs=1e-12)
+        assert got[host].bad == (want > bar)
+    assert {h for h, r in got.items() if r.bad} == {"large", "small"}
+
+
+def test_hosts_that_differ_by_chance_alone_are_not_bad(spark):
+    rows = [(f"h{k}", bool(i < 20 + 3 * (k % 2))) for k in range(10) for i in range(100)] + [("lone", True), ("other", False)]
+    got = host_rules.host_rates(spark.createDataFrame(rows, "host string, f boolean"), "host", "f").collect()
+    assert len(got) == 12 and not any(r.bad for r in got) and len({r.rate for r in got}) == 1
+
+
+def test_documents_of_bad_hosts_go(spark):
+    good, bad = "plain words here " + " ".join(f"w{i}" for i in range(60)), "# $ " * 40
+    rows = [(k, good, f"h{k % 12}") for k in range(240)] + [(1000 + k, good if k < 3 else bad, "worst") for k in range(30)] + [(2000, good, None), (2001, bad, None)]
+    out = {r.doc_id: r for r in host_rules.host_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(out) == len(rows) and all(out[k].kept and not out[k].host_failed for k in range(240))
+    assert all(out[1000 + k].host_failed and not out[1000 + k].kept for k in range(30)) and not out[1001].base_failed
+    assert out[1000].host_n == 30 and out[1000].host_rate > 0.5
+    assert out[2000].kept and out[2000].host_rate is None and not out[2001].host_failed
+
+
 def test_pseudonyms(docs):
     out = pseudonyms.pseudonymise(docs, "k").collect()
     assert len(out) == len(ROWS) and out[0].text is None and out[0].n_pseudonyms == 0
@@ -66,13 +100,14 @@ def test_decontamination(docs, benchmark):
     out = decontaminate.find_contamination(docs, benchmark).collect()
     assert len(out) == len(ROWS)
     three = next(r for r in out if r.doc_id == 6)
-    assert (three.n_words, three.n_hit, three.item_ids, three.contaminated) == (3, 2, ["1"], True)
-    assert [tuple(s) for s in three.hit_spans] == [(4, 13)]
+    # "one two" is hit by an item without an id
+    assert (three.n_words, three.n_hit, three.item_ids, three.contaminated) == (3, 3, ["1"], True)
+    assert [tuple(s) for s in three.hit_spans] == [(0, 13)]
     assert not any(r.contaminated for r in out if r.doc_id != 6)
     none = decontaminate.find_contamination(docs, benchmark.limit(0)).where("contaminated OR n_hit > 0")
     assert none.count() == 0 and decontaminate.find_contamination(docs.limit(0), benchmark).count() == 0
     blocks = decontaminate.find_contamination(docs, benchmark, block_bytes=100).where("doc_id = 6").first()
-    assert (blocks.n_hit, blocks.item_ids) == (2, ["1"])
+    assert (blocks.n_hit, blocks.item_ids) == (3, ["1"])
 
 
 def test_warc(spark, docs):
