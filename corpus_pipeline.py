@@ -6,11 +6,11 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievecraft.llm import bpe, dart_minhash, decontaminate, pseudonyms, toxicity
-from sievecraft.llm.common import free_name, small_batches, stored, table
+from sievecraft.llm.common import bounded_batches, free_name, stored, table
 
 PSEUDONYM_KEY = "pseudonym key of the pipeline"
 
@@ -18,25 +18,31 @@ PSEUDONYM_KEY = "pseudonym key of the pipeline"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic stays below the threshold."""
     model = toxicity.train_on_tables(spark, docs, sf_dir)
-    return docs.where(toxicity.toxicity(F.col("text"), model) < toxicity.THRESHOLD)
+    with bounded_batches(spark):
+        return stored(docs.where(toxicity.toxicity(F.col("text"), model) < toxicity.THRESHOLD), "clean")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each class of near-duplicates.
 
-    Rows that repeat an id and a text become one row. Rows without an id stay if no
-    row with an id is in their class, one for each text. Null and wordless texts are
-    alone, so they stay.
+    One row of each class stays: of rows that share its id the one of the smallest text,
+    then of the smallest lang, source and other columns, nulls first. Rows without an id
+    stay if no row with an id is in their class, one for each text. Null and wordless
+    texts are alone, so they stay, one of each id.
     """
-    content, row_id = free_name(docs, "content", "row_id")
-    found = dart_minhash.near_duplicates(docs.select("doc_id", "text"))
+    content, row_id, group, rank = free_name(docs, "content", "row_id", "group", "rank")
+    with bounded_batches(spark):
+        found = dart_minhash.near_duplicates(docs.select("doc_id", "text"))
     kept = found.where("doc_id = class_id OR doc_id IS NULL AND class_id IS NULL")
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = kept.select(id_text.alias(row_id), F.coalesce("content", F.unhex(F.lit(""))).alias(content)).distinct()
-    keyed = docs.withColumn(row_id, id_text).withColumn(
-        content, F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.unhex(F.lit("")))
-    )
-    return keyed.join(kept, [row_id, content], "left_semi").dropDuplicates([row_id, content]).select(*docs.columns)
+    id_text, no_content = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.unhex(F.lit(""))
+    # rows without an id are told apart by their text, others by the class
+    named = F.when(F.col("doc_id").isNull(), F.col("content")).otherwise(F.col("class_content"))
+    kept = kept.select(id_text.alias(row_id), F.coalesce("content", no_content).alias(content), F.coalesce(named, no_content).alias(group)).distinct()
+    keyed = docs.withColumn(row_id, id_text).withColumn(content, F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), no_content))
+    order = ["text", "lang", "source", *[c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]]
+    first = Window.partitionBy(row_id, group).orderBy(*order)
+    chosen = keyed.join(kept, [row_id, content])
+    return chosen.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +61,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of the text that they decode to."""
-    small_batches(spark)
     path = bpe.tokenizer_path("word_bpe_49k.json")
     both = docs.select("doc_id", "lang", "source", bpe.round_trip("text", path).alias("both"))
-    return both.select(
+    encoded = both.select(
         "doc_id",
         "lang",
         "source",
@@ -66,6 +71,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("both.ids").alias("ids"),
         F.sha2("both.decoded", 256).alias("decoded_sha256"),
     )
+    with bounded_batches(spark):
+        return stored(encoded, "encoded")
 
 
 STAGES = [
