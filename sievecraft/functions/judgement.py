@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,27 +18,52 @@ MIN_SCORES = {
 CARRIED_SCORE = "edge_case_consideration"
 PASS_STATUS = "pass"
 
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_OPTIONS = {"allowSingleQuotes": "false"}
 
 
-def _one_value(c: Column, item_type: str) -> Column:
-    """Parse ``c`` as exactly one JSON value of ``item_type``, else null.
+def _one_value(c: Column, item_type: str, mark: Callable[[Column], Column], mark_of: Callable[[Column], Column]) -> Column:
+    """Parse ``c`` as exactly one JSON value of ``item_type``, else null, in one pass.
 
     The parser stops after the first complete value, so text behind it would go
-    unnoticed. Wrapped as the only element of an array that is followed by one
-    more key, such text breaks the wrapper instead. Text that closes the array by
-    itself and opens keys of its own gives the wrapper more than its two keys.
+    unnoticed. ``c`` is therefore put into an array between two marks, values of its
+    own type that hold the MD5 of ``c``. Text that closes this array, or opens
+    another one under the same name, leaves an array without either mark, and cannot
+    bring its own, since it would have to contain its own MD5.
     """
-    wrapped = F.concat(F.lit('{"v":['), c, F.lit('],"end":1}'))
-    parsed = F.from_json(wrapped, f"struct<v:array<{item_type}>,end:int>", _STRICT)
-    two_keys = F.size(F.json_object_keys(wrapped)) == 2
-    return let(parsed, lambda p: F.when((p["end"] == 1) & (F.size(p["v"]) == 1) & two_keys, p["v"][0]))
+
+    def of(md5: Column) -> Column:
+        text = F.concat(F.lit('{"v":['), mark(md5), F.lit(","), c, F.lit(","), mark(md5), F.lit("]}"))
+        items = F.from_json(text, f"struct<v:array<{item_type}>>", _OPTIONS)["v"]
+        whole = lambda v: (F.size(v) == 3) & (mark_of(v[0]) == md5) & (mark_of(v[2]) == md5)
+        return let(items, lambda v: F.when(whole(v), v[1]))
+
+    return let(F.md5(c), of)
+
+
+def _is_bare(judgement: Column, name: str) -> Column:
+    """The score of ``name`` is a bare NaN or infinity in the text, not a quoted one."""
+    return F.regexp_like(judgement, F.lit(rf'"{name}"\s*:\s*\{{[^{{}}]*"score"\s*:\s*[NI+-]'))
 
 
 def judge_scores(judgement: Column, names=tuple(MIN_SCORES)) -> Column:
-    """Struct of nested structs ``name.score``; null where the JSON is unusable."""
+    """Struct of nested structs ``name.score``; null where the JSON is unusable.
+
+    Bare NaN and infinities are numbers, as they are for a lenient reader. The parser
+    takes them in quotes too; a quoted score makes the judgement unusable.
+    """
     fields = ",".join(f"{n}:struct<score:double>" for n in names)
-    return _one_value(judgement, f"struct<{fields}>")
+    mark = lambda m: F.concat(F.lit('{"_mark":"'), m, F.lit('"}'))
+    parsed = _one_value(judgement, f"struct<{fields},_mark:string>", mark, lambda v: v["_mark"])
+
+    def numbers(s: Column) -> Column:
+        quoted = F.lit(False)
+        for n in names:
+            x = s[n]["score"]
+            odd = F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
+            quoted = quoted | (odd & ~_is_bare(judgement, n))
+        return F.when(~quoted, s)
+
+    return let(parsed, numbers)
 
 
 def scores_pass(scores: Column, mins: dict[str, float] = MIN_SCORES) -> Column:
@@ -49,7 +76,8 @@ def scores_pass(scores: Column, mins: dict[str, float] = MIN_SCORES) -> Column:
 
 def all_tests_pass(statuses: Column) -> Column:
     """Every status equals "pass"; an empty array passes, anything else fails."""
-    items = _one_value(statuses, "array<string>")
+    mark = lambda m: F.concat(F.lit('["'), m, F.lit('"]'))
+    items = _one_value(statuses, "array<string>", mark, lambda v: F.get(v, F.lit(0)))
     every = F.forall(items, lambda s: s.eqNullSafe(F.lit(PASS_STATUS)))
     # An object is no array, but says so only by its first character.
     return F.coalesce(F.startswith(strip(statuses), F.lit("[")) & every, F.lit(False))

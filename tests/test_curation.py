@@ -45,6 +45,16 @@ JUDGE_CASES = [
     (judgement(edge="5"), False),
     (judgement(edge=None), False),
     (judgement(edge=True), False),
+    (judgement(req=float("nan")), True),
+    (judgement(logic=float("inf"), edge=float("inf")), True),
+    (judgement(req=float("-inf")), False),
+    (judgement(req="NaN"), False),
+    (judgement(edge="Infinity"), False),
+    (judgement(logic=float("nan"), edge="Infinity"), False),
+    (GOOD + '],"v":[' + GOOD, False),
+    (GOOD + "," + GOOD, False),
+    (GOOD + "]}", False),
+    (judgement(req=4) + '],"v":[{"_mark":"x"},' + GOOD + ',{"_mark":"x"}],"w":[', False),
     ('{"requirement_conformance": {"score": 5}, "logical_correctness": {"score": 5}}', False),
     ("not json", False),
     ("", False),
@@ -318,7 +328,7 @@ def test_text_scores_and_escaped_wrappers_fail(spark):
     good = '{"requirement_conformance": {"score": 5}, "logical_correctness": {"score": 5}, "edge_case_consideration": {"score": %s}}'
     cases = [
         (good % "5", '["pass"]', True), (good % '"Infinity"', '["pass"]', False), (good % '"NaN"', '["pass"]', False),
-        (good % "NaN", '["pass"]', False), (good % "5" + '],"x":[0', '["pass"]', False),
+        (good % "NaN", '["pass"]', True), (good % "5" + '],"x":[0', '["pass"]', False),
         (good % "5", '["pass"]],"x":[["a"', False), (good % "5" + '],"v":[0', '["pass"]', False),
     ]
     df = spark.createDataFrame(cases, "j string, t string, want boolean")

@@ -145,7 +145,7 @@ def _judge_json(req: str, logic: str, edge: str) -> str:
     )
 
 
-# (residue of doc_id % 13, judgement text)
+# (residue of doc_id % 17, judgement text)
 JUDGEMENTS = {
     0: _judge_json("5", "5", "3"),
     1: _judge_json("4", "5", "5"),
@@ -158,6 +158,10 @@ JUDGEMENTS = {
     8: _judge_json("5", "5", '"Infinity"'),
     9: _judge_json("5", "5", "5") + '],"x":[0',
     10: _judge_json('"NaN"', "5", "5"),
+    11: _judge_json("NaN", "5", "5"),
+    12: _judge_json("5", "Infinity", "4.5"),
+    13: _judge_json("-Infinity", "5", "5"),
+    14: _judge_json("4", "5", "5") + '],"v":[' + _judge_json("5", "5", "5"),
 }
 JUDGEMENT_ELSE = _judge_json("5", "5", "5")
 # (residue of doc_id % 10, status text)
@@ -184,7 +188,7 @@ def instruction_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None =
         F.concat(text, F.repeat(F.lit("."), (doc_id % 7).cast("int"))).alias("output"),
         F.col("lang").alias("domain"),
         F.col("source").alias("generation_algorithm"),
-        by_doc(13, {k: F.lit(v) for k, v in JUDGEMENTS.items()}, F.lit(JUDGEMENT_ELSE)).alias("llm_judgement"),
+        by_doc(17, {k: F.lit(v) for k, v in JUDGEMENTS.items()}, F.lit(JUDGEMENT_ELSE)).alias("llm_judgement"),
         by_doc(10, {k: F.lit(v) for k, v in STATUSES.items()}, F.lit(STATUS_ELSE)).alias("tests_execution_status"),
     )
 
@@ -202,18 +206,18 @@ instructions AS (
                          WHEN 1 THEN text || chr(10) || ' ' ELSE text END AS input,
          text || repeat('.', CAST(doc_id % 7 AS INTEGER)) AS output,
          lang AS domain, source AS generation_algorithm,
-         {_sql_cases(13, JUDGEMENTS, JUDGEMENT_ELSE)} AS j,
+         {_sql_cases(17, JUDGEMENTS, JUDGEMENT_ELSE)} AS j,
          {_sql_cases(10, STATUSES, STATUS_ELSE)} AS t
   FROM documents
 ),
 typed AS (
   SELECT *,
-    CASE WHEN json_valid(j) THEN json(j) END AS jj,
+    CASE WHEN json_valid(jn) THEN json(jn) END AS jj,
     CASE WHEN json_valid(t) THEN json(t) END AS tj
-  FROM instructions
+  FROM (SELECT *, regexp_replace(regexp_replace(j, ': (NaN|Infinity)', ': 9e99', 'g'), ': -Infinity', ': -9e99', 'g') AS jn FROM instructions)
 ),
 scored AS (
-  SELECT * EXCLUDE (jj, tj),
+  SELECT * EXCLUDE (jj, tj, jn),
     CASE WHEN json_type(jj, '$.requirement_conformance.score') IN ('UBIGINT', 'BIGINT', 'DOUBLE')
          THEN CAST(jj->>'$.requirement_conformance.score' AS DOUBLE) ELSE 0 END AS s1,
     CASE WHEN json_type(jj, '$.logical_correctness.score') IN ('UBIGINT', 'BIGINT', 'DOUBLE')
