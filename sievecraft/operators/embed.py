@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.functions.ordering import seeded_normal_vector, seeded_uniform
 from sievecraft.functions.vectors import doubles, interpolate, l2_normalize, velocity, zero_vector
 from sievecraft.operators.skew import join_unique
-from sievecraft.sources.corpus import read_if_exists
+from sievecraft.sources.commits import CommitLog
 
 # Fixed values.
 MAX_LENGTH = 512
@@ -22,6 +23,7 @@ TOKEN_BUDGET = 1 << 16  # padded tokens of a batch
 
 KEY = "content_key"
 VECTOR = "embedding"
+_ATTEMPTS = 100
 
 
 def content_key(text: Column, encoder_name: str, max_len: int | None) -> Column:
@@ -105,6 +107,46 @@ def encode_new(
     return todo.select(KEY, encode_texts(F.col("_text"), make_encoder, dim, max_len).alias(VECTOR))
 
 
+def _vector_files(spark: SparkSession, table: str) -> tuple[CommitLog, int, list[str]]:
+    log = CommitLog(spark, f"{table}/_commits")
+    number, state = log.latest()
+    return log, number, state.get("files", [])
+
+
+def read_vectors(spark: SparkSession, table: str) -> DataFrame | None:
+    """The vectors of the last commit to ``table``, or None where there is none yet."""
+    files = _vector_files(spark, table)[2]
+    return spark.read.parquet(*files) if files else None
+
+
+def append_vectors(new: DataFrame, table: str, seen: int, known: Sequence[str]) -> DataFrame:
+    """Adds ``new`` (content_key, embedding) to ``table`` and returns all vectors.
+
+    ``new`` holds no key of the ``known`` files, those of commit ``seen``. If other jobs
+    have committed since, their keys are taken out of the new vectors before these are
+    committed, so each key stays in the table once. Files carry a Bloom filter of their
+    keys, which lets a look-up of few keys skip most of them.
+    """
+    spark, log = new.sparkSession, CommitLog(new.sparkSession, f"{table}/_commits")
+
+    def written(df: DataFrame) -> str:
+        path = f"{table}/data/{uuid.uuid4().hex}"
+        df.write.option(f"parquet.bloom.filter.enabled#{KEY}", "true").parquet(path)
+        return path
+
+    known, mine = list(known), written(new)
+    for _ in range(_ATTEMPTS):
+        if log.commit(seen + 1, {"files": [*known, mine]}):
+            return spark.read.parquet(*known, mine)
+        seen, state = log.latest()
+        added = [f for f in state["files"] if f not in known]
+        theirs = spark.read.parquet(*added).select(KEY)
+        before, mine = mine, written(spark.read.parquet(mine).join(theirs, KEY, "left_anti"))
+        log.remove([before])
+        known = state["files"]
+    raise RuntimeError(f"{table}: no commit in {_ATTEMPTS} attempts")
+
+
 def embed_incremental(
     df: DataFrame,
     text_col: str,
@@ -117,14 +159,15 @@ def embed_incremental(
 ) -> DataFrame:
     """Brings the vector table at ``cache_path`` up to date and returns it.
 
-    The table is appended to by one job at a time; a text it already holds is
-    never encoded again, and a text encoded under another name or length limit
-    is never mistaken for this one.
+    Any number of jobs may do so at once. A text the table holds is never encoded again,
+    which only its keys are read for; one that two jobs encode at the same time is kept
+    once. A text encoded under another name or length limit is never mistaken for this
+    one.
     """
-    known = read_if_exists(df.sparkSession, cache_path)
+    _, seen, files = _vector_files(df.sparkSession, cache_path)
+    known = df.sparkSession.read.parquet(*files) if files else None
     new = encode_new(df, text_col, make_encoder, encoder_name, dim, known, max_len, partitions)
-    new.write.mode("append").parquet(cache_path)
-    return df.sparkSession.read.parquet(cache_path)  # known and new vectors together
+    return append_vectors(new, cache_path, seen, files)
 
 
 def attach_embeddings(

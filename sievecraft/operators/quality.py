@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievecraft.functions.judgement import MIN_SCORES, passing_score
@@ -11,6 +11,7 @@ from sievecraft.functions.text import est_tokens, text_or_empty
 # Fixed values.
 MAX_COT_TOKENS = 16000
 INSTRUCTION_COLUMNS = ("id", "input", "output", "domain", "generation_algorithm")
+FUNNEL = ("total_rows", "not_verified", "not_passed", "cot_too_long", "passed_filter")
 TEXT_COLUMNS = ("question", "response", "code", "starter_code")
 
 
@@ -60,16 +61,19 @@ def keep_verified(df: DataFrame, max_tokens: int = MAX_COT_TOKENS) -> DataFrame:
     return fill_texts(kept)
 
 
+def funnel_counts(reason: Column) -> list[Column]:
+    """The counters of the filter: rows read, rows per reject reason, rows kept."""
+    tests = {name: reason == name for name in FUNNEL[1:-1]}
+    return [
+        F.count(F.lit(1)).alias(FUNNEL[0]),
+        *[F.count_if(test).alias(name) for name, test in tests.items()],
+        F.count_if(reason.isNull()).alias(FUNNEL[-1]),
+    ]
+
+
 def filter_funnel(df: DataFrame, max_tokens: int = MAX_COT_TOKENS) -> DataFrame:
-    """One row: rows read, rows per reject reason, rows kept; a single pass."""
-    reason = F.col("reason")
-    return with_reject_reason(df, max_tokens).agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(reason == "not_verified").alias("not_verified"),
-        F.count_if(reason == "not_passed").alias("not_passed"),
-        F.count_if(reason == "cot_too_long").alias("cot_too_long"),
-        F.count_if(reason.isNull()).alias("passed_filter"),
-    )
+    """One row of ``funnel_counts``; a single pass."""
+    return with_reject_reason(df, max_tokens).agg(*funnel_counts(F.col("reason")))
 
 
 def file_report(df: DataFrame, file_col: str, passed_col: str = "passed") -> DataFrame:

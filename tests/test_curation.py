@@ -1,5 +1,6 @@
 import glob
 import json
+import os
 import random
 
 import pytest
@@ -20,8 +21,9 @@ from sievecraft.operators.quality import (
 )
 from sievecraft.operators.records import to_messages
 from sievecraft.plans.instructions import best_rank, curate_instructions, export_instructions
-from sievecraft.plans.reasoning import curate_reasoning, export_reasoning, profile_records
+from sievecraft.plans.reasoning import curate_counted, curate_reasoning, export_reasoning, profile_records
 from sievecraft.session import shared_path
+from sievecraft.sources.corpus import SEQ, read_corpus
 
 
 def judgement(req=5, logic=5, edge=4, **more):
@@ -334,3 +336,22 @@ def test_text_scores_and_escaped_wrappers_fail(spark):
     df = spark.createDataFrame(cases, "j string, t string, want boolean")
     for r in df.select("*", judge_pass(F.col("j"), F.col("t")).alias("got")).collect():
         assert r.got == r.want, r
+
+
+def test_counters_are_taken_while_writing(spark, tmp_path):
+    """Funnel and file report of several files, one of them without a kept row, in one scan."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for f in range(3):
+        rows = [(100 * f + i, f"q{i}", None if i % 5 == 0 else f < 2, i % 3 > 0, f"question {i % 4}", "r" * (40 * i), None, None) for i in range(20)]
+        spark.createDataFrame(rows, REASONING).coalesce(1).write.parquet(f"{path}/{f}")
+        os.rename(next(str(p) for p in (tmp_path / "in" / str(f)).glob("part-*.parquet")), f"{path}/train-{f}.parquet")
+    corpus = read_corpus(spark, path, "train-*.parquet")
+    got = curate_counted(corpus, SEQ, out, max_tokens=150)
+    kept = [[i for i in range(20) if i % 5 and f < 2 and i % 3 and 40 * i // 4 <= 150] for f in range(3)]
+    assert {r.file_name: (r.kept, r.total, r.kept_percent) for r in got.files.collect()} == {
+        f"train-{f}.parquet": (len(kept[f]), 20, round(len(kept[f]) * 5.0, 1)) for f in range(3)
+    }
+    assert got.funnel.first() == filter_funnel(corpus, 150).first() and got.funnel.first().passed_filter == sum(map(len, kept))
+    assert got.records.count() == curate_reasoning(corpus, SEQ, 150).count() == len({i % 4 for i in kept[0]})
+    totals = corpus.groupBy("file_name").count()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in totals

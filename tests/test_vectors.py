@@ -22,11 +22,13 @@ from sievecraft.operators.embed import (
     interpolation_pairs,
     mean_over_positions,
     mean_pool,
+    read_vectors,
     sample_vector_positions,
     table_encode,
 )
 from sievecraft.operators.skew import fits_broadcast, hot_keys, join_unique
 from sievecraft.session import shared_path
+from sievecraft.sources.commits import CommitLog
 
 
 def length_encoder(log=None):
@@ -69,6 +71,39 @@ def test_incremental_encodes_each_text_once(spark, tmp_path):
     assert all(r.embedding == pytest.approx(unit(len(r.t), 1.0) if r.t else [0.0, 0.0]) for r in rows)
 
 
+def test_two_jobs_append_to_one_table(spark, tmp_path, monkeypatch):
+    """The second job encodes and commits while the first one has read the table and not yet committed."""
+    log, path = str(tmp_path / "log"), shared_path(spark, "cache")
+    texts = [spark.createDataFrame([(t,) for t in part], "t string") for part in (["a"], ["a", "bb", "ccc"], ["bb", "ccc", "dddd"])]
+
+    def job(k):
+        return embed_incremental(texts[k], "t", length_encoder(log), "len", 2, path)
+
+    assert read_vectors(spark, path) is None and job(0).count() == 1
+    commit, raced = CommitLog.commit, []
+
+    def slow(self, number, value):
+        if not raced:
+            raced.append(number)
+            assert job(2).count() == 4
+        return commit(self, number, value)
+
+    monkeypatch.setattr(CommitLog, "commit", slow)
+    both = job(1)
+    assert sorted(r.content_key for r in both.collect()) == sorted(r.content_key for r in read_vectors(spark, path).collect())
+    assert both.count() == both.select("content_key").distinct().count() == 4
+    assert sorted(open(log).read().split()) == ["a", "bb", "bb", "ccc", "ccc", "dddd"]
+    assert job(1).count() == job(2).count() == 4 and len(open(log).read().split()) == 6
+
+
+def test_known_keys_are_found_without_reading_vectors(spark):
+    path = shared_path(spark, "cache")
+    df = spark.createDataFrame([("a",), ("bb",)], "t string")
+    embed_incremental(df, "t", length_encoder(), "len", 2, path)
+    plan = encode_new(df, "t", length_encoder(), "len", 2, read_vectors(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<content_key:string>" in plan
+
+
 def test_content_key_depends_on_encoder_and_limit(spark):
     t = F.lit("x")
     r = spark.range(1).select(content_key(t, "a", 1), content_key(t, "b", 1), content_key(t, "a", None)).first()

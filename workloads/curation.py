@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievecraft.functions.text import ngram_fingerprint, normalize, strip, strip_key
 from sievecraft.operators.dedup import dedup_report, keep_first
 from sievecraft.operators.quality import (
+    FUNNEL,
     file_report,
     filter_funnel,
     keep_verified,
@@ -17,7 +18,9 @@ from sievecraft.operators.quality import (
 )
 from sievecraft.operators.records import to_messages
 from sievecraft.plans.instructions import curate_instructions
-from sievecraft.plans.reasoning import curate_reasoning, profile_records
+from sievecraft.plans.reasoning import curate_counted, curate_reasoning, profile_records
+from sievecraft.session import shared_path
+from sievecraft.sources.corpus import read_corpus, read_prompt
 from workloads.tables import (
     SQL_BEST,
     SQL_CHAT_COLUMNS,
@@ -35,6 +38,7 @@ from workloads.tables import (
 # Fixed value: the system prompt of the chat records.
 SYSTEM_PROMPT = "You are an expert Python programmer. Solve the given coding task by providing a complete and correct Python solution enclosed in ```python``` code blocks."  # noqa: E501
 SEQ = ["doc_id"]
+SEQ_FILES, SHARDS = ["seq_file", "seq_row"], 4
 TIGHT_BUDGET = 700  # tokens; low enough for the budget test to reject some rows
 
 
@@ -65,8 +69,9 @@ def q_curate_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_instruction_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = curate_instructions(instruction_rows(spark, sf_dir), SEQ)
-    m = F.col("messages")
-    return to_messages(best, SYSTEM_PROMPT, "id").select(
+    m, path = F.col("messages"), shared_path(spark, "prompt")
+    spark.range(1).select(F.lit(f"\n  {SYSTEM_PROMPT} \n").alias("value")).write.text(path)
+    return to_messages(best, read_prompt(spark, path), "id").select(
         "id",
         m[0]["content"].alias("system_content"),
         m[1]["content"].alias("user_content"),
@@ -89,6 +94,18 @@ def q_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_id", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
+def q_corpus_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files: curated with the counters of the whole and of each file."""
+    path = shared_path(spark, "corpus")
+    shards = reasoning_rows(spark, sf_dir).withColumn("shard", F.col("doc_id") % SHARDS)
+    shards.repartition(SHARDS, "shard").write.partitionBy("shard").parquet(path)
+    corpus = read_corpus(spark, path, "part-*.parquet").withColumn("file_name", F.regexp_extract(SEQ_FILES[0], r"shard=(\d+)", 1))
+    counted = curate_counted(corpus, SEQ_FILES, shared_path(spark, "curated"), max_tokens=TIGHT_BUDGET)
+    records = counted.records.groupBy(F.regexp_extract(SEQ_FILES[0], r"shard=(\d+)", 1).alias("file_name")).agg(F.count("*").alias("records"))
+    whole = {name: counted.funnel.select(name).scalar() for name in FUNNEL}
+    return counted.files.join(records, "file_name", "left").withColumns(whole)
+
+
 def q_filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_funnel(reasoning_rows(spark, sf_dir), TIGHT_BUDGET)
 
@@ -143,6 +160,7 @@ QUERIES = {
     "file_report": q_file_report,
     "reject_reasons": q_reject_reasons,
     "filter_funnel": q_filter_funnel,
+    "corpus_of_files": q_corpus_of_files,
     "text_keys": q_text_keys,
     "dedup_keep_best": q_dedup_keep_best,
     "dedup_keep_first": q_dedup_keep_first,
@@ -190,6 +208,19 @@ ORACLE = {
                count(*) FILTER (WHERE reason = 'not_passed') AS not_passed,
                count(*) FILTER (WHERE reason = 'cot_too_long') AS cot_too_long,
                count(*) FILTER (WHERE reason = 'kept') AS passed_filter FROM r""",
+    "corpus_of_files": f"""WITH {sql_unique_verified(TIGHT_BUDGET)},
+        r AS (SELECT doc_id % {SHARDS} AS shard, {_REASON} AS reason FROM reasoning),
+        funnel AS (
+          SELECT count(*) AS total_rows,
+               count(*) FILTER (WHERE reason = 'not_verified') AS not_verified,
+               count(*) FILTER (WHERE reason = 'not_passed') AS not_passed,
+               count(*) FILTER (WHERE reason = 'cot_too_long') AS cot_too_long,
+               count(*) FILTER (WHERE reason = 'kept') AS passed_filter FROM r),
+        files AS (SELECT shard, count(*) FILTER (WHERE reason = 'kept') AS kept, count(*) AS total FROM r GROUP BY shard),
+        first_shard AS (SELECT min(doc_id % {SHARDS}) AS shard FROM keyed GROUP BY fingerprint),
+        records AS (SELECT shard, count(*) AS records FROM first_shard GROUP BY shard)
+        SELECT CAST(f.shard AS VARCHAR) AS file_name, kept, total, round(kept * 100.0::DOUBLE / total, 1) AS kept_percent,
+          records, funnel.* FROM files f LEFT JOIN records USING (shard), funnel""",
     "text_keys": f"""WITH {SQL_INSTRUCTIONS},
         worded AS (SELECT id, input, {sql_words('input')} AS w FROM instructions)
         SELECT id, CAST(length(trim(input, {SQL_WS})) AS BIGINT) AS stripped_length,
