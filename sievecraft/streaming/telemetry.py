@@ -20,7 +20,9 @@ class GateProcessor(StatefulProcessor):
 
     Steps count up from 0. A step that comes early waits in a buffer, keyed by step,
     until those before it are there. What comes after its turn, a repeat or a step given
-    up, is handed on as late, without average or decision.
+    up, is handed on as late, without average or decision. Runs that are not ``dense``
+    leave steps out: nothing waits, a batch is taken in order of step, and what a later
+    batch brings of earlier steps is late.
 
     With an event time, a step that stays away until the watermark is ``max_wait_ms``
     beyond the run's last record is taken for missing, and the buffered ones go on, as
@@ -28,7 +30,8 @@ class GateProcessor(StatefulProcessor):
     when the watermark is ``idle_ms`` beyond it. Without one they wait and stay.
     """
 
-    def __init__(self, names: tuple[str, str, str, str | None], mode: str, threshold: float, decay: float, head_warmup: int, max_wait_ms: int, idle_ms: int):
+    def __init__(self, names: tuple[str, str, str, str | None], mode: str, threshold: float, decay: float, head_warmup: int, dense: bool, max_wait_ms: int, idle_ms: int):
+        self.dense = dense
         self.names, self.mode, self.threshold, self.decay = names, mode, threshold, decay
         self.head_warmup, self.max_wait_ms, self.idle_ms, self.floor = head_warmup, max_wait_ms, idle_ms, EMA_FLOOR
 
@@ -41,7 +44,8 @@ class GateProcessor(StatefulProcessor):
         _, step, value, time = self.names
         state = self._load()
         due = state["next"]
-        for frame in rows:
+        # without a buffer for what comes early, the batch has to be sorted as a whole
+        for frame in rows if self.dense else [pd.concat([f[[c for c in self.names[1:] if c]] for f in rows])]:
             out: list[tuple] = []
             frame = frame.sort_values(step, kind="stable")
             if time:
@@ -49,7 +53,7 @@ class GateProcessor(StatefulProcessor):
             for at, x in zip(frame[step].tolist(), frame[value].tolist()):
                 if at < state["next"]:
                     out.append((at, x, None, None, True))
-                elif at == state["next"]:
+                elif at == state["next"] or not self.dense:
                     out.append(self._take(state, at, x))
                 elif self.early.containsKey((at,)):
                     out.append((at, x, None, None, True))
@@ -147,6 +151,7 @@ def stream_gate(
     threshold: float = GATE_THRESHOLD,
     decay: float = EMA_DECAY,
     head_warmup: int = 0,
+    dense: bool = True,
     event_time: str | None = None,
     delay: str = "1 hour",
     max_wait_ms: int = MAX_WAIT_MS,
@@ -169,7 +174,7 @@ def stream_gate(
         timed.select(*columns, *([event_time] if event_time else []))
         .groupBy(run)
         .transformWithStateInPandas(
-            GateProcessor((run, step, value, event_time), mode, threshold, decay, head_warmup, max_wait_ms, idle_ms),
+            GateProcessor((run, step, value, event_time), mode, threshold, decay, head_warmup, dense, max_wait_ms, idle_ms),
             f"`{run}` {types[run]}, `{step}` bigint, `{value}` double, ema double, gated boolean, late boolean",
             "Append",
             "EventTime" if event_time else "None",

@@ -239,7 +239,7 @@ class Clock:
 
 def test_a_missing_step_is_given_up_after_its_time():
     values = {0: 0.5, 1: 0.4, 3: 0.9, 4: 0.1, 7: 0.2}
-    processor, store = GateProcessor(("run", "step", "loss", "ts"), "dynamic", 1.5, 0.9, 0, 1000, 50000), Store()
+    processor, store = GateProcessor(("run", "step", "loss", "ts"), "dynamic", 1.5, 0.9, 0, True, 1000, 50000), Store()
     processor.init(store)
 
     def feed(steps, now):
@@ -263,6 +263,21 @@ def test_a_missing_step_is_given_up_after_its_time():
     assert expire(50900) == [] and store.value is None and store.map == {}
 
 
+def test_runs_that_leave_steps_out_do_not_wait():
+    values = {2: 0.5, 3: 0.1, 9: 0.9, 11: 0.2}
+    processor = GateProcessor(("run", "step", "loss", None), "dynamic", 1.5, 0.9, 0, False, 0, 0)
+    processor.init(Store())
+
+    def feed(*frames):
+        frames = [pd.DataFrame({"run": "r", "step": steps, "loss": [values.get(s, 7.0) for s in steps]}) for steps in frames]
+        return [r for part in processor.handleInputRows(("r",), iter(frames), None) for r in part.itertuples(index=False)]
+
+    rows = feed([9, 2], [3]) + feed([11])
+    assert [r.step for r in rows] == [2, 3, 9, 11] and not any(r.late for r in rows)
+    assert [(r.ema, r.gated) for r in rows] == [(pytest.approx(e), g) for e, g in zip(*gates([values[s] for s in sorted(values)], 0.9, "dynamic", 1.5, 0))]
+    assert [(r.step, r.late) for r in feed([9, 12])] == [(9, True), (12, False)]
+
+
 def test_gaps_close_with_the_watermark(spark, tmp_path):
     """Step 2 never comes; once later records of another run move the watermark, 3 and 4 are decided."""
     schema = "run string, step bigint, loss double, ts timestamp"

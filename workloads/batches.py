@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecraft.functions.labels import IGNORE_INDEX
@@ -123,10 +123,11 @@ def q_number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- batches ---------------------------------------------------------------
 
 
-def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_rows(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Documents as token arrays: the id of a word is its length, odd words are prompt."""
     w = F.col("w")
     docs = documents(spark, sf_dir, "source", "text")
+    docs = docs if only is None else docs.join(only, "doc_id", "left_semi")
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("w"))
     return rows.select(
         "doc_id",
@@ -145,19 +146,11 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The i-th good with the i-th bad document of a source; only the longer side has some left over.
 
-    Documents are numbered inside stretches of ids, plus the numbers before them, so no
-    task holds a source.
+    Ids are paired first; only the texts of pairs are read into tokens.
     """
     labels = table(spark, sf_dir, "labels").where("quality IN (0, 1)").select("doc_id", "quality")
-    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    known = sources.join(labels, "doc_id").withColumn("stretch", F.floor(F.col("doc_id") / 4096))
-    side_of = ["source", "quality"]
-    before = Window.partitionBy(*side_of).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    counts = known.groupBy(*side_of, "stretch").count()
-    counts = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy(*side_of, "stretch").orderBy("doc_id"))
-    numbered = known.withColumn("inside", inside).join(counts, [*side_of, "stretch"])
-    numbered = numbered.withColumn("i", F.col("before") + F.col("inside"))
+    sources = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source")
+    numbered = number_rows(sources.join(labels, "doc_id"), "doc_id", "i", by=["source", "quality"])
     ids = [
         numbered.where(F.col("quality") == q).select("source", "i", F.col("doc_id").alias(name))
         for q, name in ((1, "chosen_id"), (0, "rejected_id"))
@@ -167,7 +160,7 @@ def paired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def side(name: str, *extra: str) -> DataFrame:
         columns = [F.col("doc_id").alias(f"{name}_id"), *[F.col(f).alias(f"{name}_{f}") for f in fields]]
-        return token_rows(spark, sf_dir).select(*columns, *extra)
+        return token_rows(spark, sf_dir, both.select(F.col(f"{name}_id").alias("doc_id"))).select(*columns, *extra)
 
     chosen = side("chosen", "images", "videos", "audios")
     return both.join(chosen, "chosen_id").join(side("rejected"), "rejected_id")

@@ -325,13 +325,13 @@ ORACLE = {
         n AS (SELECT *, {_SQL_Z0} AS z0 FROM d),
         flow AS (SELECT vec_id, label, avg(power((t * z1 + (1 - t) * z0) - (z1 - z0), 2)) AS loss FROM n GROUP BY vec_id, label),
         pairs AS (SELECT a.vec_id, a.label, a.z1 AS x, b.z1 AS y FROM flat a JOIN flat b ON a.vec_id = b.vec_id AND b.j = a.j + 32),
-        both AS (
+        halves AS (
           SELECT vec_id, label, avg(power(x - y, 2)) AS mse,
             1 - sum(x * y) / (greatest(sqrt(sum(x * x)), 1e-8) * greatest(sqrt(sum(y * y)), 1e-8)) AS cosine
           FROM pairs GROUP BY vec_id, label),
         losses AS (
           SELECT 'flow_matching' AS metric, vec_id, label, loss FROM flow
-          UNION ALL SELECT 'mse', vec_id, label, mse FROM both UNION ALL SELECT 'cosine', vec_id, label, cosine FROM both)
+          UNION ALL SELECT 'mse', vec_id, label, mse FROM halves UNION ALL SELECT 'cosine', vec_id, label, cosine FROM halves)
         SELECT metric, CAST(label AS VARCHAR) AS "group", count(*) AS n,
           round(sum(loss * (vec_id % 5) / 4) / greatest(sum((vec_id % 5) / 4), 1.0), 7) AS loss
         FROM losses GROUP BY metric, label
