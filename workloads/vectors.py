@@ -211,7 +211,7 @@ def q_metric_by_name(spark, sf_dir) -> DataFrame:
     halves, parts = (F.slice(v, 1, 32), F.slice(v, 33, 32)), (F.slice(v, 1, 40), F.slice(v, 41, 24))
     compared = {"flow_matching": (F.col("z_t"), F.col("v")), "cosine": halves, "mse": halves, "cka": parts}
     losses = [
-        metric_loss(rows, name, *sides, ["vec_id"], by, weight).select(F.lit(name).alias("metric"), "group", "n", F.round("loss", 7).alias("loss"))
+        metric_loss(rows, name, *sides, ["vec_id"], by, weight).select(F.lit(name).alias("metric"), "group", "n", F.round("loss", 6).alias("loss"))
         for name, sides in compared.items()
     ]
     return functools.reduce(DataFrame.unionByName, losses)
@@ -333,9 +333,9 @@ ORACLE = {
           SELECT 'flow_matching' AS metric, vec_id, label, loss FROM flow
           UNION ALL SELECT 'mse', vec_id, label, mse FROM halves UNION ALL SELECT 'cosine', vec_id, label, cosine FROM halves)
         SELECT metric, CAST(label AS VARCHAR) AS "group", count(*) AS n,
-          round(sum(loss * (vec_id % 5) / 4) / greatest(sum((vec_id % 5) / 4), 1.0), 7) AS loss
+          round(sum(loss * (vec_id % 5) / 4) / greatest(sum((vec_id % 5) / 4), 1.0), 6) AS loss
         FROM losses GROUP BY metric, label
-        UNION ALL SELECT 'cka', "group", n, round(distance, 7) FROM ({_sql_cka("CAST(label AS VARCHAR)")})""",
+        UNION ALL SELECT 'cka', "group", n, round(distance, 6) FROM ({_sql_cka("CAST(label AS VARCHAR)")})""",
     "embed_texts": f"""WITH {_SQL_CUT}
         SELECT conv_id, turn, {_sql_ints('x', 'j')} AS vector FROM unit GROUP BY conv_id, turn""",
     "embed_incremental": f"""WITH {_SQL_HASH}
