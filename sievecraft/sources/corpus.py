@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -15,6 +16,14 @@ from sievecraft.functions.text import WHITESPACE
 SEQ = ("seq_file", "seq_row")
 
 
+def matching_folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Names of the folders in ``path`` that match ``pattern``; none where only files do."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    glob = hadoop.Path(f"{path}/{pattern}")
+    found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob)
+    return sorted(status.getPath().getName() for status in found or [] if status.isDirectory())
+
+
 def read_corpus(
     spark: SparkSession, path: str, pattern: str = "train-*.parquet", schema: StructType | str | None = None
 ) -> DataFrame:
@@ -22,14 +31,20 @@ def read_corpus(
 
     Adds ``file_name`` and the two ``SEQ`` columns. The row position is the one
     stored in the file, so it does not depend on how files are split over tasks.
-    With ``schema``, a column some file lacks reads as null.
+    With ``schema``, a column some file lacks reads as null. A match may be a folder of
+    part files, as Spark writes a table: its name is the ``file_name`` of all its rows.
     """
-    reader = spark.read.option("pathGlobFilter", pattern)
+    folders = matching_folders(spark, path, pattern)
+    reader = spark.read if folders else spark.read.option("pathGlobFilter", pattern)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(path).select(
+    name = F.col("_metadata.file_name")
+    if folders:
+        folder = F.regexp_extract("_metadata.file_path", f".*/({'|'.join(map(re.escape, folders))})/", 1)
+        name = F.when(folder == "", name).otherwise(folder)
+    return reader.parquet(f"{path}/{pattern}" if folders else path).select(
         "*",
-        F.col("_metadata.file_name").alias("file_name"),
+        name.alias("file_name"),
         F.col("_metadata.file_path").alias(SEQ[0]),
         F.col("_metadata.row_index").alias(SEQ[1]),
     )

@@ -16,6 +16,7 @@ from sievecraft.operators.reshape import (
 )
 from sievecraft.sources.corpus import SEQ, read_corpus, read_if_exists, read_jsonl, read_prompt
 from sievecraft.sources.sinks import write_json_array, write_jsonl
+from workloads.batches import q_corpus_scan, q_optional_column_scan
 
 
 def test_corpus_scan(spark, tmp_path):
@@ -32,6 +33,17 @@ def test_corpus_scan(spark, tmp_path):
     assert extra.count() == 15 and extra.where("starter_code IS NOT NULL").count() == 0
 
 
+def test_a_corpus_file_may_be_a_folder_of_parts(spark, tmp_path):
+    for i, n in enumerate((5, 3)):
+        spark.range(i * 5, i * 5 + n).selectExpr("id AS doc_id", "repeat('x', cast(id AS int)) AS text").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    rows = read_corpus(spark, str(tmp_path), "documents*.parquet")
+    assert sorted((r.doc_id, r.file_name) for r in rows.collect()) == [(i, "documents.parquet") for i in range(8)]
+    assert q_optional_column_scan(spark, str(tmp_path)).count() == 8
+    scan = q_corpus_scan(spark, str(tmp_path)).collect()
+    assert sorted(r.seq_row for r in scan) == list(range(8)) and {r.file_name for r in scan} == {"documents.parquet"}
+    assert all(r.text_length == r.doc_id for r in scan)
+
+
 def test_jsonl(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([("é漢", None), ("b\n", "x")], "a string, b string")

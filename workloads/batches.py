@@ -27,6 +27,7 @@ from sievecraft.operators.reshape import (
 from sievecraft.plans.instructions import curate_instructions, export_instructions
 from sievecraft.plans.reasoning import curate_reasoning, export_reasoning
 from sievecraft.session import shared_path
+from sievecraft.sources.corpus import SEQ as SCAN
 from sievecraft.sources.corpus import read_corpus, read_jsonl
 from sievecraft.sources.sinks import json_array_text
 from workloads.curation import SEQ, SYSTEM_PROMPT, flat_chat
@@ -50,8 +51,11 @@ BATCH = 16
 
 
 def q_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are numbered through all parts of a table."""
     rows = read_corpus(spark, sf_dir, "documents*.parquet")
-    return rows.select("file_name", "seq_row", "doc_id", F.length("text").cast("long").alias("text_length"))
+    scan = rows.select("file_name", *SCAN, "doc_id", F.length("text").cast("long").alias("text_length"))
+    numbered = number_rows(scan, SCAN, "row", by=["file_name"])
+    return numbered.select("file_name", F.col("row").alias("seq_row"), "doc_id", "text_length")
 
 
 def q_optional_column_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
