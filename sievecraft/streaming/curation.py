@@ -12,17 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sievecraft.sources.corpus import matching_folders
+
 
 def stream_corpus(
     spark: SparkSession, path: str, schema: StructType | str, pattern: str = "train-*.parquet", files_per_trigger: int = 1000
 ) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
-    )
+    """Parquet files of a folder as they arrive.
+
+    Where folders of part files match ``pattern`` when the stream starts, their files are
+    taken, and those of matches that come later.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if matching_folders(spark, path, pattern):
+        return reader.parquet(f"{path}/{pattern}")
+    return reader.option("pathGlobFilter", pattern).parquet(path)
 
 
 def stream_keep_first(df: DataFrame, key: Column, event_time: str | None = None, delay: str = "1 day") -> DataFrame:

@@ -15,6 +15,7 @@ from sievecraft.streaming.telemetry import GateProcessor, stream_gate
 from sievecraft.streaming.winners import merge_winners, upsert_winners, winners
 from tests.test_curation import REASONING, instruction_df
 from tests.test_telemetry import gates
+from workloads.streams import q_stream_gate, q_stream_gate_disordered
 
 
 def drain(spark, df, name):
@@ -38,6 +39,30 @@ def test_stateless_stages_take_a_stream(spark, tmp_path):
     assert sorted(r.id for r in got) == sorted(r.id for r in to_chat_records(keep_verified(df)).collect())
 
 
+def test_a_stream_of_a_table_that_is_a_folder(spark, tmp_path):
+    df = spark.range(30).select(F.col("id").alias("seq"), F.lit("t").alias("t"))
+    write_files(df, str(tmp_path / "documents.parquet"), 3)
+    stream = stream_corpus(spark, str(tmp_path), df.schema, "documents*.parquet", files_per_trigger=1)
+    assert sorted(r.seq for r in drain(spark, stream, "foldered")) == list(range(30))
+
+
+def test_the_gate_queries_need_no_setting_of_the_session(spark, tmp_path):
+    """Without one Spark keeps state where the gate cannot."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    events = spark.range(64).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id", "if(id % 8 < 4, 'a', 'b') AS event_type", "id * 1.0 AS value", "'{\"k\": 1}' AS props"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.unset(name)
+    try:
+        assert q_stream_gate(spark, str(tmp_path)).count() == 64
+        assert q_stream_gate_disordered(spark, str(tmp_path)).count() == 64
+        assert "HDFSBacked" in spark.conf.get(name)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_keep_first_per_key_across_batches(spark, tmp_path):
     df = spark.range(60).select(F.col("id").alias("seq"), (F.col("id") % 7).cast("string").alias("t"))
     write_files(df, str(tmp_path / "in"), 4)
