@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievecraft.functions.dictionary import DICTIONARY_BYTES, token_dictionary
+from sievecraft.functions.dictionary import token_dictionary
 from sievecraft.functions.labels import (
     IGNORE_INDEX,
     MIN_SUFFIX_TOKENS,
@@ -23,10 +23,14 @@ from sievecraft.functions.labels import (
     suffix_ids,
     window_key,
 )
-from sievecraft.functions.text import is_blank
+from sievecraft.functions.text import is_blank, let
 from sievecraft.operators.skew import join_unique
+from sievecraft.session import stored
 
 LABELS, PIECES = "labels", "pieces"
+# Of a vocabulary that is looked up in the row. As a constant it is in every copy of the
+# plan and in every task: one of 10 MB takes the driver more than 1.5 GB.
+PLAN_BYTES = 1 << 20
 
 
 def _visible(df: DataFrame) -> Column | None:
@@ -40,15 +44,16 @@ def response_tokens(df: DataFrame, sample: Sequence[str]) -> DataFrame:
     return exploded.where(F.col("token_id") != IGNORE_INDEX)
 
 
-def with_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str], limit: int = DICTIONARY_BYTES) -> DataFrame:
+def with_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str], limit: int = PLAN_BYTES) -> DataFrame:
     """(sample, labels, pieces): each response token's text at its position, else null.
 
     Special tokens have no text. A vocabulary of up to ``limit`` bytes is looked up in
-    the row, and no token moves; a larger one is joined.
+    the row, and no token moves; a larger one is joined, and the rows are written to the
+    shared folder, so that what reads them again does not join again.
     """
     dictionary = token_dictionary(vocabulary, limit)
     if dictionary is None:
-        return joined_pieces(df, vocabulary, sample)
+        return stored(joined_pieces(df, vocabulary, sample), "pieces")
     pieces = F.transform(LABELS, lambda x: F.when(x != IGNORE_INDEX, dictionary.piece(x)))
     return df.select(*sample, LABELS, pieces.alias(PIECES))
 
@@ -56,24 +61,41 @@ def with_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str], lim
 def joined_pieces(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str]) -> DataFrame:
     """``with_pieces`` for a vocabulary of any size.
 
-    Every token meets the vocabulary once. Frequent tokens are hot keys of that join
-    and are salted there; prompt positions have no key at all.
+    Every response token meets the vocabulary once. Frequent tokens are hot keys of that
+    join and are salted there; prompt positions stay behind and are put back as the gaps
+    between the others. Rows that share a ``sample`` are told apart by their labels;
+    equal ones go as one and are repeated at the end.
     """
-    exploded = df.select(*sample, F.posexplode_outer(LABELS).alias("pos", "label"))
-    tokens = exploded.withColumn("token_id", F.when(F.col("label") != IGNORE_INDEX, F.col("label")))
-    pieces = vocabulary.select("token_id", F.when(~F.col("is_special"), F.col("piece")).alias("piece"))
-    joined = join_unique(tokens, pieces, "token_id", [*sample, "pos"])
-    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "label", "piece"))
-    rows = F.sort_array(F.collect_list(entry))
-    return (
-        joined.groupBy(*sample)
-        .agg(rows.alias("_rows"))
-        .select(
-            *sample,
-            F.transform("_rows", lambda r: r["label"]).alias(LABELS),
-            F.transform("_rows", lambda r: r["piece"]).alias(PIECES),
-        )
+    kind = df.schema[LABELS].dataType.elementType
+    row = [*sample, "_row"]
+    tokens = F.filter(
+        F.transform(LABELS, lambda x, i: F.struct(i.alias("pos"), x.alias("label"))), lambda t: ~t["label"].eqNullSafe(IGNORE_INDEX)
     )
+    long = df.select(*sample, F.xxhash64(LABELS).alias("_row"), F.size(LABELS).alias("_length"), F.explode_outer(tokens).alias("_token"))
+    keyed = long.select(*row, "_length", "_token.pos", F.col("_token.label").alias("token_id"))
+    texts = vocabulary.select("token_id", F.when(~F.col("is_special"), F.col("piece")).alias("piece"))
+    joined = join_unique(keyed, texts, "token_id", [*row, "pos"]).repartition(*row)
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id", "piece"))
+    grouped = joined.groupBy(*row).agg(
+        F.sort_array(F.collect_set(entry)).alias("_tokens"), F.max("_length").alias("_length"), F.count(F.lit(1)).alias("_n")
+    )
+
+    def filled(found: Column, name: str, gap: Column) -> Column:
+        def at(t: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(-1)).otherwise(F.get(found, i - 1)["pos"])
+            return F.concat(F.array_repeat(gap, t["pos"] - before - 1), F.array(t[name]))
+
+        last = F.when(F.size(found) > 0, F.get(found, F.size(found) - 1)["pos"]).otherwise(F.lit(-1))
+        return F.concat(F.flatten(F.transform(found, at)), F.array_repeat(gap, F.col("_length") - last - 1))
+
+    def rebuilt(found: Column) -> Column:
+        labels = filled(found, "token_id", F.lit(IGNORE_INDEX).cast(kind))
+        pieces = filled(found, "piece", F.lit(None).cast("string"))
+        copies = F.expr("_n").cast("double") / F.greatest(F.size(found), F.lit(1))
+        whole = F.when(F.col("_length") >= 0, F.struct(labels.alias(LABELS), pieces.alias(PIECES)))
+        return F.array_repeat(whole, copies.cast("int"))
+
+    return grouped.select(*sample, F.explode(let(F.col("_tokens"), rebuilt)).alias("_whole")).select(*sample, f"_whole.{LABELS}", f"_whole.{PIECES}")
 
 
 def decode_responses(df: DataFrame, vocabulary: DataFrame, sample: Sequence[str], sep: str = "") -> DataFrame:

@@ -189,3 +189,13 @@ def test_joined_pieces_are_exact_with_salted_hot_tokens(spark):
         test_pieces_and_window_texts(spark, joined_pieces)
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_large_vocabulary_stays_out_of_the_plan(spark):
+    """Beyond a size that a plan can carry it is joined, once, and rows that repeat stay as they are."""
+    vocab = spark.range(60000).select(F.col("id").alias("token_id"), F.concat(F.lit("w"), "id").alias("piece"), F.lit(False).alias("is_special"))
+    rows = [(1, [IGNORE, 5, IGNORE, IGNORE, 7, IGNORE]), (1, [9]), (1, [9]), (None, [3, 70000]), (2, [IGNORE, IGNORE]), (3, []), (4, None), (5, [None, 8])]
+    pieced = with_pieces(spark.createDataFrame(rows, "id int, labels array<int>"), vocab, ["id"])
+    assert "w59999" not in plan_of(pieced) and "Join" not in plan_of(pieced)
+    expected = [(i, x, x and [None if t in (None, IGNORE, 70000) else f"w{t}" for t in x] if x else x) for i, x in rows]
+    assert sorted(map(repr, ((r.id, r.labels, r.pieces) for r in pieced.collect()))) == sorted(map(repr, expected))
