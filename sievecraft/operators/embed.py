@@ -5,21 +5,28 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sievecraft.functions.ordering import seeded_normal_vector, seeded_uniform
 from sievecraft.functions.vectors import doubles, interpolate, l2_normalize, velocity, zero_vector
 from sievecraft.operators.skew import join_unique
+from sievecraft.session import stored
 from sievecraft.sources.commits import CommitLog
 
 # Fixed values.
 MAX_LENGTH = 512
 BATCH_SIZE = 512
 TOKEN_BUDGET = 1 << 16  # padded tokens of a batch
+BLOCK_TOKENS = 1 << 18  # tokens whose vectors a task holds at once
+POOL_ROWS = 1 << 15  # vectors that are added up in one step
 
 KEY = "content_key"
 VECTOR = "embedding"
@@ -195,17 +202,64 @@ def mean_pool(df: DataFrame, by: Sequence[str], vector: str, weight: str | None
     return used.groupBy(*by).agg(vector_to_array(mean).alias("pooled"))
 
 
+def _pool_blocks(sample: Sequence[str], key: str, vector: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The mean vector of each sample of a block, from the vectors that the block needs."""
+
+    def pool(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([*(left.schema.field(c) for c in sample), pa.field("pooled", pa.list_(pa.float64()))])
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        lists = pa.chunked_array(right[vector].chunks).combine_chunks()
+        sizes = pc.unique(lists.value_lengths()).to_pylist()
+        if len(sizes) > 1 or sizes[0] is None:
+            raise ValueError(f"vectors of different lengths: {sizes}")
+        width = sizes[0]
+        names = pa.chunked_array(right[key].chunks).combine_chunks().dictionary_encode()
+        at = names.indices.to_numpy()
+        times = np.bincount(at, minlength=len(names.dictionary)).astype(np.float64)
+        sums = np.zeros((len(times), width))  # of the vectors of a key; more than one if the table repeats it
+        np.add.at(sums, at, lists.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width))
+        keys = pa.chunked_array(left["_keys"].chunks).combine_chunks()
+        code = pc.index_in(keys.flatten(), value_set=names.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False))[code >= 0]
+        code = code[code >= 0]
+        held, start = np.unique(owner, return_index=True)
+        pooled = np.zeros((len(held), width))
+        ends = np.append(start[1:], len(code))
+        first = 0
+        while first < len(held):
+            last = max(first + 1, int(np.searchsorted(ends, start[first] + POOL_ROWS, "right")))
+            low, high = start[first], ends[last - 1]
+            pooled[first:last] = np.add.reduceat(sums[code[low:high]], start[first:last] - low, axis=0)
+            first = last
+        if len(held):
+            pooled /= np.add.reduceat(times[code], start)[:, None]
+        offsets = pa.array(np.arange(len(held) + 1) * width, pa.int32())
+        columns = [left[c].take(pa.array(held)) for c in sample]
+        columns.append(pa.ListArray.from_arrays(offsets, pa.array(pooled.ravel())))
+        return pa.Table.from_arrays(columns, schema=out)
+
+    return pool
+
+
 def table_encode(
     tokens: DataFrame, vectors: DataFrame, sample: Sequence[str], key: str, dim_vector: str = VECTOR
 ) -> DataFrame:
     """(sample, embedding): unit mean of the table vectors of a sample's tokens.
 
-    Repeats of a token within a sample are counted before vectors come in, so
-    the join and the pooling see each (sample, token) once.
+    Samples are dealt in their order to blocks of about ``BLOCK_TOKENS`` tokens, and each
+    block gets every vector it needs once, however many of its samples and tokens have
+    it: what moves are keys, and vectors by block, never a vector for each token.
     """
-    counted = tokens.groupBy(*sample, key).agg(F.count(F.lit(1)).alias("_n"))
-    joined = join_unique(counted, vectors.select(key, dim_vector), key, [*sample, key], how="inner")
-    pooled = mean_pool(joined, sample, dim_vector, "_n")
+    kind = tokens.select(key).union(vectors.select(key)).schema[0].dataType
+    rows = stored(tokens.groupBy(*sample).agg(F.collect_list(F.col(key).cast(kind)).alias("_keys")), "token-rows")
+    total = rows.agg(F.sum(F.size("_keys"))).first()[0] or 0
+    blocks = rows.repartitionByRange(-(-total // BLOCK_TOKENS) or 1, *sample).withColumn("_block", F.spark_partition_id())
+    dealt = stored(blocks, "token-blocks")
+    needed = dealt.select(F.col("_block").alias("_of"), F.explode(F.array_distinct("_keys")).alias(key)).distinct()
+    found = needed.join(vectors.select(F.col(key).cast(kind).alias(key), dim_vector), key)
+    schema = StructType([*rows.select(*sample).schema, StructField("pooled", ArrayType(DoubleType()))])
+    pooled = dealt.groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(_pool_blocks(sample, key, dim_vector), schema)
     return pooled.select(*sample, l2_normalize(F.col("pooled")).alias(VECTOR))
 
 
@@ -228,9 +282,13 @@ def mean_over_positions(loads: DataFrame, lengths: DataFrame, vectors: DataFrame
 
     ``loads`` has the number of positions that each anchor serves; positions without a
     target and prompt positions count as zero vectors. A vector is weighted by that
-    number instead of being copied.
+    number instead of being copied, and moves once, to the place of its sample.
     """
-    joined = loads.where("n > 0").join(vectors.withColumnRenamed("pos", "src_pos"), [*sample, "src_pos"])
+    anchor = [*sample, "src_pos"]
+    numbers = loads.where("n > 0").select(*anchor, "n", F.lit(None).cast(vectors.schema[VECTOR].dataType).alias(VECTOR))
+    both = numbers.unionByName(vectors.select(*sample, F.col("pos").alias("src_pos"), F.lit(None).cast("bigint").alias("n"), VECTOR))
+    met = both.dropna(subset=anchor).repartition(*sample).groupBy(*anchor).agg(F.sum("n").alias("n"), F.collect_list(VECTOR).alias("_all"))
+    joined = met.where("n IS NOT NULL").select(*sample, "n", F.explode("_all").alias(VECTOR))
     weighted = Summarizer.sum(array_to_vector(doubles(F.col(VECTOR))), F.col("n").cast("double"))
     sums = joined.groupBy(*sample).agg(vector_to_array(weighted).alias("_sum"))
     filled = lengths.join(sums, list(sample), "left").withColumn("_sum", F.coalesce("_sum", zero_vector(dim)))

@@ -164,6 +164,27 @@ def test_table_encode_and_zero_vectors(spark):
     assert got["a"] == pytest.approx(unit(2.0, 4 / 3)) and got["b"] == [0.0, 1.0] and got["c"] == [0.0, 0.0]
 
 
+def test_table_encode_in_blocks_equals_the_join(spark, monkeypatch):
+    """Small blocks, repeated and unknown keys, keys the table repeats: no vector is moved for each token."""
+    monkeypatch.setattr("sievecraft.operators.embed.BLOCK_TOKENS", 50)
+    monkeypatch.setattr("sievecraft.operators.embed.POOL_ROWS", 7)
+    rng = random.Random(3)
+    table = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in [*range(40), 3, 3]]
+    tokens = [(rng.choice([None, 0, 1]), s, rng.choice([None, *range(45)])) for s in range(60) for _ in range(rng.randint(1, 20))] + [(2, 1, 44)]
+    frame = spark.createDataFrame(tokens, "a int, s int, vec_id bigint")
+    encoded = table_encode(frame, spark.createDataFrame(table, "vec_id int, embedding array<float>"), ["a", "s"], "vec_id")
+    sums = {}
+    for a, s, k in tokens:
+        for name, v in table:
+            if name == k:
+                sums.setdefault((a, s), []).append(v)
+    expected = {x: unit(*(sum(c) / len(v) for c in zip(*v))) for x, v in sums.items()}
+    got = {(r.a, r.s): list(r.embedding) for r in encoded.collect()}
+    assert set(got) == set(expected) and (2, 1) not in got
+    assert all(got[x] == pytest.approx(expected[x], abs=1e-6) for x in got)
+    assert "Summarizer" not in encoded._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mean_over_positions_divides_by_the_full_length(spark):
     loads = spark.createDataFrame([("a", 1, 2), ("a", 4, 1), ("a", 7, 0)], "s string, src_pos int, n long")
     lengths = spark.createDataFrame([("a", 10), ("b", 3), ("c", 0)], "s string, length int")
