@@ -98,7 +98,7 @@ def q_corpus_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several files: curated with the counters of the whole and of each file."""
     path = shared_path(spark, "corpus")
     shards = reasoning_rows(spark, sf_dir).withColumn("shard", F.col("doc_id") % SHARDS)
-    shards.repartition(SHARDS, "shard").write.partitionBy("shard").parquet(path)
+    shards.write.partitionBy("shard").parquet(path)  # every task adds a file to each shard: none holds a whole one
     corpus = read_corpus(spark, path, "part-*.parquet").withColumn("file_name", F.regexp_extract(SEQ_FILES[0], r"shard=(\d+)", 1))
     counted = curate_counted(corpus, SEQ_FILES, shared_path(spark, "curated"), max_tokens=TIGHT_BUDGET)
     records = counted.records.groupBy(F.regexp_extract(SEQ_FILES[0], r"shard=(\d+)", 1).alias("file_name")).agg(F.count("*").alias("records"))
