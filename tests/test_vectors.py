@@ -29,6 +29,7 @@ from sievecraft.operators.embed import (
 from sievecraft.operators.skew import fits_broadcast, hot_keys, join_unique
 from sievecraft.session import shared_path
 from sievecraft.sources.commits import CommitLog
+from workloads.vectors import q_embed_texts
 
 
 def length_encoder(log=None):
@@ -374,3 +375,10 @@ def gram_cka(x, y):
     x, y = x - x.mean(axis=0), y - y.mean(axis=0)
     k, m = x @ x.T, y @ y.T
     return hsic(k, m) / (np.sqrt(max(hsic(k, k) * hsic(m, m), 1e-8)) + 1e-8)
+
+
+def test_embed_texts_reads_whole_texts(spark, tmp_path):
+    """Two texts that differ in their last word only, far behind the first forty."""
+    rows = [(0, 0, "user", "a " * 60 + "b"), (0, 1, "user", "a " * 60 + "c")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert len({r.vector for r in q_embed_texts(spark, str(tmp_path)).collect()}) == 2

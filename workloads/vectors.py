@@ -45,7 +45,6 @@ from workloads.targets import (
 DIM = 64
 HASH_DIM = 16
 HASH_NAME = "hash16"
-MAX_WORDS = 40  # of a text that ``embed_texts`` encodes
 
 
 def make_hash_encoder():
@@ -78,7 +77,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_embed_texts(spark, sf_dir) -> DataFrame:
-    vector = encode_texts(F.col("text"), make_hash_encoder(), HASH_DIM, max_len=MAX_WORDS, token_budget=2048)
+    vector = encode_texts(F.col("text"), make_hash_encoder(), HASH_DIM, max_len=None, token_budget=2048)
     return turns(spark, sf_dir).select(*SAMPLE, as_ints(vector).alias("vector"))
 
 
@@ -313,10 +312,6 @@ SELECT g AS "group", n, round(cka, 8) AS cka, round(1 - cka, 8) AS distance FROM
 
 
 _SQL_Z0 = f"""sqrt(-2 * ln({_SQL_UNIT.format('substr(h, 1, 8)')})) * cos(2 * pi() * {_SQL_UNIT.format('substr(h, 9, 8)')})"""
-_SQL_CUT = _sql_hash(
-    "(SELECT * EXCLUDE (text), text AS whole, list_aggregate(" + sql_words("text") + f"[:{MAX_WORDS}], 'string_agg', ' ') AS text FROM conversations)",
-    "conv_id, turn",
-)
 
 ORACLE = {
     "metric_by_name": f"""WITH flat AS (
@@ -336,7 +331,7 @@ ORACLE = {
           round(sum(loss * (vec_id % 5) / 4) / greatest(sum((vec_id % 5) / 4), 1.0), 6) AS loss
         FROM losses GROUP BY metric, label
         UNION ALL SELECT 'cka', "group", n, round(distance, 6) FROM ({_sql_cka("CAST(label AS VARCHAR)")})""",
-    "embed_texts": f"""WITH {_SQL_CUT}
+    "embed_texts": f"""WITH {_SQL_HASH}
         SELECT conv_id, turn, {_sql_ints('x', 'j')} AS vector FROM unit GROUP BY conv_id, turn""",
     "embed_incremental": f"""WITH {_SQL_HASH}
         SELECT DISTINCT content_key, vector FROM (
