@@ -237,6 +237,22 @@ def test_op7_finds_edited_passages(spark):
     assert len(edited) > 120 and {x - i for x in edited for i in (0, 1)} <= got
 
 
+def test_op7_finds_passages_whose_parts_are_swapped(spark):
+    """Every cut of a passage that leaves it similar enough; no chain of one diagonal has it."""
+    rng = random.Random(7)
+    rows, swapped = [], []
+    for size in (50, 60, 76, 90):
+        for cut in range(5, size - 4, 3):
+            base, n = _words(rng, size), len(rows)
+            new = base[cut:] + base[:cut]
+            rows += [(n + i, " ".join(_words(rng, 30 + i) + w + _words(rng, 20))) for i, w in enumerate((base, new))]
+            a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (base, new))
+            if len(a & b) >= 0.8 * len(a | b):
+                swapped.append(n + 1)
+    got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(swapped) > 70 and {(x, x - 1) for x in swapped} | {(x - 1, x) for x in swapped} <= got
+
+
 def test_op7_finds_passages_beside_a_line_of_the_first_document(spark):
     """The first document has a line of 40 words twice; others share longer passages around it, exact or edited."""
     rng = random.Random(6)
