@@ -241,12 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for y, limit in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    ids = [(r[0], int(r[1])) for r in chosen.collect()]
-    spark = docs.sparkSession
+    picked = stored(chosen.withColumn("y", F.col("y").cast("int")), "chosen")  # rows made from a list would start Python workers
     none = Model(np.zeros(1 << 20, np.float32), 0.0, np.zeros(4), -40.0)
-    if len({y for _, y in ids}) < 2:
+    if picked.select("y").distinct().count() < 2:
         return none
-    picked = spark.createDataFrame(ids, f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, y int")
     sample = docs.select(doc_id, text).where(F.col(text).isNotNull()).join(F.broadcast(picked), doc_id)
     sample = stored(sample.select(F.col(text).alias("text"), "y"), "labelled")
     # words in the sense of ``letters`` that matter for the list: runs without white space, letters only
@@ -268,7 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return none
     weights, bias = train_words(up, down)
     model = Model(weights, bias, np.zeros(4), 0.0)
-    rows = sample.select(_applied("array<double>", F.col("text"), model).alias("x"), "y").where("NOT isnan(x[0])").collect()
+    # a filter on x would be pushed below it and run the function twice in each task, in two Python workers
+    rows = sample.select(_applied("array<double>", F.col("text"), model).alias("x"), "y").collect()
+    rows = [r for r in rows if not np.isnan(r.x[0])]
     model.slopes, model.offset = _curve(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))
     return model
 

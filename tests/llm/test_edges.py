@@ -191,3 +191,21 @@ def test_token_files(spark, docs):
     assert all(r.n_tokens == 1 for r in out if r.doc_id in (1, 2))
     none = token_files.write_token_files(docs.limit(0), path, bpe.tokenizer_path("byte_bpe_50k.json"))
     assert token_files.read_token_files(none).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_toxicity_scores_training_texts_once(spark, monkeypatch):
+    texts = [(i, f"you are a nasty moron number{i}" if i % 2 else f"what a fine morning number{i}") for i in range(40)]
+    docs = spark.createDataFrame([*texts, (40, "..."), (41, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, toxic int")
+    collect, plans, kept = type(docs).collect, [], toxicity.stored
+    monkeypatch.setattr(type(docs), "collect", lambda df: (plans.append(_plan(df)), collect(df))[1])
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: (plans.append(_plan(df)) if name == "chosen" else None, kept(df, name))[1])
+    model = toxicity.train(docs, labels)
+    assert [p.count("ArrowEvalPython") for p in plans if "ArrowEvalPython" in p] == [1]
+    assert any("TakeOrdered" in p for p in plans)  # the chosen ids stay in Spark
+    scored = dict(collect(docs.select("doc_id", toxicity.toxicity(F.col("text"), model))))
+    assert all((scored[i] >= toxicity.THRESHOLD) == (i % 2 == 1) for i in range(40)) and scored[40] == scored[41] == 0
