@@ -209,3 +209,22 @@ def test_toxicity_scores_training_texts_once(spark, monkeypatch):
     assert any("TakeOrdered" in p for p in plans)  # the chosen ids stay in Spark
     scored = dict(collect(docs.select("doc_id", toxicity.toxicity(F.col("text"), model))))
     assert all((scored[i] >= toxicity.THRESHOLD) == (i % 2 == 1) for i in range(40)) and scored[40] == scored[41] == 0
+
+
+def test_windows_of_one_document_are_not_kept(spark, monkeypatch):
+    kept, rows = compact_windows.stored, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(compact_windows, "stored", counted)
+    own = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(3)]
+    alone = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    assert compact_windows.repeated_passages(alone).count() == 0 and rows["windows"] == 0
+    rows.clear()
+    shared = " ".join(f"s{j}" for j in range(60))
+    both = spark.createDataFrame([(i, f"{t} {shared}" if i < 2 else t) for i, t in enumerate(own)], "doc_id long, text string")
+    found = {(r.doc_id, r.start, r.end, r.other_id) for r in compact_windows.repeated_passages(both).collect()}
+    assert found == {(0, 200, 260, 1), (1, 200, 260, 0)} and 0 < rows["windows"] < 50
