@@ -253,6 +253,46 @@ def test_op7_finds_passages_whose_parts_are_swapped(spark):
     assert len(swapped) > 70 and {(x, x - 1) for x in swapped} | {(x - 1, x) for x in swapped} <= got
 
 
+def test_windows_of_all_texts_of_a_batch_are_those_of_each():
+    rng = random.Random(8)
+    line = _words(rng, 12)
+    texts = [[], _words(rng, 3), _words(rng, 49), _words(rng, 50), line * 20, _words(rng, 400), line * 9 + _words(rng, 90) + line * 9, ["a"] * 200]
+    words, first, _, _ = shingles.word_hashes([" ".join(t).encode() for t in texts])
+
+    def rows(owner, keys, functions, times, places):
+        ends = np.cumsum(times)
+        return sorted((int(o), int(k), int(f), tuple(places[e - n : e].tolist())) for o, k, f, n, e in zip(owner, keys, functions, times, ends))
+
+    got = rows(*compact_windows.filed_windows(words, first, 5, 50, 25, 2))
+    want = []
+    for i in range(len(texts)):
+        own = words[first[i] : first[i + 1]]
+        want += [(i, *r[1:]) for r in rows(*compact_windows.filed_windows(own, np.array([0, len(own)]), 5, 50, 25, 2))]
+        if len(own) >= 50:  # and the places are those of the tree, where words beside them fit
+            runs, _ = shingles.run_hashes(own, np.array([0, len(own)]), 5)
+            for f in range(2):
+                tree = {c for _, c, _ in compact_windows.compact_windows(shingles.mix(runs ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (1 << 64) - 1)), 21)}
+                filed = {c for o, _, g, p in got if (o, g) == (i, f) for c in p}
+                assert filed <= tree and (i not in (3, 5) or {c for c in tree if 10 <= c <= len(own) - 15} <= filed)
+    assert got == sorted(want) and {o for o, *_ in got} == {3, 4, 5, 6, 7}
+
+
+def test_repeated_lines_are_matched_in_few_steps():
+    """Two texts made of one line of 30 words, in other pieces: many parts, all of the same runs."""
+    import cProfile
+    import pstats
+
+    rng = random.Random(9)
+    line = _words(rng, 30)
+    texts = [" ".join(sum((line + _words(rng, 9 + i) for _ in range(20)), [])).encode() for i in range(2)]
+    words, first, _, _ = shingles.word_hashes(texts)
+    a, b = words[: first[1]], words[first[1] :]
+    shifts = sorted({int(i - k) for i in np.flatnonzero(a == a[0]) for k in np.flatnonzero(b == a[0])})
+    calls = cProfile.Profile()
+    assert calls.runcall(compact_windows.reordered_on, a, b, shifts, [], 5, 50, 0.8) == []
+    assert pstats.Stats(calls).total_calls < 1000 * len(shifts)
+
+
 def test_op7_finds_passages_beside_a_line_of_the_first_document(spark):
     """The first document has a line of 40 words twice; others share longer passages around it, exact or edited."""
     rng = random.Random(6)
