@@ -293,6 +293,34 @@ def test_repeated_lines_are_matched_in_few_steps():
     assert pstats.Stats(calls).total_calls < 1000 * len(shifts)
 
 
+def test_files_are_compared_only_where_a_passage_may_be():
+    """The look at runs rejects no pair of windows that has a passage, and most that share lines in another order."""
+    rng = random.Random(10)
+    hashed = lambda t: shingles.word_hashes([" ".join(t).encode()])[0]
+    base, lines = _words(rng, 205), [_words(rng, 15) for _ in range(12)]
+    pairs = []
+    for edits in range(40):
+        other = list(base)
+        for _ in range(edits):
+            place = rng.randrange(len(other))
+            other[place : place + rng.randrange(2)] = _words(rng, rng.randrange(2))
+        pairs.append((hashed(base), hashed([*base[:95], *other[95:]][:205])))
+    for _ in range(40):
+        mixed = [sum(rng.sample(lines, 12), []) for _ in range(2)]
+        pairs.append(tuple(hashed([*_words(rng, 10), *m[:90], *lines[0], *m[90:]][:205]) for m in mixed))
+    kept = []
+    for own, centre in pairs:
+        rows = np.zeros((2, 201), np.uint16)
+        for row, words in zip(rows, (own, centre)):
+            runs, _ = shingles.run_hashes(words, np.array([0, len(words)]), 5)
+            row[: len(runs)] = runs % np.uint64(65535) + np.uint64(1)
+        may = compact_windows._may_have_passage(rows[:1], rows[1], 100, 5, 50, 0.8)[0]
+        found = any(p[0] <= 100 and 105 <= p[1] for p in compact_windows.passages_on(own, centre, [0], 5, 50, 0.8))
+        assert may or not found
+        kept.append(bool(may))
+    assert all(kept[:4]) and sum(kept[40:]) < 5
+
+
 def test_op7_finds_passages_beside_a_line_of_the_first_document(spark):
     """The first document has a line of 40 words twice; others share longer passages around it, exact or edited."""
     rng = random.Random(6)
