@@ -35,6 +35,7 @@ _MAGIC = b"TOKIDS01"
 _TABLE, _CLASSES = 12, 33  # bits of a context table; bit lengths 0 to 32
 _BITS, _LOW, _BYTE = np.uint64(32), np.uint64((1 << 16) - 1), np.uint64(16)
 _MASK = np.uint64((1 << 48) - 1)
+_ONE = np.uint64(1)
 
 
 class _Lanes:
@@ -118,7 +119,11 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
 
 
 class _Writer:
-    """Range coder of all lanes: 48-bit low end and range, out by 16-bit words, no carries."""
+    """Range coder of all lanes: 48-bit low end and range, out by 16-bit words, no carries.
+
+    A range too narrow for the next symbol that goes over a border of words is cut at the
+    border. A low end one below it is left as the only value: a range is never empty.
+    """
 
     def __init__(self, lanes: int, words: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
@@ -140,7 +145,7 @@ class _Writer:
                 return
             lanes, low, span = lanes[go], low[go], span[go]
             tight = (low ^ (low + span)) >> _BITS != 0
-            span = np.where(tight, ~low & _LOW, span) << _BYTE
+            span = np.where(tight, np.maximum(~low & _LOW, _ONE), span) << _BYTE
             self._emit(lanes)
             low = self.low[lanes]
             self.range[lanes] = span
@@ -175,7 +180,7 @@ class _Reader:
                 return
             lanes, low, span = lanes[go], low[go], span[go]
             tight = (low ^ (low + span)) >> _BITS != 0
-            span = np.where(tight, ~low & _LOW, span) << _BYTE
+            span = np.where(tight, np.maximum(~low & _LOW, _ONE), span) << _BYTE
             low = (low << _BYTE) & _MASK
             used = self.used[lanes]
             word = self.words[lanes, np.minimum(used, self.words.shape[1] - 1)].astype(np.uint64)

@@ -428,6 +428,18 @@ def test_blocks_round_trip(blocks):
     assert all(np.array_equal(a, b) for a, b in zip(blocks, back)) and len(back) == len(blocks)
 
 
+@pytest.mark.parametrize("ids", [
+    [1527017913, 1074960764, 1705212715, 1377792005],
+    [1162372455, 1953510857, 1262197908, 1853197753, 1670277036, 1610366725, 1620961343, 1612437375,
+     2141342426, 1248667149, 1209126905, 1640923687, 1729205666, 1987679657, 1612044505, 1179703106],
+])
+def test_a_block_that_ends_a_range_at_a_border_is_coded(ids):
+    """The last id leaves the low end one below a border of words, and a range of less than a word."""
+    blocks = [np.array([*ids, *range(more)], np.uint32) for more in (0, 1, 50)]
+    back = token_files.unpack_blocks(token_files.pack_blocks(blocks), [len(b) for b in blocks])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back))
+
+
 def test_predictable_ids_are_short_and_damage_is_found(tmp_path):
     ids = np.tile(np.arange(500, 560, dtype=np.uint32), 600)
     path = f"file://{tmp_path}/x.tokids"
