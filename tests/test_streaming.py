@@ -288,6 +288,50 @@ def test_a_missing_step_is_given_up_after_its_time():
     assert expire(50900) == [] and store.value is None and store.map == {}
 
 
+class CountedEntries(Entries):
+    calls = 0
+
+    def containsKey(self, key):
+        CountedEntries.calls += 1
+        return super().containsKey(key)
+
+    def updateValue(self, key, value):
+        CountedEntries.calls += 1
+        super().updateValue(key, value)
+
+
+def test_steps_that_wait_take_few_calls_of_the_state_store():
+    """Steps of a long run, dealt at random to three batches of several frames; one comes again each time."""
+    rng, n = random.Random(3), 30000
+    values, steps = [rng.random() for _ in range(n)], list(range(n))
+    rng.shuffle(steps)
+    store = Store()
+    store.getMapState = lambda *_: CountedEntries(store.map)
+    processor = GateProcessor(("run", "step", "loss", None), "dynamic", 1.5, 0.9, 5, True, 0, 0)
+    processor.init(store)
+    CountedEntries.calls, rows = 0, []
+    for part in range(3):
+        mine = [(s, values[s]) for s in steps[part::3]] + [(steps[0], 7.0)]
+        frames = [pd.DataFrame(mine[i : i + 3000], columns=["step", "loss"]) for i in range(0, len(mine), 3000)]
+        rows += [r for out in processor.handleInputRows(("r",), iter(frames), None) for r in out.itertuples(index=False)]
+    want = list(zip(*gates(values, 0.9, "dynamic", 1.5, 5)))
+    taken = [r for r in rows if not r.late]
+    assert [r.step for r in taken] == list(range(n)) and [r.loss for r in taken] == values
+    assert [(r.ema, r.gated) for r in taken] == [(pytest.approx(e), g) for e, g in want]
+    assert [(r.step, r.loss) for r in rows if r.late] == [(steps[0], 7.0)] * 3 and store.map == {}
+    assert CountedEntries.calls < n // 100
+
+
+def test_a_step_that_waits_and_comes_again_with_its_turn():
+    processor, store = GateProcessor(("run", "step", "loss", None), "dynamic", 1.5, 0.9, 0, True, 0, 0), Store()
+    processor.init(store)
+    rows = []
+    for steps, losses in (([2], [0.2]), ([2, 0, 1], [9.0, 0.5, 0.4])):
+        frame = pd.DataFrame({"step": steps, "loss": losses})
+        rows += [(r.step, r.loss, r.late) for out in processor.handleInputRows(("r",), iter([frame]), None) for r in out.itertuples(index=False)]
+    assert sorted(rows) == [(0, 0.5, False), (1, 0.4, False), (2, 0.2, False), (2, 9.0, True)] and store.map == {}
+
+
 def test_runs_that_leave_steps_out_do_not_wait():
     values = {2: 0.5, 3: 0.1, 9: 0.9, 11: 0.2}
     processor = GateProcessor(("run", "step", "loss", None), "dynamic", 1.5, 0.9, 0, False, 0, 0)
