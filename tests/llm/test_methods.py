@@ -341,6 +341,68 @@ def test_op7_finds_passages_beside_a_line_of_the_first_document(spark):
     assert all(r.doc_id in (0, 500) or (r.doc_id - 1) // 4 == (r.other_id - 1) // 4 for r in out)
 
 
+def _passages(spark, texts):
+    """Of (id, words): pairs of ids that have a row."""
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    return {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(rows).collect()}
+
+
+def test_op7_finds_passages_with_members_that_have_one_already(spark):
+    """0 and 1 share 79 words each with 2, and 44 with 3: too few. 65 words of 2 and 3 lie in these, at any place."""
+    rng = random.Random(8)
+    base = _words(rng, 135)
+    parts = [base[:79], base[56:], base, base[35:100]]
+    got = _passages(spark, [(i, _words(rng, 60 + i) + w + _words(rng, 60)) for i, w in enumerate(parts)])
+    assert got == {(0, 2), (2, 0), (1, 2), (2, 1), (2, 3), (3, 2)}
+
+
+def test_op7_finds_swapped_parts_that_others_have_alone(spark):
+    """The halves of a swapped passage stand alone in documents of smaller id, which have no passage with anything."""
+    rng = random.Random(9)
+    rows, want = [], set()
+    for k in range(30):
+        one, two, n = _words(rng, 38), _words(rng, 38), 4 * k
+        rows += [(n + i, _words(rng, 40) + w + _words(rng, 40)) for i, w in enumerate((one, two, one[-30:], two[-30:]))]
+        rows += [(1000 + n + i, _words(rng, 40) + w + _words(rng, 40)) for i, w in enumerate((one + two, two + one))]
+        want |= {(1000 + n, 1001 + n), (1001 + n, 1000 + n)}
+    assert want <= _passages(spark, rows)
+
+
+def test_op7_takes_every_text_of_an_id(spark):
+    rng = random.Random(10)
+    first, second = _words(rng, 60), _words(rng, 60)
+    rows = [(0, first), (0, second), (1, _words(rng, 9) + first), (2, second + _words(rng, 9)), (3, _words(rng, 50)), (3, first[:30])]
+    got = _passages(spark, rows + rows[:1])
+    assert got >= {(1, 0), (2, 0)} and {i for i, _ in got} == {0, 1, 2}
+
+
+def test_reordered_parts_are_looked_for_where_they_may_be():
+    """No two texts of which parts in another order make a passage around the place are left out, with and without repeats."""
+    rng, found = random.Random(11), 0
+    for case in range(300):
+        words = rng.choice(["abcdefghijklmnopqrstuvwxyz0123456789", "abc", "ab"])
+        one = [ord(rng.choice(words)) if len(words) < 9 else rng.getrandbits(32) for _ in range(120)]
+        cut = rng.randrange(40, 80)
+        two = one[cut:] + one[:cut] if case % 3 else [ord(rng.choice(words)) for _ in range(120)]
+        for _ in range(rng.randrange(4)):
+            two[rng.randrange(120)] = rng.getrandbits(32)
+        a, b = np.array(one, np.uint64), np.array(two, np.uint64)
+        x, y = (shingles.run_hashes(t, np.array([0, 120]), 5)[0] for t in (a, b))
+        passage = compact_windows._reordered(x, y, 5, 50, 0.8, 41)
+        if not passage:
+            continue
+        at, other = passage[0] + 20, passage[2] + 20
+        rows = np.zeros((2, 201), np.uint16)
+        for row, runs, place in ((rows[0], x, at), (rows[1], y, other)):
+            low, high = max(0, place - 100), min(len(runs), place + 101)
+            row[100 - place + low : 100 - place + high] = runs[low:high] % np.uint64(65535) + np.uint64(1)
+        assert compact_windows._may_be_reordered(rows[:1], rows[1], 100, 5, 50, 0.8)[0]
+        found += 1
+    assert found > 100
+    few = np.arange(1, 202, dtype=np.uint16)
+    assert not compact_windows._may_be_reordered(few[None], np.concatenate((few[:40], few[40:] + 1000)), 100, 5, 50, 0.8)[0]
+
+
 # ---- pseudonyms ------------------------------------------------------------
 
 
